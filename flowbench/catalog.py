@@ -600,7 +600,7 @@ def svd_features(spark, folder):
         F.array(
             *[
                 sum((F.col("v")[i] * F.lit(float(x)) for i, x in enumerate(column)), F.lit(0.0))
-                for column in vectors.T
+                for column in vectors.matrix.T
             ]
         ).alias("svd"),
     )

@@ -18,8 +18,10 @@ from .clean import finite
 from .quantile import Profile, profile
 from .schema import numeric_and_categorical
 
-# One-hot columns kept as lists on the driver; beyond it the categories stay in a table (wide.py).
+# Width of the vector up to which categories are kept as lists on the driver. The features that do not
+# fit keep their categories in a table instead (wide.py).
 INLINE_WIDTH = 4096
+HOT_SHARE = 1000
 
 
 @dataclass(frozen=True)
@@ -32,11 +34,20 @@ class NumericFeature:
 
 @dataclass(frozen=True)
 class CategoricalFeature:
-    """``categories`` is None when there are too many to hold on the driver."""
+    """``categories`` is None when there are too many to hold on the driver.
+
+    ``hot`` then lists the values that hold more than one in HOT_SHARE rows, at most HOT_SHARE of them.
+    """
 
     name: str
     mode: str
     categories: tuple[str, ...] | None
+    hot: tuple[str, ...] = ()
+
+    @property
+    def listed(self) -> tuple[str, ...]:
+        """The values the driver knows: all of them, or the hot ones."""
+        return self.hot if self.categories is None else self.categories
 
 
 @dataclass(frozen=True)
@@ -53,10 +64,15 @@ class FittedFeatures:
     def inline(self) -> bool:
         return all(f.categories is not None for f in self.categorical)
 
+    @property
+    def wide(self) -> list[int]:
+        """Positions of the categorical features whose categories are in a table."""
+        return [i for i, f in enumerate(self.categorical) if f.categories is None]
+
     @property
     def width(self) -> int:
-        """Columns of the assembled vector (inline features only)."""
-        return len(self.numeric) + sum(len(f.categories) for f in self.categorical)
+        """Columns of the assembled vector that the driver knows."""
+        return len(self.numeric) + sum(len(f.categories or ()) for f in self.categorical)
 
 
 def select_feature_columns(
@@ -134,6 +150,24 @@ def modes_of(counts: DataFrame) -> DataFrame:
     )
 
 
+def _inline_features(found: dict, room: int) -> list[str]:
+    """Features whose categories fit on the driver together, those with the fewest first."""
+    inline = []
+    for name in sorted(found, key=lambda n: found[n]["distinct"]):
+        room -= found[name]["distinct"]
+        if room < 0:
+            break
+        inline.append(name)
+    return inline
+
+
+def _values(counts: DataFrame) -> dict[str, list[str]]:
+    lists: dict[str, list[str]] = {}
+    for row in counts.select("feature", "value").collect():
+        lists.setdefault(row["feature"], []).append(row["value"])
+    return lists
+
+
 def fit_features(
     df: DataFrame,
     exclude: Iterable[str] = IDENTIFIER_COLUMNS,
@@ -158,19 +192,26 @@ def fit_features(
     encoded = []
     if categorical:
         counts = value_counts(df, categorical).persist(StorageLevel.MEMORY_AND_DISK)
-        modes = {row["feature"]: row for row in modes_of(counts).collect()}
-        total = sum(row["distinct"] for row in modes.values())
-        lists: dict[str, list[str]] = {}
-        if len(fitted) + total <= inline_width:
-            for row in counts.select("feature", "value").collect():
-                lists.setdefault(row["feature"], []).append(row["value"])
+        found = {row["feature"]: row for row in modes_of(counts).collect()}
+        dropped += [name for name in categorical if name not in found]
+        inline = _inline_features(found, inline_width - len(fitted))
+        lists = _values(counts.filter(F.col("feature").isin(inline)))
+        # More than one in HOT_SHARE rows each, so fewer than HOT_SHARE values per feature.
+        hot = _values(
+            counts.filter(~F.col("feature").isin(inline))
+            .join(F.broadcast(counts.groupBy("feature").agg(F.sum("count").alias("rows"))), "feature")
+            .filter(F.col("count") * HOT_SHARE > F.col("rows"))
+        ) if len(inline) < len(found) else {}
         counts.unpersist()
-        for name in categorical:
-            if name not in modes:
-                dropped.append(name)
-                continue
-            categories = tuple(sorted(lists[name])) if name in lists else None
-            encoded.append(CategoricalFeature(name, modes[name]["mode"], categories))
+        encoded = [
+            CategoricalFeature(
+                name, found[name]["mode"],
+                tuple(sorted(lists[name])) if name in inline else None,
+                tuple(sorted({*hot.get(name, ()), found[name]["mode"]} if name not in inline else ())),
+            )
+            for name in categorical
+            if name in found
+        ]
     return FittedFeatures(tuple(fitted), tuple(encoded), tuple(dropped))
 
 

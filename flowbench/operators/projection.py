@@ -7,6 +7,7 @@ multiplied once on the driver, so that applying both costs one matrix product pe
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -17,27 +18,49 @@ from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, FloatType, IntegerType, StructField, StructType
 
 from ..functions.arrays import lists_of, matrix_of, matrix_of_lists
+from . import wide
 from .features import FittedFeatures, assemble, prepared
+from .wide import component_count, fix_signs
 
 
-def component_count(width: int, wanted: int) -> int:
-    return min(wanted, max(2, width - 1), width)
+@dataclass(frozen=True)
+class SingularVectors:
+    """Right singular vectors. ``matrix`` has the numeric rows, then those of all listed categories.
 
+    Listed are the categories of inline features and the hot values of wide ones; the vectors of all
+    other values of wide features are rows of the Parquet table at ``table``.
+    """
 
-def fix_signs(vectors: np.ndarray) -> np.ndarray:
-    """Make the entry of largest size positive in every column."""
-    largest = np.abs(vectors).argmax(axis=0)
-    signs = np.where(vectors[largest, np.arange(vectors.shape[1])] < 0, -1.0, 1.0)
-    return vectors * signs
+    matrix: np.ndarray
+    table: str | None = None
 
+    @property
+    def count(self) -> int:
+        return self.matrix.shape[1]
 
-def truncated_svd(df: DataFrame, fitted: FittedFeatures, wanted: int) -> np.ndarray:
-    """Right singular vectors (width x k) of the assembled, uncentred matrix."""
+    def numeric(self, fitted: FittedFeatures) -> np.ndarray:
+        return self.matrix[: len(fitted.numeric)]
+
+    def blocks(self, fitted: FittedFeatures) -> Iterator[tuple[np.ndarray, tuple[str, ...]]]:
+        start = len(fitted.numeric)
+        for feature in fitted.categorical:
+            stop = start + len(feature.listed)
+            yield self.matrix[start:stop], feature.listed
+            start = stop
+
+
+def truncated_svd(df: DataFrame, fitted: FittedFeatures, wanted: int) -> SingularVectors:
+    """Right singular vectors (width x k) of the prepared, uncentred matrix.
+
+    Exact from the Gramian when the driver can hold one; else by subspace iteration over tables.
+    """
+    if fitted.wide:
+        return SingularVectors(*wide.singular_vectors(df, fitted, wanted))
     vectors = MLUtils.convertVectorColumnsFromML(assemble(df, fitted), "features")
     gramian = RowMatrix(vectors, 0, fitted.width).computeGramianMatrix().toArray()
     _, eigenvectors = np.linalg.eigh(gramian)
     count = component_count(fitted.width, wanted)
-    return fix_signs(eigenvectors[:, ::-1][:, :count])
+    return SingularVectors(fix_signs(eigenvectors[:, ::-1][:, :count]))
 
 
 def fourier_parameters(
@@ -60,37 +83,41 @@ def rotation_matrices(size: int, count: int, seed: int) -> np.ndarray:
 def fourier_features(
     df: DataFrame,
     fitted: FittedFeatures,
-    singular_vectors: np.ndarray,
+    singular_vectors: SingularVectors,
     weights: np.ndarray,
     offsets: np.ndarray,
     keep: Iterable[str] = (),
     output: str = "features",
 ) -> DataFrame:
-    """``keep`` plus the Fourier features as ``array<float>``; inline features only."""
+    """``keep`` plus the Fourier features as ``array<float>``."""
     keep = list(keep)
     frame = prepared(df, fitted, keep)
-    numbers = len(fitted.numeric)
-    combined = singular_vectors @ weights
-    blocks, start = [], numbers
-    for feature in fitted.categorical:
-        stop = start + len(feature.categories)
-        # Last row: what an unseen category adds, namely nothing.
-        blocks.append(np.vstack([combined[start:stop], np.zeros(combined.shape[1])]))
-        start = stop
-    categories = [pa.array(f.categories, pa.string()) for f in fitted.categorical]
+    for position in fitted.wide:
+        frame = wide.attach_vectors(frame, fitted, position, singular_vectors.table)
+    numbers, texts = len(fitted.numeric), len(fitted.categorical)
+    blocks = []
+    for rows, values in singular_vectors.blocks(fitted):
+        # Last row: what a category that is not listed adds here, namely nothing.
+        table = np.vstack([rows @ weights, np.zeros(weights.shape[1])])
+        blocks.append((table, pa.array(values, pa.string())))
     shared = df.sparkSession.sparkContext.broadcast(
-        (combined[:numbers], blocks, categories, offsets)
+        (singular_vectors.numeric(fitted) @ weights, blocks, weights, offsets)
     )
-    kept = len(keep)
+    kept, wide_count = len(keep), len(fitted.wide)
 
     def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number_weights, category_weights, values, shift = shared.value
+        number_weights, category_blocks, vector_weights, shift = shared.value
         factor = np.sqrt(2.0 / len(shift))
         for batch in batches:
             angles = matrix_of(batch, kept, kept + numbers) @ number_weights + shift
-            for i, (table, known) in enumerate(zip(category_weights, values)):
+            for i, (table, known) in enumerate(category_blocks):
                 codes = pc.index_in(batch.column(kept + numbers + i), value_set=known)
                 angles += table[pc.fill_null(codes, len(known)).to_numpy(zero_copy_only=False)]
+            for i in range(wide_count):
+                lists = batch.column(kept + numbers + texts + i)
+                present = lists.is_valid().to_numpy(zero_copy_only=False)
+                if present.any():
+                    angles[present] += matrix_of_lists(lists.drop_null()) @ vector_weights
             features = lists_of((factor * np.cos(angles)).astype(np.float32))
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:kept], features], [*batch.schema.names[:kept], output]

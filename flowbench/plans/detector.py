@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..config import DEFAULT_SEED, DetectorConfig
 from ..functions.names import col
 from ..operators import projection
+from ..operators.projection import SingularVectors
 from ..operators.features import (
     CategoricalFeature,
     FittedFeatures,
@@ -31,7 +32,7 @@ class Transform:
     """Everything between a flow row and its Fourier features; small except for wide categories."""
 
     features: FittedFeatures
-    singular_vectors: np.ndarray
+    singular_vectors: SingularVectors
     weights: np.ndarray
     offsets: np.ndarray
 
@@ -96,7 +97,7 @@ def fit_transform_chain(
     )
     vectors = projection.truncated_svd(train_benign, features, config.svd_components)
     weights, offsets = projection.fourier_parameters(
-        vectors.shape[1], config.rff_components, config.rff_gamma, seed
+        vectors.count, config.rff_components, config.rff_gamma, seed
     )
     return Transform(features, vectors, weights, offsets)
 
@@ -184,8 +185,7 @@ def run_detector(
 
 def save_detector(detector: Detector, path: str) -> str:
     """Write the forest and, as small tables, all fitted values under ``path``."""
-    spark = detector.forest._spark if hasattr(detector.forest, "_spark") else None
-    spark = spark or SparkSession.active()
+    spark = SparkSession.active()
     detector.forest.write().overwrite().save(f"{path}/forest")
     fitted = detector.transform.features
     settings = {
@@ -195,19 +195,23 @@ def save_detector(detector: Detector, path: str) -> str:
         "validation_seconds": detector.validation_seconds,
     }
     _save(spark, [(json.dumps(settings),)], "settings string", f"{path}/settings")
-    rows = [(i, f.name, f.median, f.mean, f.scale, None) for i, f in enumerate(fitted.numeric)]
+    rows = [(f.name, f.median, f.mean, f.scale, None, False) for f in fitted.numeric]
     rows += [
-        (len(rows) + i, f.name, None, None, None, f.mode) for i, f in enumerate(fitted.categorical)
+        (f.name, None, None, None, f.mode, f.categories is None) for f in fitted.categorical
     ]
-    rows += [(len(rows) + i, name, None, None, None, None) for i, name in enumerate(fitted.dropped)]
-    schema = "position int, name string, median double, mean double, scale double, mode string"
-    _save(spark, rows, schema, f"{path}/features")
+    rows += [(name, None, None, None, None, False) for name in fitted.dropped]
+    schema = """position int, name string, median double, mean double, scale double, mode string,
+        wide boolean"""
+    _save(spark, [(i, *row) for i, row in enumerate(rows)], schema, f"{path}/features")
+    if detector.transform.singular_vectors.table:
+        vectors = spark.read.parquet(detector.transform.singular_vectors.table)
+        vectors.write.mode("overwrite").parquet(f"{path}/category-vectors")
     categories = [
-        (f.name, i, value) for f in fitted.categorical for i, value in enumerate(f.categories)
+        (f.name, i, value) for f in fitted.categorical for i, value in enumerate(f.listed)
     ]
     _save(spark, categories, "name string, position int, value string", f"{path}/categories")
     matrices = {
-        "singular_vectors": detector.transform.singular_vectors,
+        "singular_vectors": detector.transform.singular_vectors.matrix,
         "weights": detector.transform.weights,
         "offsets": detector.transform.offsets[None],
         **{f"rotation {i}": rotation for i, rotation in enumerate(detector.rotations)},
@@ -238,7 +242,8 @@ def load_detector(spark: SparkSession, path: str) -> Detector:
             numeric.append(NumericFeature(row["name"], row["median"], row["mean"], row["scale"]))
         elif row["mode"] is not None:
             values = tuple(categories[row["name"]])
-            categorical.append(CategoricalFeature(row["name"], row["mode"], values))
+            known, hot = (None, values) if row["wide"] else (values, ())
+            categorical.append(CategoricalFeature(row["name"], row["mode"], known, hot))
         else:
             dropped.append(row["name"])
     lines: dict[str, list] = {}
@@ -248,9 +253,11 @@ def load_detector(spark: SparkSession, path: str) -> Detector:
     rotations = np.stack(
         [matrices[f"rotation {i}"] for i in range(config["rotations"])]
     ).astype(np.float32)
+    fitted = FittedFeatures(tuple(numeric), tuple(categorical), tuple(dropped))
+    table = f"{path}/category-vectors" if fitted.wide else None
     transform = Transform(
-        FittedFeatures(tuple(numeric), tuple(categorical), tuple(dropped)),
-        matrices["singular_vectors"], matrices["weights"], matrices["offsets"][0],
+        fitted, SingularVectors(matrices["singular_vectors"], table),
+        matrices["weights"], matrices["offsets"][0],
     )
     forest = RandomForestClassificationModel.load(f"{path}/forest")
     return Detector(DetectorConfig(**config), transform=transform, rotations=rotations,

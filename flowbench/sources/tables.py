@@ -10,6 +10,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 
@@ -33,7 +34,12 @@ def write_table(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) ->
     """Write ``df`` as Parquet to the shared folder and return a frame that reads it back."""
     path = new_path(df.sparkSession, name)
     df.write.partitionBy(*partition_by).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return read_back(df.sparkSession, path, df.schema)
+
+
+def read_back(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """Read a table just written; its schema is known, so no file footer is opened for it."""
+    return spark.read.schema(schema).parquet(path)
 
 
 def spread(df: DataFrame) -> DataFrame:
