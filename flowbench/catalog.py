@@ -623,7 +623,8 @@ def rotation_expand(spark, folder):
 
 
 def _prepared(spark: SparkSession, folder: str) -> DataFrame:
-    return prepare_variant(fixtures.flows(spark, folder), "parse_norm_clean")
+    flows = split.store_split(fixtures.flows(spark, folder))
+    return prepare_variant(flows, "parse_norm_clean")
 
 
 def _fitted(prepared: DataFrame):

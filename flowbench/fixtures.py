@@ -9,7 +9,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 DIALECTS = {
-    "spark": {"day": "date_format(ts, 'EEEE')", "k": "get_json_object(props, '$.k')"},
+    "spark": {
+        "day": """elt(weekday(ts) + 1, 'Monday', 'Tuesday', 'Wednesday', 'Thursday', 'Friday',
+            'Saturday', 'Sunday')""",
+        "k": "get_json_object(props, '$.k')",
+    },
     "duckdb": {"day": "dayname(ts)", "k": "json_extract_string(props, '$.k')"},
 }
 

@@ -139,14 +139,9 @@ def value_counts(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def modes_of(counts: DataFrame) -> DataFrame:
     """Most frequent value per feature, ties to the smallest, and the number of distinct values."""
-    top = counts.groupBy("feature").agg(
-        F.max("count").alias("top"), F.count("*").alias("distinct")
-    )
-    return (
-        counts.join(F.broadcast(top), "feature")  # one row per column of the input
-        .filter(F.col("count") == F.col("top"))
-        .groupBy("feature")
-        .agg(F.min("value").alias("mode"), F.first("distinct").alias("distinct"))
+    first = F.min(F.struct((-F.col("count")).alias("order"), "value"))
+    return counts.groupBy("feature").agg(
+        first["value"].alias("mode"), F.count("*").alias("distinct")
     )
 
 

@@ -12,14 +12,23 @@ from ..sources.tables import write_table
 from .labels import require_column, with_binary_target
 
 
-def weekday_expr(source_file: Column) -> Column:
-    """First of Monday..Friday contained in the file name, in any case; else NULL."""
+def _by_day(source_file: Column, outcome: dict[str, str]) -> Column:
+    """Outcome of the first of Monday..Friday contained in the file name, in any case; else NULL."""
     lowered = F.lower(source_file.cast("string"))
     return F.coalesce(
-        *[F.when(lowered.contains(day.lower()), F.lit(day)) for day in WEEKDAYS]
+        *[F.when(lowered.contains(day.lower()), F.lit(outcome[day])) for day in WEEKDAYS]
     )
 
 
+def weekday_expr(source_file: Column) -> Column:
+    return _by_day(source_file, {day: day for day in WEEKDAYS})
+
+
+def split_expr(source_file: Column) -> Column:
+    """The part a file belongs to, straight from its name: a filter on it stays one short test."""
+    return _by_day(source_file, {day: part for part, days in SPLIT_DAYS.items() for day in days})
+
+
 def with_weekday(df: DataFrame) -> DataFrame:
     require_column(df, SOURCE_FILE)
     return df.withColumn("weekday", weekday_expr(F.col(SOURCE_FILE)))
@@ -58,11 +67,6 @@ def subset_by_source_files(df: DataFrame, source_files: Iterable[str]) -> DataFr
     return df.filter(F.col(SOURCE_FILE).cast("string").isin(list(source_files)))
 
 
-def split_expr(weekday: Column) -> Column:
-    parts = [F.when(weekday.isin(*days), F.lit(part)) for part, days in SPLIT_DAYS.items()]
-    return F.coalesce(*parts)
-
-
 def with_split(df: DataFrame) -> DataFrame:
     """Add ``weekday`` and ``split``; rows of files without a weekday keep a NULL split.
 
@@ -70,7 +74,7 @@ def with_split(df: DataFrame) -> DataFrame:
     """
     if {"weekday", "split"} <= set(df.columns):
         return df
-    return with_weekday(df).withColumn("split", split_expr(F.col("weekday")))
+    return with_weekday(df).withColumn("split", split_expr(F.col(SOURCE_FILE)))
 
 
 def store_split(df: DataFrame) -> DataFrame:
