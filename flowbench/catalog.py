@@ -19,7 +19,13 @@ from .functions.names import col
 from .operators import clean, features, labels, metrics, normalize, parse, projection, scoring, split
 from .operators.schema import numeric_and_categorical
 from .plans import report
-from .plans.detector import fit_detector, fit_transform_chain, load_detector, save_detector
+from .plans.detector import (
+    fit_detector,
+    fit_statistics,
+    load_detector,
+    save_detector,
+    transform_for,
+)
 from .plans.variants import VARIANTS, prepare_variant, run_stages, variant_shapes, variant_stages
 from .sources import csv
 from .sources.tables import new_path, write_table
@@ -593,22 +599,16 @@ def svd_features(spark, folder):
     train = training_flows(spark, folder)
     fitted = features.fit_features(train)
     vectors = projection.truncated_svd(train, fitted, 64)
-    df = features.assemble(fixtures.flows(spark, folder), fitted, ["flow_id"])
-    v = vector_to_array("features")
-    return df.select("flow_id", v.alias("v")).select(
-        "flow_id",
-        F.array(
-            *[
-                sum((F.col("v")[i] * F.lit(float(x)) for i, x in enumerate(column)), F.lit(0.0))
-                for column in vectors.matrix.T
-            ]
-        ).alias("svd"),
-    )
+    return projection.svd_features(fixtures.flows(spark, folder), fitted, vectors, ["flow_id"])
+
+
+def _chain(train: DataFrame):
+    return transform_for(fit_statistics(train, SMALL_FOREST), SMALL_FOREST, 42)
 
 
 @query()
 def rff_features(spark, folder):
-    chain = fit_transform_chain(training_flows(spark, folder), SMALL_FOREST, 42)
+    chain = _chain(training_flows(spark, folder))
     return chain.apply(fixtures.flows(spark, folder), ["flow_id"])
 
 
@@ -616,7 +616,7 @@ def rff_features(spark, folder):
     from t, range(4) r(r) group by r""")
 def rotation_expand(spark, folder):
     train = training_flows(spark, folder)
-    chain = fit_transform_chain(train, SMALL_FOREST, 42)
+    chain = _chain(train)
     rotations = projection.rotation_matrices(48, 4, 42)
     rotated = projection.rotate(chain.apply(train), rotations)
     return rotated.groupBy("rotation").agg(F.count("*").alias("rows"))

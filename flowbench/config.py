@@ -49,7 +49,7 @@ class DetectorConfig:
     exclude_columns: tuple[str, ...] = IDENTIFIER_COLUMNS
     # Spark-side settings: they change cost, not meaning.
     max_bins: int = 32
-    forest_memory_mb: int = 1024
+    forest_memory_mb: int = 512
     inline_width: int = 4096
 
     def __post_init__(self) -> None:

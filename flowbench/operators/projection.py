@@ -6,7 +6,7 @@ multiplied once on the driver, so that applying both costs one matrix product pe
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -80,16 +80,16 @@ def rotation_matrices(size: int, count: int, seed: int) -> np.ndarray:
     return np.concatenate([np.eye(size)[None], turned]).astype(np.float32)
 
 
-def fourier_features(
+def _linear_features(
     df: DataFrame,
     fitted: FittedFeatures,
     singular_vectors: SingularVectors,
     weights: np.ndarray,
-    offsets: np.ndarray,
-    keep: Iterable[str] = (),
-    output: str = "features",
+    finish: Callable[[np.ndarray], np.ndarray],
+    keep: Iterable[str],
+    output: str,
 ) -> DataFrame:
-    """``keep`` plus the Fourier features as ``array<float>``."""
+    """``finish`` of (prepared row x singular vectors x weights), one matrix product per batch."""
     keep = list(keep)
     frame = prepared(df, fitted, keep)
     for position in fitted.wide:
@@ -100,25 +100,25 @@ def fourier_features(
         # Last row: what a category that is not listed adds here, namely nothing.
         table = np.vstack([rows @ weights, np.zeros(weights.shape[1])])
         blocks.append((table, pa.array(values, pa.string())))
+    # Bounded by the inline width: (numeric and listed categories) x outputs.
     shared = df.sparkSession.sparkContext.broadcast(
-        (singular_vectors.numeric(fitted) @ weights, blocks, weights, offsets)
+        (singular_vectors.numeric(fitted) @ weights, blocks, weights)
     )
     kept, wide_count = len(keep), len(fitted.wide)
 
     def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number_weights, category_blocks, vector_weights, shift = shared.value
-        factor = np.sqrt(2.0 / len(shift))
+        number_weights, category_blocks, vector_weights = shared.value
         for batch in batches:
-            angles = matrix_of(batch, kept, kept + numbers) @ number_weights + shift
+            values = matrix_of(batch, kept, kept + numbers) @ number_weights
             for i, (table, known) in enumerate(category_blocks):
                 codes = pc.index_in(batch.column(kept + numbers + i), value_set=known)
-                angles += table[pc.fill_null(codes, len(known)).to_numpy(zero_copy_only=False)]
+                values += table[pc.fill_null(codes, len(known)).to_numpy(zero_copy_only=False)]
             for i in range(wide_count):
                 lists = batch.column(kept + numbers + texts + i)
                 present = lists.is_valid().to_numpy(zero_copy_only=False)
                 if present.any():
-                    angles[present] += matrix_of_lists(lists.drop_null()) @ vector_weights
-            features = lists_of((factor * np.cos(angles)).astype(np.float32))
+                    values[present] += matrix_of_lists(lists.drop_null()) @ vector_weights
+            features = lists_of(finish(values).astype(np.float32))
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:kept], features], [*batch.schema.names[:kept], output]
             )
@@ -126,6 +126,37 @@ def fourier_features(
     return frame.mapInArrow(project, _with_features(frame.schema[:kept], output))
 
 
+def svd_features(
+    df: DataFrame,
+    fitted: FittedFeatures,
+    singular_vectors: SingularVectors,
+    keep: Iterable[str] = (),
+    output: str = "features",
+) -> DataFrame:
+    """``keep`` plus the row's coordinates along the singular vectors as ``array<float>``."""
+    unchanged = np.eye(singular_vectors.count)
+    return _linear_features(
+        df, fitted, singular_vectors, unchanged, lambda values: values, keep, output
+    )
+
+
+def fourier_features(
+    df: DataFrame,
+    fitted: FittedFeatures,
+    singular_vectors: SingularVectors,
+    weights: np.ndarray,
+    offsets: np.ndarray,
+    keep: Iterable[str] = (),
+    output: str = "features",
+) -> DataFrame:
+    """``keep`` plus the Fourier features of these coordinates as ``array<float>``."""
+    factor = np.sqrt(2.0 / len(offsets))
+    return _linear_features(
+        df, fitted, singular_vectors, weights,
+        lambda angles: factor * np.cos(angles + offsets), keep, output,
+    )
+
+
 def rotate(
     df: DataFrame, rotations: np.ndarray, keep: Iterable[str] = (), features: str = "features"
 ) -> DataFrame:

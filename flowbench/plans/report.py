@@ -11,7 +11,7 @@ from ..config import DEFAULT_SEED, DetectorConfig
 from ..operators.metrics import metrics_record
 from ..operators.split import benign_part, check_weekdays, part, store_split
 from ..sources.tables import shared_folder
-from .detector import run_detector, save_detector
+from .detector import Statistics, fit_statistics, run_detector, save_detector
 from .variants import VARIANTS, prepare_variant, variant_shapes
 
 MODEL_NAME = "rf_anomaly"
@@ -30,6 +30,7 @@ def run_variant(
     order: str = "target_first",
     model_folder: str | None = None,
     shapes: DataFrame | None = None,
+    statistics: Statistics | None = None,
 ) -> DataFrame:
     """Preprocess, fit, save, score and measure one variant; returns its one-row record."""
     folder = model_folder or f"{shared_folder(flows.sparkSession)}/flowbench/models"
@@ -41,7 +42,7 @@ def run_variant(
     prepared = prepare_variant(flows, variant, order, check=False)
     run = run_detector(
         benign_part(prepared, "train"), benign_part(prepared, "val"), part(prepared, "test"),
-        config, seed,
+        config, seed, statistics=statistics,
     )
     saved = save_detector(run.detector, model_path(folder, variant, seed))
     sizes = {row["split"]: row for row in shapes.filter(F.col("variant") == variant).collect()}
@@ -86,9 +87,14 @@ def run_sweep(
     shapes = variant_shapes(flows, variants, order, check=False).collect()
     shapes = spark.createDataFrame(shapes)  # three rows per variant
     records = []
-    for seed in seeds:
-        for variant in variants:
-            record = run_variant(flows, variant, seed, config, order, model_folder, shapes)
+    seeds = list(seeds)
+    for variant in variants:
+        train = benign_part(prepare_variant(flows, variant, order, check=False), "train")
+        statistics = fit_statistics(train, config)
+        for seed in seeds:
+            record = run_variant(
+                flows, variant, seed, config, order, model_folder, shapes, statistics
+            )
             record = spark.createDataFrame(record.collect(), record.schema)  # one row
             record.coalesce(1).write.mode("append").parquet(output)
             records.append(record)

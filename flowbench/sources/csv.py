@@ -11,6 +11,7 @@ from collections import Counter
 from functools import reduce
 from urllib.parse import unquote
 
+from pyspark import StorageLevel
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -202,19 +203,25 @@ def load_text(
 
     Files that share header and encoding are one scan; the scans are united by column name.
     """
-    groups: dict[tuple[str, bool], list] = {}
-    for row in csv_inventory(spark, directory).filter("header is not null").collect():
-        groups.setdefault((row["header"], row["is_utf8"]), []).append(row)
-    if not groups:
-        raise FileNotFoundError(f"No CSV files found in {directory}")
+    files = csv_inventory(spark, directory).filter("header is not null")
+    files = files.persist(StorageLevel.MEMORY_AND_DISK)
+    groups = files.groupBy("header", "is_utf8").agg(F.min(SOURCE_FILE).alias("first_file"))
+    groups = groups.orderBy("first_file").collect()
     frames = []
-    for (header, is_utf8), files in sorted(
-        groups.items(), key=lambda group: min(file[SOURCE_FILE] for file in group[1])
-    ):
-        names = _flow_names(header_names(header), on_collision)
-        paths = sorted(_literal(unquote(file["path"])) for file in files)
-        frame = scan_csv(spark, paths, names, "UTF-8" if is_utf8 else "ISO-8859-1", multi_line)
-        frames.append(frame)
+    for group in groups:
+        # One kind of file only: the glob says it all. Else the reader needs the group's file names.
+        paths = [f"{_literal(directory.rstrip('/'))}/*.csv"]
+        if len(groups) > 1:
+            members = files.filter(
+                (F.col("header") == group["header"]) & (F.col("is_utf8") == group["is_utf8"])
+            )
+            paths = sorted(_literal(unquote(row["path"])) for row in members.select("path").collect())
+        names = _flow_names(header_names(group["header"]), on_collision)
+        encoding = "UTF-8" if group["is_utf8"] else "ISO-8859-1"
+        frames.append(scan_csv(spark, paths, names, encoding, multi_line))
+    files.unpersist()
+    if not frames:
+        raise FileNotFoundError(f"No CSV files found in {directory}")
     return union_by_name(frames)
 
 

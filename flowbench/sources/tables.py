@@ -8,11 +8,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
+MAX_SPLIT = "spark.sql.files.maxPartitionBytes"
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -30,10 +33,19 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/flowbench/{name}-{uuid.uuid4().hex}"
 
 
-def write_table(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and return a frame that reads it back."""
+def write_table(
+    df: DataFrame,
+    name: str,
+    partition_by: tuple[str, ...] = (),
+    row_group_bytes: int | None = None,
+) -> DataFrame:
+    """Write ``df`` as Parquet to the shared folder and return a frame that reads it back.
+
+    Scans cut files between row groups only: smaller ones allow smaller tasks (``scan_splits``).
+    """
     path = new_path(df.sparkSession, name)
-    df.write.partitionBy(*partition_by).parquet(path)
+    options = {"parquet.block.size": row_group_bytes} if row_group_bytes else {}
+    df.write.options(**options).partitionBy(*partition_by).parquet(path)
     return read_back(df.sparkSession, path, df.schema)
 
 
@@ -42,6 +54,17 @@ def read_back(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+@contextmanager
+def scan_splits(spark: SparkSession, max_bytes: int) -> Iterator[None]:
+    """Within the block, scans that start hand each task at most ``max_bytes`` of file."""
+    before = spark.conf.get(MAX_SPLIT)
+    spark.conf.set(MAX_SPLIT, str(max_bytes))
+    try:
+        yield
+    finally:
+        spark.conf.set(MAX_SPLIT, before)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Use all cores for work that is heavy per row when the input has fewer partitions than cores.
 
