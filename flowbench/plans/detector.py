@@ -24,7 +24,7 @@ from ..operators.features import (
     fit_features,
 )
 from ..operators.scoring import anomaly_score, choose_threshold, derived_threshold, flag_anomalies
-from ..sources.tables import scan_splits, spread, write_table
+from ..sources.tables import in_file_order, scan_splits, spread, write_table
 
 # A stored feature row becomes one forest row per rotation, with a bootstrap count per tree: about
 # twenty times its size. Tasks of the fit therefore read small pieces of the feature table.
@@ -77,6 +77,8 @@ class Detector:
 
     def predict(self, df: DataFrame, keep: Iterable[str] = ()) -> DataFrame:
         """``keep`` plus ``score`` and the 0/1 ``prediction``."""
+        if self.threshold is None:
+            raise ValueError("Model must be fitted before prediction.")
         return flag_anomalies(self.score(df, keep), self.threshold)
 
 
@@ -161,6 +163,7 @@ def fit_detector(
     features = write_table(
         transform.apply(spread(train_benign)), "features", row_group_bytes=FOREST_SPLIT_BYTES
     )
+    features = in_file_order(features)
     rotations = projection.rotation_matrices(config.rff_components, config.rotations, seed)
     forest = fit_forest(features, rotations, config, seed)
     detector = Detector(config, seed, transform, rotations, forest)

@@ -19,6 +19,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from ..config import LABEL, RAW_LABEL, SOURCE_FILE
 from ..functions.names import canonical_name, canonical_names, col, resolve_collisions
+from .tables import literal_path
 
 # Cell texts that mean "missing" in a flow CSV, as the usual CSV readers take them.
 MISSING_TOKENS = (
@@ -39,11 +40,6 @@ INTEGER, NUMBER, BOOLEAN, TEXT = 1, 2, 4, 8
 UNEXPECTED = "__beyond_header"
 
 
-def _literal(path: str) -> str:
-    """A path as Spark reads it literally: glob characters escaped."""
-    return "".join(f"\\{c}" if c in "\\{}[]*?" else c for c in path)
-
-
 def csv_inventory(spark: SparkSession, directory: str) -> DataFrame:
     """One row per ``*.csv`` file directly in ``directory``: path, source_file, is_utf8, header.
 
@@ -51,7 +47,7 @@ def csv_inventory(spark: SparkSession, directory: str) -> DataFrame:
     parallel pieces. ``header`` is the first line that is not blank, decoded like the file.
     """
     try:
-        text = spark.read.text(f"{_literal(directory.rstrip('/'))}/*.csv")
+        text = spark.read.text(f"{literal_path(directory.rstrip('/'))}/*.csv")
     except AnalysisException as error:
         if "PATH_NOT_FOUND" in str(error):
             raise FileNotFoundError(f"No CSV files found in {directory}") from error
@@ -210,12 +206,12 @@ def load_text(
     frames = []
     for group in groups:
         # One kind of file only: the glob says it all. Else the reader needs the group's file names.
-        paths = [f"{_literal(directory.rstrip('/'))}/*.csv"]
+        paths = [f"{literal_path(directory.rstrip('/'))}/*.csv"]
         if len(groups) > 1:
             members = files.filter(
                 (F.col("header") == group["header"]) & (F.col("is_utf8") == group["is_utf8"])
             )
-            paths = sorted(_literal(unquote(row["path"])) for row in members.select("path").collect())
+            paths = sorted(literal_path(unquote(row["path"])) for row in members.select("path").collect())
         names = _flow_names(header_names(group["header"]), on_collision)
         encoding = "UTF-8" if group["is_utf8"] else "ISO-8859-1"
         frames.append(scan_csv(spark, paths, names, encoding, multi_line))

@@ -10,6 +10,8 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from functools import lru_cache
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
@@ -21,12 +23,14 @@ MAX_SPLIT = "spark.sql.files.maxPartitionBytes"
 def shared_folder(spark: SparkSession) -> str:
     """The cluster's shared folder; in local mode, where none is named, a new temporary one."""
     folder = spark.conf.get(CHECKPOINT_DIR, None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError(f"Set {CHECKPOINT_DIR} to a folder that all executors can reach")
-        folder = tempfile.mkdtemp(prefix="flowbench-")
-        spark.conf.set(CHECKPOINT_DIR, folder)
-    return folder.rstrip("/")
+    return folder.rstrip("/") if folder else _local_folder(spark.sparkContext.master)
+
+
+@lru_cache(maxsize=1)
+def _local_folder(master: str) -> str:
+    if not master.startswith("local"):
+        raise ValueError(f"Set {CHECKPOINT_DIR} to a folder that all executors can reach")
+    return tempfile.mkdtemp(prefix="flowbench-")
 
 
 def new_path(spark: SparkSession, name: str) -> str:
@@ -54,6 +58,24 @@ def read_back(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def literal_path(path: str) -> str:
+    """A path as Spark reads it literally: glob characters escaped."""
+    return "".join(f"\\{c}" if c in "\\{}[]*?" else c for c in path)
+
+
+def in_file_order(table: DataFrame) -> DataFrame:
+    """The stored table with its files named in order, so that equal tables get equal partitions.
+
+    Scans order files by size and, where sizes tie, as the file system lists them. Local file systems
+    list in no fixed order; distributed ones list by name, so a table of very many files needs no help.
+    """
+    files = table.inputFiles()
+    if len(files) > 10_000:
+        return table
+    paths = sorted(literal_path(unquote(file)) for file in files)
+    return table.sparkSession.read.schema(table.schema).parquet(*paths)
+
+
 @contextmanager
 def scan_splits(spark: SparkSession, max_bytes: int) -> Iterator[None]:
     """Within the block, scans that start hand each task at most ``max_bytes`` of file."""
