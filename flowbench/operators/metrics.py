@@ -90,8 +90,8 @@ def score_boundaries(
 
 
 def _usable(score: str) -> Column:
-    value = F.col(score).cast("double")
-    return value.isNotNull() & ~F.isnan(value) & (F.abs(value) != math.inf)
+    """Present and finite; Spark orders NaN above infinity."""
+    return F.abs(F.col(score).cast("double")) < math.inf
 
 
 def _with_running_counts(
@@ -110,19 +110,22 @@ def _with_running_counts(
             splits=boundaries, inputCol="clean_score", outputCol="bucket", handleInvalid="keep"
         )
         .transform(df.withColumn("clean_score", F.when(_usable(score), F.col(score).cast("double"))))
-        .withColumn("range", F.when(F.col("clean_score").isNull(), -1.0).otherwise(F.col("bucket")))
+        .withColumn("range", F.coalesce(F.col("bucket").cast("int"), F.lit(-1)))
     )
     per_score = ranged.groupBy("range", "clean_score").agg(
         _count(F.col(target) == 1).alias("pos"),
         _count(F.col(target) == 0).alias("neg"),
         *[aggregate.alias(name) for name, aggregate in extra.items()],
     )
-    # At most MAX_RANGES rows: one task orders them, and every task may hold them. The counts per
-    # score are shuffled once; both branches read the same exchange.
+    # Counted on the rows themselves: a handful of groups, combined before the shuffle. At most
+    # MAX_RANGES + 1 rows: one task orders them, and every task may hold them.
     above = Window.orderBy(F.desc("range")).rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
-        per_score.groupBy("range")
-        .agg(F.sum("pos").alias("range_pos"), F.sum("neg").alias("range_neg"))
+        ranged.groupBy("range")
+        .agg(
+            _count(F.col(target) == 1).alias("range_pos"),
+            _count(F.col(target) == 0).alias("range_neg"),
+        )
         .select(
             "range",
             F.coalesce(F.sum("range_pos").over(above), F.lit(0)).alias("pos_above"),

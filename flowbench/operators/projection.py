@@ -12,14 +12,12 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.mllib.linalg.distributed import RowMatrix
-from pyspark.mllib.util import MLUtils
 from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, FloatType, IntegerType, StructField, StructType
 
 from ..functions.arrays import lists_of, matrix_of, matrix_of_lists
 from . import wide
-from .features import FittedFeatures, assemble, prepared
+from .features import FittedFeatures, prepared
 from .wide import component_count, fix_signs
 
 
@@ -56,9 +54,7 @@ def truncated_svd(df: DataFrame, fitted: FittedFeatures, wanted: int) -> Singula
     """
     if fitted.wide:
         return SingularVectors(*wide.singular_vectors(df, fitted, wanted))
-    vectors = MLUtils.convertVectorColumnsFromML(assemble(df, fitted), "features")
-    gramian = RowMatrix(vectors, 0, fitted.width).computeGramianMatrix().toArray()
-    _, eigenvectors = np.linalg.eigh(gramian)
+    _, eigenvectors = np.linalg.eigh(wide.gramian(df, fitted))
     count = component_count(fitted.width, wanted)
     return SingularVectors(fix_signs(eigenvectors[:, ::-1][:, :count]))
 

@@ -176,7 +176,9 @@ def profile(df: DataFrame, values: dict[str, Column], fraction: float) -> dict[s
     """
     if not values:
         return {}
-    values = {name: value.cast("double") for name, value in values.items()}
+    # Project first: an aggregate would evaluate each expression anew for every function of it.
+    df = df.select(*[value.cast("double").alias(f"v{i}") for i, value in enumerate(values.values())])
+    values = {name: F.col(f"v{i}") for i, name in enumerate(values)}
     first, merged, results = [], [], []
     for i, value in enumerate(values.values()):
         first += [

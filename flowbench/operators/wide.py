@@ -16,6 +16,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
+from pyspark.mllib.linalg.distributed import RowMatrix
+from pyspark.mllib.util import MLUtils
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -197,15 +199,16 @@ def singular_vectors(
     return np.vstack([numeric * signs, *_listed_vectors(vectors, fitted)]), signed
 
 
-def _numeric_gramian(df: DataFrame, fitted: FittedFeatures) -> np.ndarray:
-    from pyspark.mllib.linalg.distributed import RowMatrix
-    from pyspark.mllib.util import MLUtils
+def gramian(df: DataFrame, fitted: FittedFeatures) -> np.ndarray:
+    """X'X of the assembled vectors, which the driver holds: width x width, width bounded by the fit."""
+    vectors = MLUtils.convertVectorColumnsFromML(assemble(df, fitted), "features")
+    return RowMatrix(vectors, 0, fitted.width).computeGramianMatrix().toArray()
+
 
+def _numeric_gramian(df: DataFrame, fitted: FittedFeatures) -> np.ndarray:
     if not fitted.numeric:
         return np.zeros((0, 0))
-    numeric = FittedFeatures(fitted.numeric, (), ())
-    vectors = MLUtils.convertVectorColumnsFromML(assemble(df, numeric), "features")
-    return RowMatrix(vectors, 0, numeric.width).computeGramianMatrix().toArray()
+    return gramian(df, FittedFeatures(fitted.numeric, (), ()))
 
 
 def _turned(turn: np.ndarray):
@@ -234,8 +237,9 @@ def attach_vectors(
 ) -> DataFrame:
     """Add ``v<position>``: the vector of the row's category, NULL if it is listed or unknown.
 
-    Listed (hot) values need no join. Their rows are spread over keys that match nothing, so the
-    shuffle has no hot key: what is left are values below one in HOT_SHARE rows.
+    Listed (hot) values need no join. Their rows get the number of their input partition as key, which
+    matches nothing, so the shuffle has no hot key: what is left are values below one in HOT_SHARE
+    rows. A retried task gives every row the same key again, whatever order its rows come in.
     """
     vectors = (
         frame.sparkSession.read.schema("feature int, value string, vector array<double>")
@@ -248,8 +252,6 @@ def attach_vectors(
     )
     value = F.col(f"c{position}")
     listed = value.isin(list(fitted.categorical[position].listed))
-    spread_key = (F.monotonically_increasing_id() % 65536).cast("string")
-    keyed = frame.withColumns(
-        {"key": F.when(listed, spread_key).otherwise(value), "listed": listed}
-    )
+    partition = F.spark_partition_id().cast("string")
+    keyed = frame.withColumns({"key": F.when(listed, partition).otherwise(value), "listed": listed})
     return keyed.join(vectors, ["key", "listed"], "left").drop("key", "listed")
