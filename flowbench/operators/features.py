@@ -84,7 +84,7 @@ def select_feature_columns(
     }
     chosen = [name for name in df.columns if canonical_name(name) not in excluded]
     if not chosen:
-        raise ValueError("No feature columns remain after exclusions.")
+        raise ValueError("Every column is excluded; none is left as a feature")
     return chosen
 
 

@@ -15,7 +15,7 @@ def strip_whitespace(column: Column) -> Column:
 
 def require_column(df: DataFrame, name: str) -> None:
     if name not in df.columns:
-        raise ValueError(f"Missing required column: {name}")
+        raise ValueError(f"The frame has no column {name!r}")
 
 
 def binary_target_expr(label: Column) -> Column:

@@ -29,5 +29,5 @@ def choose_threshold(
 def flag_anomalies(df: DataFrame, threshold: float | None, score: str = "score") -> DataFrame:
     """1 where the score lies strictly above the threshold."""
     if threshold is None:
-        raise ValueError("Model must be fitted before prediction.")
+        raise ValueError("There is no threshold yet: fit the detector first")
     return df.withColumn("prediction", (F.col(score) > F.lit(threshold)).cast("int"))

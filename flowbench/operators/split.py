@@ -52,7 +52,7 @@ def check_weekdays(df: DataFrame) -> None:
     missing = [name for name in WEEKDAYS if not found[name]]
     if missing:
         raise ValueError(
-            f"Missing required weekday groups in source files: {', '.join(missing)}"
+            f"No source file for: {', '.join(missing)}"
         )
 
 

@@ -8,6 +8,7 @@ from collections.abc import Iterable
 from dataclasses import asdict, dataclass, replace
 
 import numpy as np
+import pyarrow as pa
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession
@@ -30,6 +31,11 @@ from ..sources.tables import in_file_order, scan_splits, spread, write_table
 # twenty times its size. Tasks of the fit therefore read small pieces of the feature table.
 FOREST_SPLIT_BYTES = 16 * 1024 * 1024
 
+ARROW_TYPES = {
+    "int": pa.int32(), "string": pa.string(), "double": pa.float64(), "boolean": pa.bool_(),
+    "array<double>": pa.list_(pa.float64()),
+}
+
 
 @dataclass(frozen=True)
 class Transform:
@@ -78,7 +84,7 @@ class Detector:
     def predict(self, df: DataFrame, keep: Iterable[str] = ()) -> DataFrame:
         """``keep`` plus ``score`` and the 0/1 ``prediction``."""
         if self.threshold is None:
-            raise ValueError("Model must be fitted before prediction.")
+            raise ValueError("There is no threshold yet: fit the detector first")
         return flag_anomalies(self.score(df, keep), self.threshold)
 
 
@@ -254,7 +260,14 @@ def save_detector(detector: Detector, path: str) -> str:
 
 
 def _save(spark: SparkSession, rows: list, schema: str, path: str) -> None:
-    spark.createDataFrame(rows, schema).coalesce(1).write.mode("overwrite").parquet(path)
+    """Write a small local table as one file; Arrow hands it over without a Python worker."""
+    fields = [part.split() for part in schema.split(",")]
+    columns = [
+        pa.array(list(column), ARROW_TYPES[data_type])
+        for column, (_, data_type) in zip(zip(*rows) if rows else [()] * len(fields), fields)
+    ]
+    table = pa.table(columns, names=[name for name, _ in fields])
+    spark.createDataFrame(table).coalesce(1).write.mode("overwrite").parquet(path)
 
 
 def load_detector(spark: SparkSession, path: str) -> Detector:

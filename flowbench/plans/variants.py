@@ -27,7 +27,7 @@ VARIANTS = {
 
 def validate_variant(name: str) -> str:
     if name not in VARIANTS:
-        raise ValueError(f"Unsupported variant {name!r}. Supported: {', '.join(VARIANTS)}")
+        raise ValueError(f"Unknown variant {name!r}; choose one of {', '.join(VARIANTS)}")
     return name
 
 

@@ -40,17 +40,21 @@ INTEGER, NUMBER, BOOLEAN, TEXT = 1, 2, 4, 8
 UNEXPECTED = "__beyond_header"
 
 
-def csv_inventory(spark: SparkSession, directory: str) -> DataFrame:
-    """One row per ``*.csv`` file directly in ``directory``: path, source_file, is_utf8, header.
+def _glob(directory: str, pattern: str) -> str:
+    return f"{literal_path(directory.rstrip('/'))}/{pattern}"
+
+
+def csv_inventory(spark: SparkSession, directory: str, pattern: str = "*.csv") -> DataFrame:
+    """One row per matching file directly in ``directory``: path, source_file, is_utf8, header.
 
     One pass over all text, in JVM code, with one small state per file; large files are read in
     parallel pieces. ``header`` is the first line that is not blank, decoded like the file.
     """
     try:
-        text = spark.read.text(f"{literal_path(directory.rstrip('/'))}/*.csv")
+        text = spark.read.text(_glob(directory, pattern))
     except AnalysisException as error:
         if "PATH_NOT_FOUND" in str(error):
-            raise FileNotFoundError(f"No CSV files found in {directory}") from error
+            raise FileNotFoundError(f"{directory} holds no CSV files") from error
         raise
     lines = text.select(
         "value",
@@ -193,20 +197,24 @@ def _flow_names(names: list[str], on_collision: str) -> list[str]:
 
 
 def load_text(
-    spark: SparkSession, directory: str, multi_line: bool = False, on_collision: str = "error"
+    spark: SparkSession,
+    directory: str,
+    multi_line: bool = False,
+    on_collision: str = "error",
+    pattern: str = "*.csv",
 ) -> DataFrame:
     """All files of a directory as one frame of text cells with canonical names.
 
     Files that share header and encoding are one scan; the scans are united by column name.
     """
-    files = csv_inventory(spark, directory).filter("header is not null")
+    files = csv_inventory(spark, directory, pattern).filter("header is not null")
     files = files.persist(StorageLevel.MEMORY_AND_DISK)
     groups = files.groupBy("header", "is_utf8").agg(F.min(SOURCE_FILE).alias("first_file"))
     groups = groups.orderBy("first_file").collect()
     frames = []
     for group in groups:
         # One kind of file only: the glob says it all. Else the reader needs the group's file names.
-        paths = [f"{literal_path(directory.rstrip('/'))}/*.csv"]
+        paths = [_glob(directory, pattern)]
         if len(groups) > 1:
             members = files.filter(
                 (F.col("header") == group["header"]) & (F.col("is_utf8") == group["is_utf8"])
@@ -217,7 +225,7 @@ def load_text(
         frames.append(scan_csv(spark, paths, names, encoding, multi_line))
     files.unpersist()
     if not frames:
-        raise FileNotFoundError(f"No CSV files found in {directory}")
+        raise FileNotFoundError(f"{directory} holds no CSV files")
     return union_by_name(frames)
 
 
@@ -232,7 +240,14 @@ def load_raw_data(
     types: dict[str, str] | None = None,
     multi_line: bool = False,
     on_collision: str = "error",
+    pattern: str = "*.csv",
 ) -> DataFrame:
     """The typed flow table of a directory. Known ``types`` save the inference pass."""
-    text = load_text(spark, directory, multi_line, on_collision)
+    text = load_text(spark, directory, multi_line, on_collision, pattern)
     return apply_types(text, infer_types(text) if types is None else types)
+
+
+def load_csv_file(spark: SparkSession, path: str, **options) -> DataFrame:
+    """The typed flow table of one file."""
+    directory, _, name = path.rpartition("/")
+    return load_raw_data(spark, directory or ".", pattern=literal_path(name), **options)

@@ -94,7 +94,7 @@ def test_header_names():
 
 def test_errors(spark, folder, tmp_path):
     for empty in (tmp_path / "none", tmp_path):
-        with pytest.raises(FileNotFoundError, match="No CSV files found"):
+        with pytest.raises(FileNotFoundError, match="holds no CSV files"):
             csv.load_raw_data(spark, str(empty))
     write(folder, "Friday-F.csv", "a,b\n1,2,3\n")
     with pytest.raises(ValueError, match="Friday-F.csv: a line has more cells"):
@@ -108,3 +108,9 @@ def test_line_breaks_inside_quotes(spark, tmp_path):
     write(tmp_path, "a.csv", 'id,text\n1,"two\nlines"\n2,one\n')
     rows = csv.load_raw_data(spark, str(tmp_path), multi_line=True).orderBy("id").collect()
     assert [r.text for r in rows] == ["two\nlines", "one"]
+
+
+def test_one_file(spark, folder):
+    df = csv.load_csv_file(spark, f"{folder}/tuesday-B.csv")
+    row = df.first()
+    assert df.count() == 1 and row.label == "Web \x96 XSS" and row.flow_bytes_s == 1000.0

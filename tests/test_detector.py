@@ -90,7 +90,7 @@ def test_same_seed_same_detector(flows):
 def test_unfitted_and_unbounded(run):
     from dataclasses import replace
 
-    with pytest.raises(ValueError, match="fitted"):
+    with pytest.raises(ValueError, match="fit the detector first"):
         replace(run.detector, threshold=None).predict(run.scored)
     for depth in (None, 31):
         with pytest.raises(ValueError, match="max_depth"):

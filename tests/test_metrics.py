@@ -87,7 +87,7 @@ def test_scores_and_flags(spark):
     assert math.copysign(1, scores[1]) == 1
     flagged = scoring.flag_anomalies(df.withColumnRenamed("p", "score"), 0.5).collect()
     assert [r.prediction for r in flagged] == [0, 1, 0]
-    with pytest.raises(ValueError, match="fitted"):
+    with pytest.raises(ValueError, match="fit the detector first"):
         scoring.flag_anomalies(df, None)
     assert scoring.choose_threshold(0.1, 0.8042, True) == 0.8042
     assert scoring.choose_threshold(0.1, None, True) == scoring.choose_threshold(0.1, 0.8) == 0.1
