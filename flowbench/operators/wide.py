@@ -11,6 +11,7 @@ data are not read again.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +19,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.mllib.linalg.distributed import RowMatrix
 from pyspark.mllib.util import MLUtils
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.arrays import lists_of, matrix_of_lists
@@ -76,9 +77,18 @@ def category_pairs(df: DataFrame, fitted: FittedFeatures) -> DataFrame | None:
         .select(F.inline(F.array(*pairs)))
         .groupBy(*KEY, "feature2", "value2")
         .agg(F.count("*").alias("together"))
+        .withColumn("hot2", is_listed(fitted, F.col("feature2"), F.col("value2")))
     )
 
 
+def is_listed(fitted: FittedFeatures, feature: Column, value: Column) -> Column:
+    """Whether the driver knows this category: it is hot, or its feature has few categories."""
+    known = [
+        (feature == i) & value.isin(list(f.listed)) for i, f in enumerate(fitted.categorical)
+    ]
+    return reduce(Column.__or__, known)
+
+
 def _start(sums: DataFrame, size: int) -> DataFrame:
     """A basis of +1 / -1 entries that depend on the category only, so that a retry repeats them."""
     signs = [
@@ -118,15 +128,26 @@ def _orthonormal(gram: np.ndarray) -> np.ndarray:
 
 
 def _multiply(
-    table: DataFrame, pairs: DataFrame | None, turn: np.ndarray, numeric_basis: np.ndarray
+    table: DataFrame,
+    pairs: DataFrame | None,
+    fitted: FittedFeatures,
+    turn: np.ndarray,
+    numeric_basis: np.ndarray,
 ) -> DataFrame:
-    """Category rows of the Gramian times the basis ``y @ turn`` (numeric rows: ``numeric_basis``)."""
+    """Category rows of the Gramian times the basis ``y @ turn`` (numeric rows: ``numeric_basis``).
+
+    A hot category meets very many others. The listed ones, whose number the fit bounds, are therefore
+    broadcast to their pairs; only pairs with the rest are shuffled to them.
+    """
     size = turn.shape[0]
     inputs = ["count", "sums", "y"]
     if pairs is not None:
         other = table.select(F.col("feature").alias("feature2"), F.col("value").alias("value2"), "y")
+        hot = is_listed(fitted, F.col("feature2"), F.col("value2"))
+        both = ["feature2", "value2"]
         met = (
-            pairs.join(other, ["feature2", "value2"])
+            pairs.filter("hot2").join(F.broadcast(other.filter(hot)), both)
+            .unionByName(pairs.filter("not hot2").join(other.filter(~hot), both))
             .groupBy(*KEY)
             .agg(*[F.sum(F.col("together") * F.col("y")[j]).alias(f"p{j}") for j in range(size)])
             .select(*KEY, F.array(*[f"p{j}" for j in range(size)]).alias("met"))
@@ -168,7 +189,7 @@ def singular_vectors(
         sums_y, y_y = _moments(table, numbers, size)
         turn = _orthonormal(numeric.T @ numeric + y_y)
         numeric_basis = numeric @ turn
-        table = _multiply(table, pairs, turn, numeric_basis)
+        table = _multiply(table, pairs, fitted, turn, numeric_basis)
         numeric = numeric_gram @ numeric_basis + sums_y @ turn
         size = turn.shape[1]
     _, y_y = _moments(table, numbers, size)
