@@ -25,6 +25,8 @@ def connect(folder: str) -> duckdb.DuckDBPyConnection:
 
 def canonical(frame: pd.DataFrame) -> pd.DataFrame:
     frame = frame[sorted(frame.columns)]
+    nullable = {c: "float64" if frame[c].isna().any() else "int64" for c in frame.columns if str(frame[c].dtype) == "Int64"}
+    frame = frame.astype(nullable)
     frame = frame.sort_values(list(frame.columns), ignore_index=True)
     return frame
 
