@@ -31,61 +31,73 @@ END_ID = 1
 BLOCK_TOKENS = 1 << 20
 #: Attention of one id to another, relative to the linear work per id.
 QUADRATIC = 1 / 4096
-KNOWN_PIECES = 400_000
+KNOWN_PIECES = 1_200_000
 #: Sequence numbers of one task follow each other from ``partition << TASK_BITS``.
 TASK_BITS = 40
 
-#: The split of the byte-level vocabulary before its merges (fixed value of the public tokenizer).
-PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Outside these characters Unicode versions of libraries may disagree about letters and spaces.
-UNUSUAL = re.compile("[^\t\n\v\f\r\x20-\x7e -ɏ]")
+#: The split of the byte-level vocabulary before its merges (fixed value of the public tokenizer:
+#: contractions, letters, numbers, the rest, spaces), for the characters that ``UNUSUAL`` leaves.
+PIECES = re.compile(r"'(?:s|t|re|ve|m|ll|d)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
+#: Outside these characters libraries may disagree about letters, numbers and spaces.
+UNUSUAL = re.compile("[^\t\n\v\f\r\x20-\x7e\xa0-\xb1\xb4-\xb8\xba\xbb\xbf-\u024f]")
+
+
+def byte_letters() -> dict[int, str]:
+    """How a byte-level vocabulary writes bytes: printable Latin-1 as itself, the others from U+0100 on."""
+    printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(0x100) if b not in set(printable)]
+    return {b: chr(b) for b in printable} | {b: chr(0x100 + k) for k, b in enumerate(others)}
 
 
 class PieceEncoder(dict):
-    """Ids of a text; pieces met before are looked up instead of being merged again."""
+    """Ids of a text; pieces met before are looked up instead of being merged again.
+
+    Numbers pieces as they come; ``ends`` says where the ids of each lie in ``flat``.
+    """
 
     def __init__(self, vocabulary: str):
-        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
         self.tokenizer.encode_special_tokens = True
-        self.split = regex.compile(PIECES).findall
+        self.merge = self.tokenizer.model.tokenize
+        self.letters = byte_letters()
         self.forget()
 
     def forget(self) -> None:
         self.clear()
-        self.known = 0
-        self.flat = np.empty(1 << 16, np.uint32)
+        self.flat = np.empty(1 << 20, np.uint32)
         self.ends = np.zeros(KNOWN_PIECES + 2, np.int64)
 
     def __missing__(self, piece: str) -> int:
-        ids = self.tokenizer.encode(piece, add_special_tokens=False).ids
-        start = self.ends[self.known]
-        if start + len(ids) > len(self.flat):
+        ids = [token.id for token in self.merge(piece.encode().decode("latin-1").translate(self.letters))]
+        known = len(self)
+        start = self.ends[known]
+        end = start + len(ids)
+        if end > len(self.flat):
             self.flat = np.concatenate([self.flat, np.empty(len(self.flat) + len(ids), np.uint32)])
-        self.flat[start : start + len(ids)] = ids
-        self.known += 1
-        self.ends[self.known] = start + len(ids)
-        self[piece] = self.known - 1
-        return self.known - 1
+        self.flat[start:end] = ids
+        self.ends[known + 1] = end
+        self[piece] = known
+        return known
+
+    def whole(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
 
     def encode(self, text: str) -> np.ndarray:
         if UNUSUAL.search(text):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
-        pieces = self.split(text)
-        if self.known + len(pieces) > KNOWN_PIECES:
+            return self.whole(text)
+        pieces = PIECES.findall(text)
+        if len(self) + len(pieces) > KNOWN_PIECES:
             self.forget()
             if len(pieces) > KNOWN_PIECES:
-                return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+                return self.whole(text)
         which = np.fromiter(map(self.__getitem__, pieces), np.int64, len(pieces))
         starts = self.ends[which]
         sizes = self.ends[which + 1] - starts
-        total = int(sizes.sum())
-        if total == 0:
-            return np.empty(0, np.uint32)
-        at = np.repeat(starts - np.cumsum(sizes) + sizes, sizes) + np.arange(total)
-        return self.flat[at]
+        upto = np.cumsum(sizes)
+        total = int(upto[-1]) if len(upto) else 0
+        return self.flat[np.repeat(starts - upto + sizes, sizes) + np.arange(total)]
 
 
 @lru_cache(maxsize=1)
