@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from flowbench.llm import packing, warc
+from flowbench.llm import mixing, packing, secrets, toxicity, warc
 from flowbench.llm.common import table
 from flowbench.sources.tables import new_path
 
@@ -48,3 +49,38 @@ ORACLES["op9_warc"] = f"""
         CASE WHEN page_id = first_id THEN NULL ELSE first_id END AS refers_to
     FROM page JOIN first USING (hex)
 """
+
+
+def held_out(docs: DataFrame, modulus: int, remainder: int) -> F.Column:
+    """Rows that fitting never sees, by the CRC-32 of the id as text; ids that are null are not held out."""
+    return F.coalesce(F.crc32(docs["doc_id"].cast("string")) % modulus == remainder, F.lit(False))
+
+
+@query
+def op6_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mix(table(spark, folder, "documents"))
+
+
+@query
+def op8_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    found = secrets.find_secrets(table(spark, folder, "documents"))
+    base = F.filter("secrets", lambda s: s["place"] < len(secrets.BASE_KINDS))
+
+    def count(kind: str) -> F.Column:
+        return F.size(F.filter("secrets", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    counts = map(count, secrets.BASE_KINDS)
+    return found.select(
+        "doc_id", *counts,
+        F.sha2(F.encode(secrets.listed(base), "UTF-8"), 256).alias("base_sha256"),
+        secrets.listed(F.col("secrets")).alias("spans"),
+    )
+
+
+@query
+def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    model = toxicity.fit(
+        toxicity.training_rows(labels.filter(~held_out(labels, 5, 0)), docs, "doc_id", "text", "toxic")
+    )
+    return toxicity.score(docs, model, keep=(held_out(docs, 5, 0).alias("held_out"),))

@@ -95,6 +95,10 @@ def none() -> Column:
     return F.array().cast(SPAN)
 
 
+def whole_spans(found: Column, place: int, kind: str) -> Column:
+    return F.transform(found, lambda m: span(m["start"], m["start"] + F.length(m["found"]), place, kind)).cast(SPAN)
+
+
 def base_spans(text: Column) -> Column:
     value = lambda found: F.regexp_extract(found, ASSIGN, 2)
     parts = []
@@ -102,8 +106,7 @@ def base_spans(text: Column) -> Column:
         found = matches(text, pattern)
         if kind == "assign":
             found = F.filter(found, lambda m: F.length(value(m["found"])) >= ASSIGN_VALUE)
-        spans = F.transform(found, lambda m, p=place, k=kind: span(m["start"], m["start"] + F.length(m["found"]), p, k))
-        parts.append(F.when(text.rlike(pattern), spans.cast(SPAN)).otherwise(none()))
+        parts.append(F.when(text.rlike(pattern), whole_spans(found, place, kind)).otherwise(none()))
     return F.concat(*parts)
 
 

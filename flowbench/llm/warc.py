@@ -27,10 +27,10 @@ from pyspark.sql import functions as F
 
 from flowbench.sources.tables import write_table
 
-ROLL_BYTES = 64 << 20
-SHARD_BYTES = 256 << 20
+ROLL_BYTES = 32 << 20
+SHARD_BYTES = 64 << 20
 #: Id ranges whose bytes are counted to find the cuts between shards; a driver-side list of this length.
-RANGES = 4096
+RANGES = 16384
 #: Records carry this date unless the caller gives another; the tables have none.
 DATE = "2024-01-01T00:00:00Z"
 
