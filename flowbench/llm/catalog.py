@@ -8,9 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowbench.llm import mixing, packing, secrets, toxicity, warc
+from flowbench.llm import minhash, mixing, packing, quality, secrets, toxicity, warc
 from flowbench.llm.common import table
-from flowbench.sources.tables import new_path
+from flowbench.sources.tables import new_path, write_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -84,3 +84,51 @@ def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
         toxicity.training_rows(labels.filter(~held_out(labels, 5, 0)), docs, "doc_id", "text", "toxic")
     )
     return toxicity.score(docs, model, keep=(held_out(docs, 5, 0).alias("held_out"),))
+
+
+def quality_statistics(docs: DataFrame) -> DataFrame:
+    """Statistics of all texts, stored: fitting and scoring read them, the texts are read once."""
+    return write_table(quality.with_statistics(docs, keep=(held_out(docs, 3, 1).alias("held_out"),)), "quality")
+
+
+def quality_model(rows: DataFrame, labels: DataFrame) -> quality.RuleModel:
+    """Fitted on labelled rows that are not held out."""
+    marked = labels.groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    return quality.fit(rows.filter("not held_out").dropDuplicates(["doc_id"]).join(marked, "doc_id"), "quality")
+
+
+@query
+def op3_quality(spark: SparkSession, folder: str) -> DataFrame:
+    rows = quality_statistics(table(spark, folder, "documents"))
+    model = quality_model(rows, table(spark, folder, "labels"))
+    return rows.select("doc_id", "held_out", model.score().alias("score")).withColumn(
+        "predicted", (F.col("score") >= 0.5).cast("int")
+    )
+
+
+@query
+def op5_minhash(spark: SparkSession, folder: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, folder, "documents"))
+
+
+ORACLES["op5_minhash"] = r"""
+    WITH RECURSIVE word AS (
+        SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+            'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+    ), shingle AS (
+        SELECT doc_id, unnest(list_distinct(list_transform(range(1, greatest(len(w) - 4, 1) + 1),
+            lambda i: array_to_string(w[i:i + 4], ' ')))) AS s FROM word WHERE len(w) > 0
+    ), size AS (SELECT doc_id, count(*) AS n FROM shingle GROUP BY doc_id
+    ), overlap AS (
+        SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM shingle a JOIN shingle b USING (s)
+        WHERE a.doc_id <> b.doc_id GROUP BY ALL
+    ), link AS (
+        SELECT a, b FROM overlap JOIN size x ON x.doc_id = a JOIN size y ON y.doc_id = b
+        WHERE 100 * c >= 75 * (x.n + y.n - c)
+    ), reach AS (
+        SELECT doc_id AS a, doc_id AS b FROM documents
+        UNION SELECT reach.a, link.b FROM reach JOIN link ON link.a = reach.b
+    ), least AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a)
+    SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept
+    FROM documents JOIN least USING (doc_id) LEFT JOIN size USING (doc_id)
+"""
