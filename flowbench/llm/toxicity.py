@@ -34,7 +34,7 @@ BUCKETS = 1 << 18
 DIMENSIONS = 8
 SIZES = (3, 4, 5, 6)
 WINDOW = 8
-MAX_ROWS = 3000
+MAX_ROWS = 2000
 MAX_CHARS = 200_000
 PASSES = 12
 #: Of them, the first that take whole texts instead of windows.
@@ -47,6 +47,12 @@ MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 def subwords(words: list[str], buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of all n-grams of all words on end, and where each word's begin (one more entry)."""
+    parts = [few_subwords(words[k : k + 8192], buckets) for k in range(0, len(words), 8192)]
+    sizes = np.concatenate([[0], *(np.diff(starts) for _, starts in parts)])
+    return np.concatenate([grams for grams, _ in parts]), np.cumsum(sizes)
+
+
+def few_subwords(words: list[str], buckets: int) -> tuple[np.ndarray, np.ndarray]:
     coded = [b"<" + w.encode("utf-8", "surrogatepass") + b">" for w in words]
     data = np.frombuffer(b"".join(coded), np.uint8).astype(np.uint64)
     limits = np.zeros(len(coded) + 1, np.int64)
@@ -72,7 +78,7 @@ def subwords(words: list[str], buckets: int) -> tuple[np.ndarray, np.ndarray]:
     order = np.argsort(owners, kind="stable")
     hashes = (hashes[order] * MULTIPLIER) >> np.uint64(64 - int(buckets).bit_length() + 1)
     starts = np.searchsorted(owners[order], np.arange(len(coded) + 1))
-    return hashes.astype(np.int64), starts
+    return hashes.astype(np.int32), starts
 
 
 def hash_bytes(data: bytes) -> int:
@@ -201,8 +207,7 @@ def fit(rows: list[tuple[int, str]], buckets: int = BUCKETS, dimensions: int = D
     history = []
 
     def word_sums(weights):
-        total = np.concatenate([[0.0], np.cumsum(weights[grams])])
-        return total[starts[1:]] - total[starts[:-1]]
+        return np.add.reduceat(weights.astype(np.float32)[grams], starts[:-1]).astype(np.float64)
 
     for turn in range(passes):
         weights = embedding @ (output[:, 1] - output[:, 0])
