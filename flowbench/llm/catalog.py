@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowbench.llm import minhash, mixing, packing, quality, secrets, toxicity, warc
+from flowbench.llm import fingerprints, minhash, mixing, packing, quality, secrets, toxicity, warc
 from flowbench.llm.common import table
 from flowbench.sources.tables import new_path, write_table
 
@@ -132,3 +132,8 @@ ORACLES["op5_minhash"] = r"""
     SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept
     FROM documents JOIN least USING (doc_id) LEFT JOIN size USING (doc_id)
 """
+
+
+@query
+def op7_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    return fingerprints.edit_report(table(spark, folder, "documents"))
