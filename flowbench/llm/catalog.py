@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowbench.llm import fingerprints, minhash, mixing, packing, quality, secrets, toxicity, warc
+from flowbench.llm import fingerprints, minhash, mixing, neighbours, packing, quality, secret_scan, toxicity, warc
 from flowbench.llm.common import table
 from flowbench.sources.tables import new_path, write_table
 
@@ -63,17 +63,17 @@ def op6_mixing(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def op8_secrets(spark: SparkSession, folder: str) -> DataFrame:
-    found = secrets.find_secrets(table(spark, folder, "documents"))
-    base = F.filter("secrets", lambda s: s["place"] < len(secrets.BASE_KINDS))
+    found = secret_scan.find_secrets(table(spark, folder, "documents"))
+    base = F.filter("secrets", lambda s: s["place"] < len(secret_scan.BASE_KINDS))
 
     def count(kind: str) -> F.Column:
         return F.size(F.filter("secrets", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
-    counts = map(count, secrets.BASE_KINDS)
+    counts = map(count, secret_scan.BASE_KINDS)
     return found.select(
         "doc_id", *counts,
-        F.sha2(F.encode(secrets.listed(base), "UTF-8"), 256).alias("base_sha256"),
-        secrets.listed(F.col("secrets")).alias("spans"),
+        F.sha2(F.encode(secret_scan.listed(base), "UTF-8"), 256).alias("base_sha256"),
+        secret_scan.listed(F.col("secrets")).alias("spans"),
     )
 
 
@@ -137,3 +137,9 @@ ORACLES["op5_minhash"] = r"""
 @query
 def op7_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     return fingerprints.edit_report(table(spark, folder, "documents"))
+
+
+@query
+def op2_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = table(spark, folder, "embeddings")
+    return neighbours.nearest(vectors, F.col("vec_id") % 20 == 0, 20)

@@ -6,11 +6,16 @@ variance. Values of ``ROWS`` different permutations make a band; texts that shar
 At a similarity of 0.75 a pair shares none of the bands with a chance of about 1e-6.
 
 Equal sets form a class, and classes take part once, by their smallest id. Small buckets give all their
-pairs. A larger bucket ties every member to its smallest one; after these links are confirmed and joined
-to components, all pairs of the bucket that lie in different components are compared too, so no
-candidate is left out, and a large group of copies costs as many comparisons as it has members. Links
-are confirmed on full sets. Hot classes and buckets are only counted and joined (partial sums before the
-shuffle, joins that Spark can split), never gathered.
+pairs. A larger bucket ties every member to its smallest one; the links that full sets confirm make
+components. While a bucket lies in several components, another of its members, drawn by a hash, is
+compared to those outside its own; in the end all pairs across components that are still untried are
+compared, so no candidate is left out, and a large group of copies costs a few comparisons per member.
+Around a large group lie copies with more edits, which are candidates of all and linked with few. There
+a pivot bounds what two sets can share: the smaller of what they share with the pivot, and what bitmaps
+say of the rest. A pair whose bound is below ``LINK`` is no link for certain and is never formed.
+Before sets are compared, one bit per value of both signatures is: at 0.75 more than ``BITS_APART`` of
+them differ with a chance of about 1e-8. Hot classes and buckets are only counted and joined (partial
+sums before the shuffle, joins that Spark can split), never gathered.
 
 Null, empty and wordless texts have an empty set and are linked with nothing. Repeated rows are copies
 of each other; rows with a null id have no component and are not kept. An empty table gives no rows.
@@ -24,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowbench.llm import words as W
@@ -38,11 +43,21 @@ BANDS = 50
 LINK = 75
 #: Buckets of at most this many classes give all pairs at once.
 SMALL_BUCKET = 6
+#: Rounds of drawn members before all pairs across components are compared.
+ROUNDS = 3
+#: Larger buckets are measured against a pivot before pairs across their components are formed.
+PIVOT_BUCKET = 64
+#: Words of the bitmap of a set's elements outside the pivot.
+EXTRA_WORDS = 16
+#: One bit of each signature value, packed in words of 64; a pair at ``LINK`` differs in an eighth of them.
+BIT_WORDS = 4
+BITS_APART = 64
 #: Set elements hashed at a time.
 BLOCK = 1 << 15
 GROUP_BYTES = 1 << 22
 
-SIGNATURE = "id long, n_shingles long, set_a long, set_b long, bands array<long>"
+SIGNATURE = "id long, n_shingles long, set_a long, set_b long, bands array<long>, bits array<long>"
+BITS = [f"bits{w}" for w in range(BIT_WORDS)]
 
 
 def permutations(count: int, seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
@@ -51,8 +66,11 @@ def permutations(count: int, seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
     return draw() << np.uint64(1) | np.uint64(1), draw()
 
 
-def band_keys(sets: list[np.ndarray], bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
-    """(set, band) keys; every set has an element. One permutation serves two places of the signature."""
+def band_keys(sets: list[np.ndarray], bands: int = BANDS, rows: int = ROWS) -> tuple[np.ndarray, np.ndarray]:
+    """(set, band) keys and (set, word) bits; every set has an element.
+
+    One permutation serves two places of the signature.
+    """
     half = -(-bands * rows // 2)
     factor, mask = permutations(half)
     values = np.empty((len(sets), 2 * half), np.uint64)
@@ -73,7 +91,10 @@ def band_keys(sets: list[np.ndarray], bands: int = BANDS, rows: int = ROWS) -> n
     for b in range(bands):
         for r in range(rows):
             keys[:, b] = W.mix64(keys[:, b] + values[:, b * rows + r] + np.uint64(b + 1))
-    return keys
+    bits = np.zeros((len(sets), BIT_WORDS), np.uint64)
+    for v in range(min(2 * half, 64 * BIT_WORDS)):
+        bits[:, v // 64] |= (W.mix64(values[:, v]) & np.uint64(1)) << np.uint64(v % 64)
+    return keys, bits
 
 
 def shingle_sets(column: pa.Array) -> Iterator[tuple[int, list[np.ndarray]]]:
@@ -93,11 +114,11 @@ def signatures(docs: DataFrame, id_column: str, text_column: str, bands: int = B
         for batch in batches:
             for at, sets in shingle_sets(batch.column(1)):
                 full = [k for k, s in enumerate(sets) if len(s)]
-                keys: list[list[int] | None] = [None] * len(sets)
+                keys: list[np.ndarray | None] = [None] * len(sets)
+                bits: list[np.ndarray | None] = [None] * len(sets)
                 if full:
-                    found = band_keys([sets[k] for k in full], bands).view(np.int64)
-                    for k, row in zip(full, found):
-                        keys[k] = row
+                    for k, key_row, bit_row in zip(full, *band_keys([sets[k] for k in full], bands)):
+                        keys[k], bits[k] = key_row.view(np.int64), bit_row.view(np.int64)
                 digest = np.array(
                     [(W.mix64(s + np.uint64(11)).sum(dtype=np.uint64), W.mix64(s + np.uint64(13)).sum(dtype=np.uint64)) for s in sets],
                     np.uint64,
@@ -107,9 +128,9 @@ def signatures(docs: DataFrame, id_column: str, text_column: str, bands: int = B
                         batch.column(0).slice(at, len(sets)),
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array(digest[:, 0]), pa.array(digest[:, 1]),
-                        pa.array(keys, pa.list_(pa.int64())),
+                        pa.array(keys, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64())),
                     ],
-                    names=["id", "n_shingles", "set_a", "set_b", "bands"],
+                    names=["id", "n_shingles", "set_a", "set_b", "bands", "bits"],
                 )
 
     return docs.select(docs[id_column].cast("long").alias("id"), docs[text_column].cast("string").alias("text")).mapInArrow(run, SIGNATURE)
@@ -158,32 +179,117 @@ def common(x: np.ndarray, y: np.ndarray) -> int:
     return int((x[at] == y).sum())
 
 
+def close(a: str, b: str) -> Column:
+    """May the pair be a link, by the bits of both signatures?"""
+    apart = sum((F.bit_count(F.col(f"{a}.{w}").bitwiseXOR(F.col(f"{b}.{w}"))) for w in BITS), F.lit(0))
+    return apart <= BITS_APART
+
+
 def link_classes(docs: DataFrame, id_column: str, text_column: str, reps: DataFrame) -> DataFrame:
-    """Confirmed links (a, b) between class representatives; ``reps`` has id, bands."""
-    members = write_table(reps.select("id", "bands"), "minhash-reps").select("id", F.explode("bands").alias("key"))
+    """Confirmed links (a, b) between class representatives; ``reps`` has id, bands, bits."""
+    reps = write_table(reps.select("id", "bands", "bits"), "minhash-reps")
+    members = reps.select("id", F.explode("bands").alias("key"))
     buckets = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("least")).filter("n > 1")
-    shared = write_table(members.join(buckets, "key"), "minhash-shared")
-    sets = write_table(candidate_sets(docs, id_column, text_column, shared.select("id").distinct()), "minhash-sets")
-    small = shared.filter(F.col("n") <= SMALL_BUCKET).groupBy("key").agg(F.sort_array(F.collect_list("id")).alias("ids"))
-    all_pairs = small.select(F.explode(F.flatten(F.transform("ids", lambda a: F.transform(F.filter("ids", lambda b: b > a), lambda b: F.struct(a.alias("a"), b.alias("b")))))).alias("p")).select("p.*")
-    stars = shared.filter((F.col("n") > SMALL_BUCKET) & (F.col("id") != F.col("least"))).select(F.col("least").alias("a"), F.col("id").alias("b"))
-    tried = write_table(all_pairs.unionByName(stars).distinct(), "minhash-pairs")
+    own = F.struct("id", *(F.get("bits", F.lit(w)).alias(name) for w, name in enumerate(BITS)))
+    bits = reps.select("id", own.alias("own"))
+    shared = write_table(members.join(buckets, "key").join(bits, "id").select("key", "n", "least", "own"), "minhash-shared")
+    sets = write_table(candidate_sets(docs, id_column, text_column, shared.select("own.id").distinct()), "minhash-sets")
+    large = shared.filter(F.col("n") > SMALL_BUCKET).select("key", "least", "own")
+
+    small = shared.filter(F.col("n") <= SMALL_BUCKET).groupBy("key").agg(F.collect_list("own").alias("group"))
+    pair = lambda a: F.transform(F.filter("group", lambda b: b["id"] > a["id"]), lambda b: F.struct(a.alias("a"), b.alias("b")))
+    all_pairs = small.select(F.explode(F.flatten(F.transform("group", pair))).alias("p")).select("p.a", "p.b").filter(close("a", "b"))
+    first = large.filter(F.col("own.id") == F.col("least")).select("key", F.col("own").alias("a"))
+    stars = large.filter(F.col("own.id") != F.col("least")).select("key", F.col("own").alias("b")).join(first, "key").filter(close("a", "b"))
+    tried = write_table(pairs_of(all_pairs).unionByName(pairs_of(stars)).distinct(), "minhash-pairs")
     links = write_table(linked(tried, sets), "minhash-links")
-    joined = components(links)
-    # in larger buckets, what the first links left apart: compare all pairs across components
-    large = shared.filter(F.col("n") > SMALL_BUCKET).select("key", "id")
+    for turn in range(ROUNDS + 1):
+        placed = across_components(large, components(links))
+        total, across = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(
+            F.sum("n").alias("all"), ((F.pow(F.sum("n"), F.lit(2)) - F.sum(F.col("n") * F.col("n"))) / 2).alias("across")
+        ).agg(F.sum("all"), F.sum("across")).first()
+        if not total:
+            return links
+        last = turn == ROUNDS or across <= 2 * total
+        one = placed.select("key", F.col("own").alias("a"), F.col("component").alias("a_in"))
+        two = placed.select("key", F.col("own").alias("b"), F.col("component").alias("b_in"))
+        if last:
+            few = F.expr("a.id < b.id and a_in <> b_in") & close("a", "b")
+            sizes = placed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > PIVOT_BUCKET).select("key")
+            found = one.join(sizes, "key", "left_anti").join(two, "key").filter(few).select("a", "b")
+            bounded = write_table(with_bounds(placed.join(sizes, "key", "left_semi"), sets), "minhash-bounds")
+            one = bounded.select("key", F.col("own").alias("a"), F.col("component").alias("a_in"), F.col("bound").alias("a_bound"))
+            two = bounded.select("key", F.col("own").alias("b"), F.col("component").alias("b_in"), F.col("bound").alias("b_bound"))
+            found = found.unionByName(one.join(two, "key").filter(few & may_link("a_bound", "b_bound")).select("a", "b"))
+        else:
+            drawn = one.groupBy("key").agg(F.min(F.struct(F.xxhash64("a.id", F.lit(turn)).alias("order"), "a", "a_in")).alias("drawn"))
+            found = two.join(drawn.select("key", "drawn.a", "drawn.a_in"), "key").filter(F.expr("a_in <> b_in") & close("a", "b"))
+        more = write_table(pairs_of(found).distinct().join(tried, ["a", "b"], "left_anti"), "minhash-pairs")
+        links = write_table(links.unionByName(linked(more, sets)), "minhash-links")
+        if last:
+            return links
+        tried = tried.unionByName(more)
+
+
+def with_bounds(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """Add to the members of buckets what their set shares with the bucket's pivot, as ``bound``.
+
+    The pivot is the smallest id of the bucket's largest component. ``bound`` holds the sizes of the set,
+    of what it shares, of the rest and of that rest's bitmap, and the bitmap.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for x, y in zip(batch.column(2), batch.column(3)):
+                x, pivot = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                extra = np.setdiff1d(x, pivot, assume_unique=True)
+                map_ = np.zeros(EXTRA_WORDS, np.uint64)
+                place = W.mix64(extra)
+                np.bitwise_or.at(map_, (place >> np.uint64(6)) % np.uint64(EXTRA_WORDS), np.uint64(1) << (place & np.uint64(63)))
+                set_bits = int(np.bitwise_count(map_).sum())
+                rows.append({
+                    "size": len(x), "shared": len(x) - len(extra), "rest": len(extra), "set_bits": set_bits, "map": map_.view(np.int64).tolist(),
+                })
+            kind = pa.struct([(n, pa.int64()) for n in ("size", "shared", "rest", "set_bits")] + [("map", pa.list_(pa.int64()))])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(rows, kind)], names=["pivot", "id", "bound"])
+
+    parts = members.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"), F.min("own.id").alias("least"))
+    pivots = parts.groupBy("key").agg(F.min(F.struct((-F.col("n")).alias("n"), "least")).alias("pivot")).select("key", F.col("pivot.least").alias("pivot"))
+    placed = members.join(pivots, "key")
+    asked = placed.select("pivot", F.col("own.id").alias("id")).distinct()
+    left, right = sets.select("id", F.col("elements").alias("x")), sets.select(F.col("id").alias("pivot"), F.col("elements").alias("y"))
+    measured = asked.join(left, "id").join(right, "pivot").select("pivot", "id", "x", "y").mapInArrow(
+        run, "pivot long, id long, bound struct<size:long,shared:long,rest:long,set_bits:long,map:array<long>>"
+    )
+    return placed.withColumn("id", F.col("own.id")).join(measured, ["pivot", "id"]).select("key", "own", "component", "bound")
+
+
+def may_link(a: str, b: str, link: int = LINK) -> Column:
+    """Can two sets be linked, by what they share with the same pivot?
+
+    They share at most what each shares with it, and of the rest no more than the common bits of the
+    bitmaps and the elements that fell on a bit already set.
+    """
+    x, y = (lambda name, side=side: F.col(f"{side}.{name}") for side in (a, b))
+    common_bits = sum((F.bit_count(F.get(x("map"), F.lit(w)).bitwiseAND(F.get(y("map"), F.lit(w)))) for w in range(EXTRA_WORDS)), F.lit(0))
+    rest = F.least(x("rest"), y("rest"), common_bits + F.least(x("rest") - x("set_bits"), y("rest") - y("set_bits")))
+    most = F.least(x("shared"), y("shared")) + rest
+    return most * (100 + link) >= (x("size") + y("size")) * link
+
+
+def pairs_of(found: DataFrame) -> DataFrame:
+    return found.select(F.least("a.id", "b.id").alias("a"), F.greatest("a.id", "b.id").alias("b"))
+
+
+def across_components(large: DataFrame, joined: DataFrame) -> DataFrame:
+    """The members of larger buckets that lie in several components, with their component."""
     placed = write_table(
-        large.join(joined, large["id"] == joined["node"], "left").select("key", "id", F.coalesce("component", "id").alias("component")), "minhash-placed"
+        large.join(joined, F.col("own.id") == joined["node"], "left").select("key", "own", F.coalesce("component", "own.id").alias("component")),
+        "minhash-placed",
     )
-    apart = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("key")
-    open_buckets = write_table(placed.join(apart, "key", "left_semi").distinct(), "minhash-open")
-    if open_buckets.isEmpty():
-        return links
-    one = open_buckets.select("key", F.col("id").alias("a"), F.col("component").alias("a_in"))
-    two = open_buckets.select("key", F.col("id").alias("b"), F.col("component").alias("b_in"))
-    across = one.join(two, "key").filter("a < b and a_in <> b_in").select("a", "b").distinct()
-    more = across.join(tried, ["a", "b"], "left_anti")
-    return write_table(links.unionByName(linked(more, sets)), "minhash-links")
+    apart = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high")
+    return write_table(placed.join(apart.select("key"), "key", "left_semi").distinct(), "minhash-open")
 
 
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
