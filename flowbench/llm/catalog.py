@@ -88,7 +88,7 @@ def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 
 def quality_statistics(docs: DataFrame) -> DataFrame:
     """Statistics of all texts, stored: fitting and scoring read them, the texts are read once."""
-    return write_table(quality.with_statistics(docs, keep=(held_out(docs, 3, 1).alias("held_out"),)), "quality")
+    return write_table(quality.with_statistics(docs, [docs["doc_id"], held_out(docs, 3, 1).alias("held_out")]), "quality")
 
 
 def quality_model(rows: DataFrame, labels: DataFrame) -> quality.RuleModel:

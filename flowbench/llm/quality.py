@@ -15,7 +15,7 @@ kept.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -121,9 +121,9 @@ def statistics(data: np.ndarray, limits: np.ndarray) -> np.ndarray:
     return np.stack(columns, axis=1) if count else np.empty((0, len(STATISTICS)))
 
 
-def with_statistics(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", keep: tuple[Column, ...] = ()) -> DataFrame:
-    """``doc_id``, the columns of ``keep`` and the statistics, by reserved names, for each row."""
-    base = docs.select(docs[id_column].alias("doc_id"), *keep, docs[text_column].cast("string").alias(reserved("text")))
+def with_statistics(docs: DataFrame, keep: Sequence[Column], text_column: str = "text") -> DataFrame:
+    """The columns of ``keep`` and the statistics, by reserved names, for each row."""
+    base = docs.select(*keep, docs[text_column].cast("string").alias(reserved("text")))
     names = [reserved(s) for s in STATISTICS]
     schema = T.StructType(base.schema.fields[:-1] + [T.StructField(n, T.DoubleType()) for n in names])
 
@@ -250,7 +250,16 @@ def lasso_logistic(truth: np.ndarray, labels: np.ndarray, weights: np.ndarray, l
     return float(beta[0]), beta[1:]
 
 
-def fit(rows: DataFrame, label_column: str, max_rows: int = MAX_ROWS, trees: int = TREES, depth: int = DEPTH,
+def labelled_texts(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", label_column: str = "quality", max_rows: int = MAX_ROWS) -> DataFrame:
+    """Rows of ``docs`` with the label of at most ``max_rows`` labelled ids, as (doc_id, label, text)."""
+    key, label = reserved("id"), reserved("label")
+    marked = labels.filter(labels[label_column].isin(0, 1)).groupBy(labels[id_column].alias(key)).agg(F.max(labels[label_column]).alias(label))
+    chosen = marked.filter(F.col(key).isNotNull()).orderBy(F.xxhash64(key), key).limit(max_rows)
+    found = docs.select(docs[id_column].alias(key), docs["text"].alias(reserved("text"))).join(F.broadcast(chosen), key)  # at most max_rows ids
+    return found.select(F.col(key).alias("doc_id"), F.col(label).alias("quality"), F.col(reserved("text")).alias("text"))
+
+
+def fit(rows: DataFrame, label_column: str = "quality", max_rows: int = MAX_ROWS, trees: int = TREES, depth: int = DEPTH,
         lasso: float = LASSO, seed: int = 11) -> RuleModel:
     """Rules and weights from rows of ``with_statistics`` that kept a label of 0 or 1.
 
