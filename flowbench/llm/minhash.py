@@ -194,13 +194,14 @@ def link_classes(docs: DataFrame, id_column: str, text_column: str, reps: DataFr
     bits = reps.select("id", own.alias("own"))
     shared = write_table(members.join(buckets, "key").join(bits, "id").select("key", "n", "least", "own"), "minhash-shared")
     sets = write_table(candidate_sets(docs, id_column, text_column, shared.select("own.id").distinct()), "minhash-sets")
-    large = shared.filter(F.col("n") > SMALL_BUCKET).select("key", "least", "own")
+    # buckets of one smallest member are one: a group of copies meets in most bands, but is compared once
+    large = write_table(shared.filter(F.col("n") > SMALL_BUCKET).select(F.col("least").alias("key"), "own").distinct(), "minhash-large")
 
     small = shared.filter(F.col("n") <= SMALL_BUCKET).groupBy("key").agg(F.collect_list("own").alias("group"))
     pair = lambda a: F.transform(F.filter("group", lambda b: b["id"] > a["id"]), lambda b: F.struct(a.alias("a"), b.alias("b")))
     all_pairs = small.select(F.explode(F.flatten(F.transform("group", pair))).alias("p")).select("p.a", "p.b").filter(close("a", "b"))
-    first = large.filter(F.col("own.id") == F.col("least")).select("key", F.col("own").alias("a"))
-    stars = large.filter(F.col("own.id") != F.col("least")).select("key", F.col("own").alias("b")).join(first, "key").filter(close("a", "b"))
+    first = large.filter(F.col("own.id") == F.col("key")).select("key", F.col("own").alias("a"))
+    stars = large.filter(F.col("own.id") != F.col("key")).select("key", F.col("own").alias("b")).join(first, "key").filter(close("a", "b"))
     tried = write_table(pairs_of(all_pairs).unionByName(pairs_of(stars)).distinct(), "minhash-pairs")
     links = write_table(linked(tried, sets), "minhash-links")
     for turn in range(ROUNDS + 1):
