@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowbench.llm import fingerprints, minhash, mixing, neighbours, packing, quality, secret_scan, toxicity, warc
+from flowbench.llm import fingerprints, minhash, mixing, neighbours, packing, quality, secret_scan, suffixes, toxicity, warc
 from flowbench.llm.common import table
 from flowbench.sources.tables import new_path, write_table
 
@@ -143,3 +143,8 @@ def op7_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
 def op2_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     vectors = table(spark, folder, "embeddings")
     return neighbours.nearest(vectors, F.col("vec_id") % 20 == 0, 20)
+
+
+@query
+def op4_suffixes(spark: SparkSession, folder: str) -> DataFrame:
+    return suffixes.remove_repeats(table(spark, folder, "documents"), keep_bytes=False)
