@@ -38,10 +38,12 @@ ANCHOR = 20
 #: Anchors in a string.
 PLACES = LENGTH - ANCHOR + 1
 #: Windows of a text are taken in segments of this many, and segments together up to this many bytes.
-SEGMENT = 1 << 20
-GROUP_BYTES = 1 << 21
+SEGMENT = 1 << 19
+GROUP_BYTES = 1 << 20
+#: Texts of an Arrow batch are taken together up to this many bytes.
+PIECE_BYTES = 1 << 23
 #: Text bytes per bucket of the first step; suffix buckets per such bucket.
-BUCKET_BYTES = 64 << 20
+BUCKET_BYTES = 32 << 20
 SUFFIX_BUCKETS = 4
 MAX_BUCKETS = 1 << 16
 #: Texts that splitters are sampled from, about.
@@ -117,6 +119,16 @@ def all_runs(data: np.ndarray, limits: np.ndarray, wanted: np.ndarray | None = N
     return [np.concatenate(p) for p in parts] if parts else [np.empty(0, np.int64)] * 3 + [np.empty(0, np.uint64)] * 2
 
 
+def pieces(batch: pa.RecordBatch, sizes: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of about ``PIECE_BYTES`` of text."""
+    upto = np.cumsum(sizes)
+    at = 0
+    while at < batch.num_rows:
+        end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + PIECE_BYTES, "right")))
+        yield batch.slice(at, end - at)
+        at = end
+
+
 # --- step 1: which runs have a token that occurs in several texts
 
 ENTRIES = "bucket int, known boolean, ids binary, texts binary, counts binary, tokens binary, places binary"
@@ -144,7 +156,7 @@ def token_entries(texts: DataFrame, buckets: int) -> DataFrame:
     schema = pa.schema([("bucket", pa.int32()), ("known", pa.bool_()), *((c, pa.binary()) for c in ("ids", "texts", "counts", "tokens", "places"))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (piece for whole in batches for piece in pieces(whole, np.diff(W.text_bytes(whole.column(2))[1]))):
             ids, marks = np.asarray(batch.column(0)), np.asarray(batch.column(1))
             owner, place, _, token, _ = all_runs(*W.text_bytes(batch.column(2)))
             if not len(owner):
@@ -184,34 +196,41 @@ def repeated_runs(entries: DataFrame, buckets: int) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(marks), pa.array(places.astype(np.int32))], names=["dk", "mark", "at"])
 
     def decode(row: dict) -> tuple[np.ndarray, ...]:
-        counts = np.frombuffer(row["counts"], "<u4")
-        ids, marks = (np.repeat(np.frombuffer(row[c], np.int64), counts) for c in ("ids", "texts"))
-        tokens = np.zeros((len(ids), 8), np.uint8)
+        """Ids and marks of the texts, and per run the text's number, place and token."""
+        ids, marks = (np.frombuffer(row[c], np.int64) for c in ("ids", "texts"))
+        owner = np.repeat(np.arange(len(ids), dtype=np.int32), np.frombuffer(row["counts"], "<u4"))
+        tokens = np.zeros((len(owner) if row["tokens"] else 0, 8), np.uint8)
         if row["tokens"]:
             tokens[:, :6] = np.frombuffer(row["tokens"], np.uint8).reshape(-1, 6)
-        return ids, marks, from_planes(row["places"]), tokens.view("<u8")[:, 0]
+        return ids, marks, owner, from_planes(row["places"]).astype(np.int32), tokens.view("<u8")[:, 0]
 
     def settle(rows: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
-        ids, marks, places, tokens = (np.concatenate(c) for c in zip(*rows))
+        first = np.cumsum([0, *(len(r[0]) for r in rows[:-1])])
+        ids, marks = (np.concatenate([r[c] for r in rows]) for c in (0, 1))
+        owner = np.concatenate([r[2] + np.int32(f) for r, f in zip(rows, first)])
+        places, tokens = (np.concatenate([r[c] for r in rows]) for c in (3, 4))
+        rows.clear()
         order = np.argsort(tokens, kind="stable")
-        heads = np.flatnonzero(np.concatenate([[True], tokens[order][1:] != tokens[order][:-1]]))
-        mark = marks[order]
+        tokens = tokens[order]
+        heads = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]]))
+        mark = marks[owner[order]]
         several = np.minimum.reduceat(mark, heads) != np.maximum.reduceat(mark, heads)
         found = order[np.repeat(several, np.diff(np.append(heads, len(order))))]
         for k in range(0, len(found), 1 << 16):
             some = found[k : k + (1 << 16)]
-            yield frame(ids[some], marks[some], places[some])
+            yield frame(ids[owner[some]], marks[owner[some]], places[some])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bucket, rows = None, []
         for batch in batches:
-            for row in batch.to_pylist():
+            for k in range(batch.num_rows):
+                row = batch.slice(k, 1).to_pylist()[0]
                 if row["known"]:
-                    yield frame(*decode(row)[:3])
+                    ids, marks, owner, places, _ = decode(row)
+                    yield frame(ids[owner], marks[owner], places)
                     continue
                 if row["bucket"] != bucket and rows:
                     yield from settle(rows)
-                    rows = []
                 bucket = row["bucket"]
                 rows.append(decode(row))
         if rows:
@@ -226,7 +245,7 @@ def sampled_splitters(texts: DataFrame, count: int, buckets: int) -> np.ndarray:
     """Leading bytes that cut the suffixes into about equal buckets, from the runs of some texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (piece for whole in batches for piece in pieces(whole, np.diff(W.text_bytes(whole.column(2))[1]))):
             data, limits = W.text_bytes(batch.column(2))
             owner, place, _, token, _ = all_runs(data, limits)
             some = np.argsort(token)[:: max(1, len(token) // (32 * batch.num_rows))]
@@ -244,7 +263,7 @@ def packed_texts(texts: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         zstd = pa.Codec("zstd")
-        for batch in batches:
+        for batch in (piece for whole in batches for piece in pieces(whole, np.diff(W.text_bytes(whole.column(3))[1]))):
             packed, sizes = [], []
             for text in batch.column(3):
                 raw = text.as_buffer()
@@ -273,7 +292,7 @@ def suffix_runs(found: DataFrame, splitters: np.ndarray) -> DataFrame:
     hot = np.unique(splitters[1:][splitters[1:] == splitters[:-1]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (piece for whole in batches for piece in pieces(whole, np.asarray(whole.column(2)))):
             ids, marks = np.asarray(batch.column(0)), np.asarray(batch.column(1))
             data, limits = unpacked(batch.column(2), batch.column(3))
             at = batch.column(4)
@@ -396,7 +415,7 @@ CUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 stri
 
 def cut_out(found: DataFrame, keep_bytes: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (piece for whole in batches for piece in pieces(whole, np.asarray(whole.column(1)))):
             data, limits = unpacked(batch.column(1), batch.column(2))
             rows = []
             for k, (doc, copy, spans) in enumerate(zip(batch.column(0), batch.column(3), batch.column(4))):
