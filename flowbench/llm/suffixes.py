@@ -325,7 +325,12 @@ def repeats(data: np.ndarray, starts: np.ndarray, ids: np.ndarray) -> np.ndarray
         if not len(left):
             return out
         key = eight[starts[left] + offset].byteswap()
-        order = np.argsort(key, kind="stable") if offset == 0 else np.lexsort((key, part))
+        order = np.argsort(key)
+        if offset:  # within the parts: by part and rank of the key, as one number
+            ordered = key[order]
+            rank = np.empty(len(order), np.int64)
+            rank[order] = np.cumsum(np.concatenate([[0], ordered[1:] != ordered[:-1]]))
+            order = np.argsort(part << 32 | rank)
         left, part, key = left[order], part[order], key[order]
         new = np.ones(len(left), bool)
         new[1:] = (part[1:] != part[:-1]) | (key[1:] != key[:-1])
