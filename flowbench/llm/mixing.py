@@ -87,8 +87,9 @@ def multipliers(counts: DataFrame, sources: DataFrame, cap: float = CAP) -> Data
     document of a token or more is at the cap; at ``scale * log(target / source_size)`` none exceeds
     that share: the root lies between.
     """
-    scale = counts.groupBy(KEY).agg((F.sum(F.col("n") * F.pow(F.col(SIZE).cast("double"), F.lit(2.0))) / F.sum(F.col("n") * F.col(SIZE))).alias("scale"))
-    part = F.col("target") / F.col("source_size")
+    squares = F.sum(F.col("n") * F.pow(F.col(SIZE).cast("double"), F.lit(2.0)))
+    scale = counts.groupBy(KEY).agg(F.try_divide(squares, F.sum(F.col("n") * F.col(SIZE))).alias("scale"))
+    part = F.try_divide("target", "source_size")
     state = sources.filter("target > 0").join(scale, KEY).select(
         KEY, "target", "scale",
         F.least(F.lit(0.0), F.col("scale") * F.log(part)).alias("low"),
@@ -108,7 +109,7 @@ def multipliers(counts: DataFrame, sources: DataFrame, cap: float = CAP) -> Data
             F.when(F.col("value") < F.col("target"), F.col("multiplier")).otherwise(F.col("low")).alias("low"),
             F.when(F.col("value") > F.col("target"), F.col("multiplier")).otherwise(F.col("high")).alias("high"),
         )
-        newton = F.col("multiplier") - (F.col("value") - F.col("target")) / F.col("slope")
+        newton = F.col("multiplier") - F.try_divide(F.col("value") - F.col("target"), F.col("slope"))
         inside = (F.col("slope") > 0) & (newton > F.col("low")) & (newton < F.col("high"))
         near = F.abs(F.col("value") - F.col("target")) <= TOLERANCE * F.col("target")
         state = write_table(

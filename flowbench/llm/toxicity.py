@@ -37,6 +37,11 @@ WINDOW = 8
 MAX_ROWS = 2000
 MAX_CHARS = 200_000
 PASSES = 12
+#: Subwords in fewer training texts than this keep weight zero: they would only memorise single texts,
+#: among them wrongly labelled ones.
+LEAST_TEXTS = 3
+#: Share of an embedding that each step in which it occurs takes off.
+DECAY = 2e-3
 #: Of them, the first that take whole texts instead of windows.
 WHOLE_TEXTS = 3
 SEED = 7
@@ -196,7 +201,14 @@ def fit(rows: list[tuple[int, str]], buckets: int = BUCKETS, dimensions: int = D
     docs, labels = [docs[k] for k in keep], labels[keep]
     grams, starts = subwords(list(numbers), buckets)
     counts = np.diff(starts).astype(np.float64)
-    embedding = (rng.random((buckets, dimensions)) - 0.5) / dimensions
+    texts_with = np.zeros(buckets, np.int32)
+    for d in docs:
+        words = np.unique(d)
+        sizes = starts[words + 1] - starts[words]
+        upto = np.cumsum(sizes)
+        texts_with[np.unique(grams[np.repeat(starts[words] - upto + sizes, sizes) + np.arange(upto[-1])])] += 1
+    common = (texts_with >= min(LEAST_TEXTS, 1 + len(docs) // 20))[:, None]
+    embedding = (rng.random((buckets, dimensions)) - 0.5) / dimensions * common
     output = rng.normal(size=(dimensions, 2)) / np.sqrt(dimensions)
     bias = np.zeros(2)
     squares, output_squares, bias_squares = np.full(buckets, 1e-6), np.full_like(output, 1e-6), np.full(2, 1e-6)
@@ -251,7 +263,8 @@ def fit(rows: list[tuple[int, str]], buckets: int = BUCKETS, dimensions: int = D
             unique, where = np.unique(ids, return_inverse=True)
             step = np.stack([np.bincount(where, each[:, d], len(unique)) for d in range(dimensions)], axis=1)
             squares[unique] += (step**2).mean(axis=1)
-            embedding[unique] -= rate * step / np.sqrt(squares[unique])[:, None]
+            move = rate * step / np.sqrt(squares[unique])[:, None] + DECAY * embedding[unique]
+            embedding[unique] -= move * common[unique]
         history.append(loss / len(docs))
     weights = embedding @ (output[:, 1] - output[:, 0])
     model = ToxicityModel(weights, float(bias[1] - bias[0]), window, history=history)
