@@ -7,7 +7,9 @@ use a smaller forest than the defaults (fewer, shallower trees), never fewer row
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
+import numpy as np
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -237,8 +239,7 @@ def weekday_groups(spark, folder):
     where weekday in ('Monday', 'Tuesday')""")
 def subset_by_source(spark, folder):
     df = fixtures.flows(spark, folder)
-    files = split.source_files_of(df, ("Monday", "Tuesday")).collect()  # names of files only
-    chosen = split.subset_by_source_files(df, [row["source_file"] for row in files])
+    chosen = split.subset_of_files(df, split.source_files_of(df, ("Monday", "Tuesday")))
     return chosen.select("flow_id", "source_file")
 
 
@@ -541,13 +542,16 @@ def csv_scan(spark, folder):
     )
 
 
-@query("""select doc_id, lang, md5(text) as text_md5, length(text) as characters
-    from documents where text <> ''""")
+@query("""select doc_id, lang, md5(nullif(text, '')) as text_md5,
+    length(nullif(text, '')) as characters from documents""")
 def csv_encoding(spark, folder):
-    """Documents written half as UTF-8 files and, where the text allows, half as latin1 files."""
+    """Documents written half as UTF-8 files and, where the text allows, half as latin1 files.
+
+    Their texts have line breaks, and come back with default arguments. CSV writes an empty text as it
+    writes none.
+    """
     path = new_path(spark, "csv")
-    documents = table(spark, folder, "documents").filter("text <> ''")
-    documents = documents.select("doc_id", "lang", "text")
+    documents = table(spark, folder, "documents").select("doc_id", "lang", "text")
     latin = F.col("text").rlike(r"(?s)^[\x00-\xFF]*$") & (F.col("doc_id") % 2 == 0)
     for rows, encoding in ((latin, "ISO-8859-1"), (~latin, "UTF-8")):
         (
@@ -556,10 +560,28 @@ def csv_encoding(spark, folder):
                      ignoreTrailingWhiteSpace=False)
             .csv(path)
         )
-    df = csv.load_text(spark, path, multi_line=True)
+    df = csv.load_text(spark, path)
+    text = F.nullif("text", F.lit(""))
     return df.select(
-        F.col("doc_id").cast("bigint").alias("doc_id"), "lang", F.md5("text").alias("text_md5"),
-        F.length("text").cast("bigint").alias("characters"),
+        F.col("doc_id").cast("bigint").alias("doc_id"), "lang", F.md5(text).alias("text_md5"),
+        F.length(text).cast("bigint").alias("characters"),
+    )
+
+
+@query("""select count(*) as files_rows, true as refused, count(distinct source) as sources
+    from documents""")
+def empty_folder(spark, folder):
+    """A folder without CSV files is refused; the same rows written as CSV are found."""
+    path = new_path(spark, "csv")
+    table(spark, folder, "documents").select("doc_id", "source").write.option("header", True).csv(path)
+    try:
+        csv.load_text(spark, path, pattern="*.tsv")
+        refused = False
+    except FileNotFoundError:
+        refused = True
+    return csv.load_text(spark, path).agg(
+        F.count("*").alias("files_rows"), F.lit(refused).alias("refused"),
+        F.countDistinct("source").alias("sources"),
     )
 
 
@@ -593,23 +615,89 @@ def csv_types(spark, folder):
 # Projections and the detector -----------------------------------------------------------------
 
 
-@query()
+ENERGY_SQL = " + ".join(f"power(({n} - a_{n}) / d_{n}, 2)" for n in NUMERIC)
+
+
+@query(f"""{SCALED_SQL} select count(*) as rows, true as orthogonal, true as falling,
+    true as captured, round(sum({ENERGY_SQL} + 1), 3) as energy from i, p where split = 'train' and target = 0""")
 def svd_features(spark, folder):
-    """Flows projected on the singular vectors of the benign training flows."""
+    """Benign training flows projected on their singular vectors.
+
+    Coordinates are orthogonal and their energy falls from one to the next. The vectors leave out the
+    weakest of all directions, so their energy is at most that of the scaled numbers and of one category
+    a row, and short of it by at most an equal share of one direction.
+    """
     train = training_flows(spark, folder)
     fitted = features.fit_features(train)
     vectors = projection.truncated_svd(train, fitted, 64)
-    return projection.svd_features(fixtures.flows(spark, folder), fitted, vectors, ["flow_id"])
+    return _coordinate_facts(projection.svd_features(train, fitted, vectors), vectors.count, _energy(train, fitted))
 
 
-def _chain(train: DataFrame):
-    return transform_for(fit_statistics(train, SMALL_FOREST), SMALL_FOREST, 42)
+def _energy(train: DataFrame, fitted: features.FittedFeatures) -> float:
+    numbers = features.FittedFeatures(fitted.numeric, (), ())
+    squares = F.aggregate(vector_to_array("features"), F.lit(0.0), lambda total, v: total + v * v)
+    return features.assemble(train, numbers).agg(F.sum(squares + F.lit(len(fitted.categorical)))).first()[0]
+
+
+def _coordinate_facts(projected: DataFrame, count: int, total: float) -> DataFrame:
+    x = lambda i: F.col("features")[i].cast("double")
+    sums = projected.agg(
+        F.count("*").alias("rows"),
+        *[F.sum(x(i) * x(j)).alias(f"g{i}_{j}") for i in range(count) for j in range(i, count)],
+    )
+    energy = [F.col(f"g{i}_{i}") for i in range(count)]
+    apart = [
+        F.abs(F.col(f"g{i}_{j}")) <= 1e-4 * F.sqrt(energy[i] * energy[j]) + 1e-6 * energy[0]
+        for i in range(count) for j in range(i + 1, count)
+    ]
+    falls = [energy[i] >= energy[i + 1] * (1 - 1e-6) for i in range(count - 1)]
+    both = lambda conditions: reduce(Column.__and__, conditions, F.lit(True))
+    return sums.select(
+        "rows", both(apart).alias("orthogonal"), both(falls).alias("falling"),
+        reduce(Column.__add__, energy).between(total * count / (count + 1), total * (1 + 1e-6)).alias("captured"),
+        F.round(F.lit(total), 3).alias("energy"),
+    )
+
+
+@query(f"""{SCALED_SQL} select count(*) as rows, true as orthogonal, true as falling,
+    true as captured, round(sum({ENERGY_SQL} + 1), 3) as energy from i, p where split = 'train' and target = 0""")
+def svd_features_wide(spark, folder):
+    """The same when categories do not fit on the driver: they stay in tables."""
+    train = training_flows(spark, folder)
+    fitted = features.fit_features(train, inline_width=len(NUMERIC))
+    vectors = projection.truncated_svd(train, fitted, 64)
+    return _coordinate_facts(projection.svd_features(train, fitted, vectors), vectors.count, _energy(train, fitted))
+
 
+#: Given weights (numeric features x outputs) and offsets of the Fourier map.
+GIVEN_WEIGHTS = ((0.25, -0.5, 0.125), (-0.75, 0.3, 0.2), (0.4, 0.1, -0.6))
+GIVEN_OFFSETS = (0.5, 1.5, 2.5)
 
-@query()
+
+def _fourier_sql(j: int) -> str:
+    angle = " + ".join(
+        f"({n} - a_{n}) / d_{n} * cast({GIVEN_WEIGHTS[i][j]} as double)" for i, n in enumerate(NUMERIC)
+    )
+    return f"round(sqrt(2 / cast(3 as double)) * cos({angle} + {GIVEN_OFFSETS[j]}), 4) + 0.0 as f{j}"
+
+
+@query(f"{SCALED_SQL} select flow_id, {', '.join(map(_fourier_sql, range(3)))} from i, p")
 def rff_features(spark, folder):
-    chain = _chain(training_flows(spark, folder))
-    return chain.apply(fixtures.flows(spark, folder), ["flow_id"])
+    """Fourier features of the scaled numeric features, with given weights instead of drawn ones."""
+    train = training_flows(spark, folder).select(*NUMERIC)
+    fitted = features.fit_features(train)
+    itself = projection.SingularVectors(np.eye(len(NUMERIC)))
+    mapped = projection.fourier_features(
+        fixtures.flows(spark, folder), fitted, itself, np.array(GIVEN_WEIGHTS),
+        np.array(GIVEN_OFFSETS), ["flow_id"],
+    )
+    return mapped.select(
+        "flow_id", *[(F.round(F.col("features")[j].cast("double"), 4) + 0.0).alias(f"f{j}") for j in range(3)]
+    )
+
+
+def _chain(train: DataFrame):
+    return transform_for(fit_statistics(train, SMALL_FOREST), SMALL_FOREST, 42)
 
 
 @query(f"""{TRAIN_SQL} select cast(r as integer) as rotation, count(*) as rows
@@ -631,10 +719,25 @@ def _fitted(prepared: DataFrame):
     return fit_detector(split.benign_part(prepared, "train"), config=SMALL_FOREST)
 
 
-@query()
+@query(f"""{WITH_SPLIT} select target, count(*) as rows, count(*) as usable, count(*) as consistent,
+    true as threshold_is_quantile from s where split = 'test' and {COMPLETE_SQL} group by target""")
 def rf_anomaly_scores(spark, folder):
+    """Scores of all clean test flows, flags that follow from them, and a threshold that is the quantile
+    of the benign training flows' own scores."""
     prepared = _prepared(spark, folder)
-    return _fitted(prepared).predict(split.part(prepared, "test"), ["flow_id", "target"])
+    train = split.benign_part(prepared, "train")
+    fitted = _fitted(prepared)
+    below = fitted.score(train).agg(
+        (F.count_if(F.col("score") <= fitted.threshold) / F.count("*")).alias("share"), F.count("*").alias("n")
+    ).first()
+    held = abs(below["share"] - fitted.config.threshold_quantile) <= 0.01 + 1 / below["n"]
+    flagged = fitted.predict(split.part(prepared, "test"), ["flow_id", "target"])
+    return flagged.groupBy("target").agg(
+        F.count("*").alias("rows"),
+        F.count_if(F.col("score").between(0.0, 28.0)).alias("usable"),
+        F.count_if((F.col("prediction") == 1) == (F.col("score") > fitted.threshold)).alias("consistent"),
+        F.lit(bool(held)).alias("threshold_is_quantile"),
+    )
 
 
 @query(f"""{WITH_SPLIT} select target, count(*) as rows, count(*) as scored from s
@@ -665,22 +768,42 @@ def model_roundtrip(spark, folder):
     )
 
 
-@query()
+def _record_facts(records: DataFrame) -> DataFrame:
+    """Of each run's record, what follows from the rows alone."""
+    shapes = [f"{part}_rows_{when}" for part in ("train", "val", "test") for when in ("before", "after")]
+    return records.select(
+        "variant", F.col("seed").cast("int").alias("seed"), *[F.col(s).cast("bigint").alias(s) for s in shapes],
+        (F.col("tn") + F.col("fp") + F.col("fn") + F.col("tp")).cast("bigint").alias("counted"),
+        F.col("roc_auc").between(0, 1).alias("has_auc"),
+        F.col("model_path").endswith(F.concat("variant", F.lit("_seed"), F.col("seed").cast("string"))).alias("has_model"),
+    )
+
+
+def _records_sql(variants: str, seeds: str) -> str:
+    def kept(part: str) -> str:
+        return f"count(*) filter (where split = '{part}' and (v.variant <> 'parse_norm_clean' or {COMPLETE_SQL}))"
+
+    shapes = ", ".join(
+        f"count(*) filter (where split = '{part}') as {part}_rows_before, {kept(part)} as {part}_rows_after"
+        for part in ("train", "val", "test")
+    )
+    return f"""{WITH_SPLIT} select v.variant, cast(z.seed as integer) as seed, {shapes},
+        {kept("test")} as counted, true as has_auc, true as has_model
+        from s, (values {variants}) v(variant), (values {seeds}) z(seed) group by all"""
+
+
+@query(_records_sql("('baseline')", "(42)"))
 def rf_anomaly_run(spark, folder):
-    return report.run_variant(fixtures.flows(spark, folder), "baseline", config=SMALL_FOREST)
+    return _record_facts(report.run_variant(fixtures.flows(spark, folder), "baseline", config=SMALL_FOREST))
 
 
-@query()
+@query(_records_sql("('baseline'), ('parse'), ('parse_norm'), ('parse_norm_clean')", "(42), (7)"))
 def run_summary(spark, folder):
-    """Two variants with two seeds: one record each.
-
-    The two variants in between leave the same rows as the first when labels are made binary before
-    the stages (see ``variant_shapes``).
-    """
-    return report.run_sweep(
-        fixtures.flows(spark, folder), ("baseline", "parse_norm_clean"), (42, 7), SMALL_FOREST,
+    """The full sweep: every variant with two seeds, one record each."""
+    return _record_facts(report.run_sweep(
+        fixtures.flows(spark, folder), tuple(VARIANTS), (42, 7), SMALL_FOREST,
         output=new_path(spark, "runs"), model_folder=new_path(spark, "models"),
-    )
+    ))
 
 
 # Flagship -------------------------------------------------------------------------------------

@@ -35,6 +35,7 @@ PROBABILITY_FLOOR = 1e-12
 class DetectorConfig:
     """Settings of the benign-only self-supervised detector."""
 
+    # The defaults that results depend on.
     svd_components: int = 64
     rff_components: int = 192
     rff_gamma: float = 0.10
@@ -47,8 +48,12 @@ class DetectorConfig:
     use_calibrated_threshold: bool = False
     scale_numeric: bool = True
     exclude_columns: tuple[str, ...] = IDENTIFIER_COLUMNS
-    # Spark-side settings: they change cost, not meaning.
+    # Spark-side settings. Split candidates per feature: fewer are cheaper and coarser.
     max_bins: int = 32
+    # About so many benign training rows grow the forest, drawn by their content; None takes all.
+    # Statistics, threshold, validation and test always use every row.
+    max_fit_rows: int | None = 2_000_000
+    # Cost only: memory of a task, and where categories are kept.
     forest_memory_mb: int = 512
     inline_width: int = 4096
 

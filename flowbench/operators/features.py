@@ -22,6 +22,8 @@ from .schema import numeric_and_categorical
 # fit keep their categories in a table instead (wide.py).
 INLINE_WIDTH = 4096
 HOT_SHARE = 1000
+# Rounding steps that a mean may carry; a deviation below this share of the mean is a constant's.
+ROUNDING_STEPS = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -117,9 +119,12 @@ def moments_after_imputation(facts: Profile) -> tuple[float, float]:
     return mean, variance + (facts.quantile - mean) ** 2 * (missing / facts.rows)
 
 
-def scale_for(mean: float, variance: float, rows: int) -> float:
-    """Population standard deviation; 1 where the variance is only rounding error of a constant."""
-    noise = rows * sys.float_info.epsilon
+def scale_for(mean: float, variance: float) -> float:
+    """Population standard deviation; 1 where the variance is only rounding error of a constant.
+
+    The bound on that error does not depend on the number of rows: means are merged pairwise.
+    """
+    noise = ROUNDING_STEPS * sys.float_info.epsilon
     return 1.0 if variance <= noise * variance + (noise * mean) ** 2 else math.sqrt(variance)
 
 
@@ -181,7 +186,7 @@ def fit_features(
         mean, scale = 0.0, 1.0
         if scale_numeric:
             mean, variance = moments_after_imputation(facts[name])
-            scale = scale_for(mean, variance, facts[name].rows)
+            scale = scale_for(mean, variance)
         fitted.append(NumericFeature(name, facts[name].quantile, mean, scale))
 
     encoded = []
@@ -221,12 +226,22 @@ def filled(feature: CategoricalFeature) -> Column:
     return F.coalesce(category(feature.name), F.lit(feature.mode))
 
 
+def number(position: int) -> str:
+    """Reserved column name of a scaled numeric feature; never that of a kept column."""
+    return f"__flow_n{position}"
+
+
+def text(position: int) -> str:
+    """Reserved column name of an imputed categorical feature."""
+    return f"__flow_c{position}"
+
+
 def prepared(df: DataFrame, fitted: FittedFeatures, keep: Iterable[str] = ()) -> DataFrame:
-    """``keep`` plus one column per fitted feature: ``n0, n1 ...`` scaled, ``c0, c1 ...`` imputed."""
+    """``keep`` plus one column per fitted feature: scaled ``number(i)``, imputed ``text(i)``."""
     return df.select(
         *[col(name) for name in keep],
-        *[scaled(df, f).alias(f"n{i}") for i, f in enumerate(fitted.numeric)],
-        *[filled(f).alias(f"c{i}") for i, f in enumerate(fitted.categorical)],
+        *[scaled(df, f).alias(number(i)) for i, f in enumerate(fitted.numeric)],
+        *[filled(f).alias(text(i)) for i, f in enumerate(fitted.categorical)],
     )
 
 
@@ -237,21 +252,27 @@ def assemble(
 
     A category not seen in fitting gives an all-zero block.
     """
+    if not fitted.inline:
+        names = [fitted.categorical[i].name for i in fitted.wide]
+        raise ValueError(
+            f"Too many categories for a vector: {', '.join(names)}; raise inline_width, or use "
+            "svd_features or fourier_features, which keep such categories in a table"
+        )
     keep = list(keep)
-    numbers = [f"n{i}" for i in range(len(fitted.numeric))]
-    texts = [f"c{i}" for i in range(len(fitted.categorical))]
+    numbers = [number(i) for i in range(len(fitted.numeric))]
+    texts = [text(i) for i in range(len(fitted.categorical))]
     frame = prepared(df, fitted, keep)
     if texts:
         indexed = frame
-        for text, feature in zip(texts, fitted.categorical):
+        for name, feature in zip(texts, fitted.categorical):
             indexed = StringIndexerModel.from_labels(
-                list(feature.categories), text, f"i_{text}", handleInvalid="keep"
+                list(feature.categories), name, f"{name}_index", handleInvalid="keep"
             ).transform(indexed)
         encoder = OneHotEncoder(
-            inputCols=[f"i_{t}" for t in texts], outputCols=[f"o_{t}" for t in texts], dropLast=True
+            inputCols=[f"{t}_index" for t in texts], outputCols=[f"{t}_hot" for t in texts], dropLast=True
         )
         frame = encoder.fit(indexed).transform(indexed)
     assembler = VectorAssembler(
-        inputCols=numbers + [f"o_{t}" for t in texts], outputCol=output, handleInvalid="error"
+        inputCols=numbers + [f"{t}_hot" for t in texts], outputCol=output, handleInvalid="error"
     )
     return assembler.transform(frame).select(*[col(name) for name in keep], output)

@@ -67,6 +67,11 @@ def subset_by_source_files(df: DataFrame, source_files: Iterable[str]) -> DataFr
     return df.filter(F.col(SOURCE_FILE).cast("string").isin(list(source_files)))
 
 
+def subset_of_files(df: DataFrame, files: DataFrame) -> DataFrame:
+    """Rows of the files that a frame lists; any number of files, none of which reaches the driver."""
+    return df.join(files.select(SOURCE_FILE).distinct(), SOURCE_FILE, "left_semi").select(*df.columns)
+
+
 def with_split(df: DataFrame) -> DataFrame:
     """Add ``weekday`` and ``split``; rows of files without a weekday keep a NULL split.
 

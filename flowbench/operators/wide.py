@@ -24,12 +24,16 @@ from pyspark.sql import functions as F
 
 from ..functions.arrays import lists_of, matrix_of_lists
 from ..sources.tables import new_path, read_back, write_table
-from .features import FittedFeatures, assemble, prepared
+from .features import FittedFeatures, assemble, number, prepared, text
 from .quantile import MERGE_GROUPS
 
 OVERSAMPLING = 10
-ITERATIONS = 10
+#: Iterations stop when the captured energy changes by less than this share, or raise at the limit.
+TOLERANCE = 1e-10
+MAX_ITERATIONS = 200
 KEY = ("feature", "value")
+# Reserved names, so that no kept column is overwritten.
+KEY_COLUMN, LISTED_COLUMN = "__flow_key", "__flow_listed"
 
 
 def component_count(width: int, wanted: int) -> int:
@@ -44,10 +48,10 @@ def fix_signs(vectors: np.ndarray) -> np.ndarray:
 
 def category_sums(df: DataFrame, fitted: FittedFeatures) -> DataFrame:
     """Per category of every categorical feature: rows, and sums of the scaled numeric features."""
-    numbers = [f"n{i}" for i in range(len(fitted.numeric))]
+    numbers = [number(i) for i in range(len(fitted.numeric))]
     cells = F.array(
         *[
-            F.struct(F.lit(i).alias("feature"), F.col(f"c{i}").alias("value"))
+            F.struct(F.lit(i).alias("feature"), F.col(text(i)).alias("value"))
             for i in range(len(fitted.categorical))
         ]
     )
@@ -65,8 +69,8 @@ def category_pairs(df: DataFrame, fitted: FittedFeatures) -> DataFrame | None:
     places = range(len(fitted.categorical))
     pairs = [
         F.struct(
-            F.lit(i).alias("feature"), F.col(f"c{i}").alias("value"),
-            F.lit(j).alias("feature2"), F.col(f"c{j}").alias("value2"),
+            F.lit(i).alias("feature"), F.col(text(i)).alias("value"),
+            F.lit(j).alias("feature2"), F.col(text(j)).alias("value2"),
         )
         for i in places for j in places if i != j
     ]
@@ -181,17 +185,26 @@ def singular_vectors(
     pairs = category_pairs(df, fitted)
     if pairs is not None:
         pairs = write_table(pairs, "category-pairs")
+    wanted = component_count(numbers + sums.count(), wanted)  # as for vectors on the driver
     size = wanted + OVERSAMPLING
     numeric_gram = _numeric_gramian(df, fitted)
     table = _start(sums, size)
     numeric = np.where(np.random.default_rng(0).random((numbers, size)) < 0.5, -1.0, 1.0)
-    for _ in range(ITERATIONS):
+    energy = 0.0
+    for _ in range(MAX_ITERATIONS):
         sums_y, y_y = _moments(table, numbers, size)
-        turn = _orthonormal(numeric.T @ numeric + y_y)
+        gram = numeric.T @ numeric + y_y
+        # of the Gramian times an orthonormal basis: the singular values of the strongest directions
+        before, energy = energy, float(np.sqrt(np.sort(np.linalg.eigvalsh(gram))[::-1][:wanted].clip(0)).sum())
+        turn = _orthonormal(gram)
         numeric_basis = numeric @ turn
         table = _multiply(table, pairs, fitted, turn, numeric_basis)
         numeric = numeric_gram @ numeric_basis + sums_y @ turn
         size = turn.shape[1]
+        if abs(energy - before) <= TOLERANCE * energy:
+            break
+    else:
+        raise RuntimeError("The singular vectors did not settle")
     _, y_y = _moments(table, numbers, size)
     turn = _orthonormal(numeric.T @ numeric + y_y)[:, :wanted]
     numeric = numeric @ turn
@@ -256,7 +269,7 @@ def _listed_vectors(vectors: DataFrame, fitted: FittedFeatures) -> list[np.ndarr
 def attach_vectors(
     frame: DataFrame, fitted: FittedFeatures, position: int, table: str
 ) -> DataFrame:
-    """Add ``v<position>``: the vector of the row's category, NULL if it is listed or unknown.
+    """Add ``__flow_v<position>``: the vector of the row's category, NULL if it is listed or unknown.
 
     Listed (hot) values need no join. Their rows get the number of their input partition as key, which
     matches nothing, so the shuffle has no hot key: what is left are values below one in HOT_SHARE
@@ -267,12 +280,15 @@ def attach_vectors(
         .parquet(table)
         .filter(F.col("feature") == position)
         .select(
-            F.col("value").alias("key"), F.lit(False).alias("listed"),
-            F.col("vector").alias(f"v{position}"),
+            F.col("value").alias(KEY_COLUMN), F.lit(False).alias(LISTED_COLUMN),
+            F.col("vector").alias(f"__flow_v{position}"),
         )
     )
-    value = F.col(f"c{position}")
+    value = F.col(text(position))
     listed = value.isin(list(fitted.categorical[position].listed))
     partition = F.spark_partition_id().cast("string")
-    keyed = frame.withColumns({"key": F.when(listed, partition).otherwise(value), "listed": listed})
-    return keyed.join(vectors, ["key", "listed"], "left").drop("key", "listed")
+    both = [KEY_COLUMN, LISTED_COLUMN]
+    keyed = frame.withColumns(
+        {KEY_COLUMN: F.when(listed, partition).otherwise(value), LISTED_COLUMN: listed}
+    )
+    return keyed.join(vectors, both, "left").drop(*both)

@@ -25,11 +25,14 @@ from ..operators.features import (
     fit_features,
 )
 from ..operators.scoring import anomaly_score, choose_threshold, derived_threshold, flag_anomalies
-from ..sources.tables import in_file_order, scan_splits, spread, write_table
+from ..sources.tables import laid_out, write_table
 
-# A stored feature row becomes one forest row per rotation, with a bootstrap count per tree: about
-# twenty times its size. Tasks of the fit therefore read small pieces of the feature table.
-FOREST_SPLIT_BYTES = 16 * 1024 * 1024
+# A feature row becomes one forest row per rotation, with a bootstrap count per tree: about twenty times
+# its size. Tasks of the fit therefore take this many rows.
+FOREST_ROWS = 20_000
+
+# Reserved names, so that no kept column is overwritten.
+VECTOR, CLASS_PROBABILITY, PROBABILITY = "__flow_vector", "__flow_class_probability", "__flow_probability"
 
 ARROW_TYPES = {
     "int": pa.int32(), "string": pa.string(), "double": pa.float64(), "boolean": pa.bool_(),
@@ -63,10 +66,12 @@ class Detector:
     derived_threshold: float | None = None
     training_seconds: float | None = None
     validation_seconds: float | None = None
+    fit_rows: int | None = None
 
     @property
-    def info(self) -> dict[str, int]:
+    def info(self) -> dict[str, int | None]:
         return {
+            "n_fit_rows": self.fit_rows,
             "n_estimators": self.config.trees,
             "n_features": len(self.transform.features.names) + len(self.transform.features.dropped),
             "n_rotations": self.config.rotations,
@@ -74,11 +79,11 @@ class Detector:
 
     def score(self, df: DataFrame, keep: Iterable[str] = ()) -> DataFrame:
         """``keep`` plus ``score``, high for rows unlike the benign training rows."""
-        return self._score_features(self.transform.apply(spread(df), keep), keep)
+        return self._score_features(self.transform.apply(df, keep), keep)
 
     def _score_features(self, features: DataFrame, keep: Iterable[str] = ()) -> DataFrame:
         return _identity_probability(self.forest, features, keep).select(
-            *[col(name) for name in keep], anomaly_score(F.col("probability")).alias("score")
+            *[col(name) for name in keep], anomaly_score(F.col(PROBABILITY)).alias("score")
         )
 
     def predict(self, df: DataFrame, keep: Iterable[str] = ()) -> DataFrame:
@@ -96,7 +101,7 @@ def _identity_probability(
     )
     return forest.transform(vectors).select(
         *[col(name) for name in keep],
-        vector_to_array(forest.getProbabilityCol())[0].alias("probability"),
+        vector_to_array(forest.getProbabilityCol())[0].alias(PROBABILITY),
     )
 
 
@@ -132,22 +137,33 @@ def fit_forest(
 ) -> RandomForestClassificationModel:
     """Learn to tell the rotations apart. All classes have equally many rows, so none needs a weight.
 
-    ``features`` should be a stored table: the bootstrap draws per partition and row order, which a
-    table keeps when an executor is lost. The rotated rows are made from it when read, not stored.
+    ``features`` should be a stored table. The bootstrap draws per partition and row order, so the rows
+    are laid out by their content first: the same rows give the same forest on any cluster. The rotated
+    rows are made when read, not stored.
     """
     classes = {"ml_attr": {"type": "nominal", "name": "rotation", "num_vals": len(rotations)}}
-    rows = projection.rotate(features, rotations).select(
-        array_to_vector("features").alias("flow_vector"),
+    # The known width spares Spark ML a look at the first row, which would cut a Python worker short.
+    width = {"ml_attr": {"num_attrs": rotations.shape[1]}}
+    rows = projection.rotate(laid_out(features, FOREST_ROWS), rotations).select(
+        array_to_vector("features").alias(VECTOR, metadata=width),
         F.col("rotation").cast("double").alias("rotation", metadata=classes),
     )
     forest = RandomForestClassifier(
-        featuresCol="flow_vector", labelCol="rotation", predictionCol="", rawPredictionCol="",
-        probabilityCol="class_probability", numTrees=config.trees, maxDepth=config.max_depth,
+        featuresCol=VECTOR, labelCol="rotation", predictionCol="", rawPredictionCol="",
+        probabilityCol=CLASS_PROBABILITY, numTrees=config.trees, maxDepth=config.max_depth,
         minInstancesPerNode=config.min_rows_per_leaf, featureSubsetStrategy="sqrt",
         maxBins=config.max_bins, maxMemoryInMB=config.forest_memory_mb, seed=seed,
     )
-    with scan_splits(features.sparkSession, FOREST_SPLIT_BYTES):
-        return forest.fit(rows)
+    return forest.fit(rows)
+
+
+def fit_sample(features: DataFrame, most: int | None) -> DataFrame:
+    """The rows the forest is grown on: all, or about ``most`` drawn by a hash of their content."""
+    rows = features.count()
+    if most is None or rows <= most:
+        return features
+    draw = F.xxhash64("features", F.lit("fit")).bitwiseAND(F.lit((1 << 53) - 1))
+    return features.filter(draw < F.lit(int((1 << 53) * (most / rows))))
 
 
 def fit_detector(
@@ -166,13 +182,11 @@ def fit_detector(
         statistics = fit_statistics(train_benign, config)
     start = time.perf_counter() - statistics.seconds
     transform = transform_for(statistics, config, seed)
-    features = write_table(
-        transform.apply(spread(train_benign)), "features", row_group_bytes=FOREST_SPLIT_BYTES
-    )
-    features = in_file_order(features)
+    features = write_table(transform.apply(train_benign), "features")
     rotations = projection.rotation_matrices(config.rff_components, config.rotations, seed)
-    forest = fit_forest(features, rotations, config, seed)
-    detector = Detector(config, seed, transform, rotations, forest)
+    sample = fit_sample(features, config.max_fit_rows)
+    forest = fit_forest(sample, rotations, config, seed)
+    detector = Detector(config, seed, transform, rotations, forest, fit_rows=sample.count())
     training_seconds = time.perf_counter() - start
 
     # The quantile takes several passes: score once, then pass over the stored scores.
@@ -227,6 +241,7 @@ def save_detector(detector: Detector, path: str) -> str:
         "threshold": detector.threshold, "derived_threshold": detector.derived_threshold,
         "training_seconds": detector.training_seconds,
         "validation_seconds": detector.validation_seconds,
+        "fit_rows": detector.fit_rows,
     }
     _save(spark, [(json.dumps(settings),)], "settings string", f"{path}/settings")
     rows = [(f.name, f.median, f.mean, f.scale, None, False) for f in fitted.numeric]

@@ -88,11 +88,11 @@ def variant_shapes(
     counted = frame.groupBy("split").agg(
         F.count("*").alias("before"), F.count_if(survives).alias("cleaned")
     )
-    columns = len([c for c in df.columns if c not in ENGINE_COLUMNS])  # without the label
     after = [
         F.struct(
             F.lit(name).alias("variant"),
             F.col("cleaned" if "clean" in VARIANTS[name] else "before").alias("rows_after"),
+            F.lit(_width(prepare_variant(df, name, order, check=False))).alias("columns_after"),
         )
         for name in names
     ]
@@ -100,6 +100,11 @@ def variant_shapes(
         "split", F.col("before").alias("rows_before"), F.explode(F.array(*after)).alias("v")
     ).select(
         "v.variant", "split", "rows_before", "v.rows_after",
-        F.lit(columns).cast("long").alias("columns_before"),
-        F.lit(columns).cast("long").alias("columns_after"),
+        F.lit(_width(df)).cast("long").alias("columns_before"),
+        F.col("v.columns_after").cast("long").alias("columns_after"),
     )
+
+
+def _width(df: DataFrame) -> int:
+    """Columns without the label and what this engine adds; read from the schema, without a job."""
+    return len([c for c in df.columns if c not in ENGINE_COLUMNS])

@@ -45,10 +45,11 @@ def _glob(directory: str, pattern: str) -> str:
 
 
 def csv_inventory(spark: SparkSession, directory: str, pattern: str = "*.csv") -> DataFrame:
-    """One row per matching file directly in ``directory``: path, source_file, is_utf8, header.
+    """One row per matching file directly in ``directory``: path, source_file, is_utf8, header, broken.
 
     One pass over all text, in JVM code, with one small state per file; large files are read in
-    parallel pieces. ``header`` is the first line that is not blank, decoded like the file.
+    parallel pieces. ``header`` is the first line that is not blank, decoded like the file. ``broken``:
+    some line holds an odd number of quotes, so a quoted cell may go on in the next line.
     """
     try:
         text = spark.read.text(_glob(directory, pattern))
@@ -67,6 +68,7 @@ def csv_inventory(spark: SparkSession, directory: str, pattern: str = "*.csv") -
     files = lines.groupBy("path").agg(
         F.collect_set(F.is_valid_utf8("value")).alias("validity"),  # at most two elements
         F.min_by(F.when(filled, F.col("value").cast("binary")), position).alias("first_line"),
+        F.bool_or(F.regexp_count("value", F.lit('"')) % 2 == 1).alias("broken"),
     )
     is_utf8 = ~F.array_contains("validity", False)
     return files.select(
@@ -76,6 +78,7 @@ def csv_inventory(spark: SparkSession, directory: str, pattern: str = "*.csv") -
         F.when(is_utf8, F.col("first_line").cast("string"))
         .otherwise(F.decode("first_line", "ISO-8859-1"))
         .alias("header"),
+        "broken",
     )
 
 
@@ -179,7 +182,14 @@ def _typed(name: str, data_type: str) -> Column:
 
 
 def apply_types(df: DataFrame, types: dict[str, str]) -> DataFrame:
-    """Typed columns, missing tokens as NULL; columns not in ``types`` pass unchanged."""
+    """Typed columns, missing tokens as NULL; columns not in ``types`` pass unchanged.
+
+    Reading a line with more cells than its header raises: no cell is dropped silently.
+    """
+    if UNEXPECTED in df.columns:
+        message = F.concat(F.col(SOURCE_FILE), F.lit(": a line has more cells than the header"))
+        fits = F.when(col(UNEXPECTED).isNull(), True).otherwise(F.raise_error(message).cast("boolean"))
+        df = df.filter(fits)
     return df.select(
         *[
             (_typed(name, types[name]) if name in types else col(name)).alias(name)
@@ -199,30 +209,35 @@ def _flow_names(names: list[str], on_collision: str) -> list[str]:
 def load_text(
     spark: SparkSession,
     directory: str,
-    multi_line: bool = False,
+    multi_line: bool | None = None,
     on_collision: str = "error",
     pattern: str = "*.csv",
 ) -> DataFrame:
     """All files of a directory as one frame of text cells with canonical names.
 
-    Files that share header and encoding are one scan; the scans are united by column name.
+    Files that share header and encoding are one scan; the scans are united by column name. Files with
+    an unclosed quote on some line are read with line breaks inside quotes, which keeps Spark from
+    splitting them; the others are split. ``multi_line`` decides for all files instead.
     """
     files = csv_inventory(spark, directory, pattern).filter("header is not null")
     files = files.persist(StorageLevel.MEMORY_AND_DISK)
-    groups = files.groupBy("header", "is_utf8").agg(F.min(SOURCE_FILE).alias("first_file"))
+    if multi_line is not None:
+        files = files.withColumn("broken", F.lit(multi_line))
+    kinds = ["header", "is_utf8", "broken"]
+    groups = files.groupBy(*kinds).agg(F.min(SOURCE_FILE).alias("first_file"))
     groups = groups.orderBy("first_file").collect()
     frames = []
     for group in groups:
         # One kind of file only: the glob says it all. Else the reader needs the group's file names.
         paths = [_glob(directory, pattern)]
         if len(groups) > 1:
-            members = files.filter(
-                (F.col("header") == group["header"]) & (F.col("is_utf8") == group["is_utf8"])
-            )
+            members = files
+            for kind in kinds:
+                members = members.filter(F.col(kind) == group[kind])
             paths = sorted(literal_path(unquote(row["path"])) for row in members.select("path").collect())
         names = _flow_names(header_names(group["header"]), on_collision)
         encoding = "UTF-8" if group["is_utf8"] else "ISO-8859-1"
-        frames.append(scan_csv(spark, paths, names, encoding, multi_line))
+        frames.append(scan_csv(spark, paths, names, encoding, group["broken"]))
     files.unpersist()
     if not frames:
         raise FileNotFoundError(f"{directory} holds no CSV files")
@@ -238,7 +253,7 @@ def load_raw_data(
     spark: SparkSession,
     directory: str,
     types: dict[str, str] | None = None,
-    multi_line: bool = False,
+    multi_line: bool | None = None,
     on_collision: str = "error",
     pattern: str = "*.csv",
 ) -> DataFrame:

@@ -8,16 +8,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
-from contextlib import contextmanager
 from functools import lru_cache
-from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
-MAX_SPLIT = "spark.sql.files.maxPartitionBytes"
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -37,19 +34,10 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/flowbench/{name}-{uuid.uuid4().hex}"
 
 
-def write_table(
-    df: DataFrame,
-    name: str,
-    partition_by: tuple[str, ...] = (),
-    row_group_bytes: int | None = None,
-) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and return a frame that reads it back.
-
-    Scans cut files between row groups only: smaller ones allow smaller tasks (``scan_splits``).
-    """
+def write_table(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
+    """Write ``df`` as Parquet to the shared folder and return a frame that reads it back."""
     path = new_path(df.sparkSession, name)
-    options = {"parquet.block.size": row_group_bytes} if row_group_bytes else {}
-    df.write.options(**options).partitionBy(*partition_by).parquet(path)
+    df.write.partitionBy(*partition_by).parquet(path)
     return read_back(df.sparkSession, path, df.schema)
 
 
@@ -63,35 +51,11 @@ def literal_path(path: str) -> str:
     return "".join(f"\\{c}" if c in "\\{}[]*?" else c for c in path)
 
 
-def in_file_order(table: DataFrame) -> DataFrame:
-    """The stored table with its files named in order, so that equal tables get equal partitions.
-
-    Scans order files by size and, where sizes tie, as the file system lists them. Local file systems
-    list in no fixed order; distributed ones list by name, so a table of very many files needs no help.
-    """
-    files = table.inputFiles()
-    if len(files) > 10_000:
-        return table
-    paths = sorted(literal_path(unquote(file)) for file in files)
-    return table.sparkSession.read.schema(table.schema).parquet(*paths)
-
-
-@contextmanager
-def scan_splits(spark: SparkSession, max_bytes: int) -> Iterator[None]:
-    """Within the block, scans that start hand each task at most ``max_bytes`` of file."""
-    before = spark.conf.get(MAX_SPLIT)
-    spark.conf.set(MAX_SPLIT, str(max_bytes))
-    try:
-        yield
-    finally:
-        spark.conf.set(MAX_SPLIT, before)
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Use all cores for work that is heavy per row when the input has fewer partitions than cores.
+def laid_out(table: DataFrame, rows_per_part: int) -> DataFrame:
+    """The rows of a stored table in a layout that depends on the data only.
 
-    A scan of a large table has many more partitions already and passes without a shuffle. The
-    round-robin exchange sorts rows first, so a retried task deals them out in the same way.
+    Rows go to partitions by a hash of their content, into a number of partitions that follows from the
+    row count, and are sorted within. Neither cores, files nor retries change what a task sees.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    parts = table.count() // rows_per_part + 1
+    return table.repartition(parts, F.xxhash64(*table.columns)).sortWithinPartitions(*table.columns)
