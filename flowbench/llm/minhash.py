@@ -44,7 +44,7 @@ LINK = 75
 #: Buckets of at most this many classes give all pairs at once.
 SMALL_BUCKET = 6
 #: Rounds of drawn members before all pairs across components are compared.
-ROUNDS = 3
+ROUNDS = 2
 #: Larger buckets are measured against a pivot before pairs across their components are formed.
 PIVOT_BUCKET = 64
 #: Words of the bitmap of a set's elements outside the pivot.
@@ -186,7 +186,7 @@ def close(a: str, b: str) -> Column:
 
 
 def link_classes(docs: DataFrame, id_column: str, text_column: str, reps: DataFrame) -> DataFrame:
-    """Confirmed links (a, b) between class representatives; ``reps`` has id, bands, bits."""
+    """(node, component) of the linked class representatives; ``reps`` has id, bands, bits."""
     reps = write_table(reps.select("id", "bands", "bits"), "minhash-reps")
     members = reps.select("id", F.explode("bands").alias("key"))
     buckets = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("least")).filter("n > 1")
@@ -203,14 +203,14 @@ def link_classes(docs: DataFrame, id_column: str, text_column: str, reps: DataFr
     first = large.filter(F.col("own.id") == F.col("key")).select("key", F.col("own").alias("a"))
     stars = large.filter(F.col("own.id") != F.col("key")).select("key", F.col("own").alias("b")).join(first, "key").filter(close("a", "b"))
     tried = write_table(pairs_of(all_pairs).unionByName(pairs_of(stars)).distinct(), "minhash-pairs")
-    links = write_table(linked(tried, sets), "minhash-links")
+    joined = components(write_table(linked(tried, sets), "minhash-links"))
     for turn in range(ROUNDS + 1):
-        placed = across_components(large, components(links))
+        placed = across_components(large, joined)
         total, across = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(
             F.sum("n").alias("all"), ((F.pow(F.sum("n"), F.lit(2)) - F.sum(F.col("n") * F.col("n"))) / 2).alias("across")
         ).agg(F.sum("all"), F.sum("across")).first()
         if not total:
-            return links
+            return joined
         last = turn == ROUNDS or across <= 2 * total
         one = placed.select("key", F.col("own").alias("a"), F.col("component").alias("a_in"))
         two = placed.select("key", F.col("own").alias("b"), F.col("component").alias("b_in"))
@@ -226,9 +226,11 @@ def link_classes(docs: DataFrame, id_column: str, text_column: str, reps: DataFr
             drawn = one.groupBy("key").agg(F.min(F.struct(F.xxhash64("a.id", F.lit(turn)).alias("order"), "a", "a_in")).alias("drawn"))
             found = two.join(drawn.select("key", "drawn.a", "drawn.a_in"), "key").filter(F.expr("a_in <> b_in") & close("a", "b"))
         more = write_table(pairs_of(found).distinct().join(tried, ["a", "b"], "left_anti"), "minhash-pairs")
-        links = write_table(links.unionByName(linked(more, sets)), "minhash-links")
+        new = write_table(linked(more, sets), "minhash-links")
+        if not new.isEmpty():  # what is joined already stays so: stars and new links settle quickly
+            joined = components(new.unionByName(joined.select(F.col("node").alias("a"), F.col("component").alias("b"))))
         if last:
-            return links
+            return joined
         tried = tried.unionByName(more)
 
 
@@ -300,7 +302,7 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     classes = full.groupBy("n_shingles", "set_a", "set_b").agg(F.min("id").alias("rep"))
     classes = write_table(classes, "minhash-classes")
     reps = full.join(classes.select(F.col("rep").alias("id")), "id", "left_semi").dropDuplicates(["id", "set_a", "set_b"])
-    joined = components(link_classes(docs, id_column, text_column, reps))
+    joined = link_classes(docs, id_column, text_column, reps)
     placed = classes.join(joined, classes["rep"] == joined["node"], "left").select(
         "n_shingles", "set_a", "set_b", F.coalesce("component", "rep").alias("component_id")
     )
