@@ -105,9 +105,21 @@ def test_errors(spark, folder, tmp_path):
 
 
 def test_line_breaks_inside_quotes(spark, tmp_path):
+    """Files that need it are read across lines by default; the others stay splittable."""
     write(tmp_path, "a.csv", 'id,text\n1,"two\nlines"\n2,one\n')
-    rows = csv.load_raw_data(spark, str(tmp_path), multi_line=True).orderBy("id").collect()
-    assert [r.text for r in rows] == ["two\nlines", "one"]
+    write(tmp_path, "b.csv", 'id,text\n3,"a ""q"""\n')
+    write(tmp_path, "c.csv", 'id,text\n4,"\xe9\n"\n', "latin1")
+    rows = csv.load_raw_data(spark, str(tmp_path)).orderBy("id").collect()
+    assert [r.text for r in rows] == ["two\nlines", "one", 'a "q"', "\xe9\n"]
+    broken = {r.source_file: r.broken for r in csv.csv_inventory(spark, str(tmp_path)).collect()}
+    assert broken == {"a.csv": True, "b.csv": False, "c.csv": True}
+
+
+def test_surplus_cells_raise_with_known_types_too(spark, tmp_path):
+    write(tmp_path, "Monday.csv", "id, Label\n1,BENIGN\n2,BENIGN,EXTRA\n")
+    df = csv.load_raw_data(spark, str(tmp_path), types={"id": "bigint", "label": "string"})
+    with pytest.raises(Exception, match="Monday.csv: a line has more cells"):
+        df.collect()
 
 
 def test_one_file(spark, folder):

@@ -148,9 +148,45 @@ def test_shared_folder_is_the_configured_one():
     assert local == tables.shared_folder(Session({}, "local[2]"))
 
 
-def test_scan_splits_are_put_back(spark):
-    before = spark.conf.get(tables.MAX_SPLIT)
-    with pytest.raises(RuntimeError), tables.scan_splits(spark, 1000):
-        assert spark.conf.get(tables.MAX_SPLIT) == "1000"
-        raise RuntimeError
-    assert spark.conf.get(tables.MAX_SPLIT) == before
+def test_the_layout_follows_from_the_rows(spark, flows):
+    """Neither the order, the partitions nor the files of the input change the fitted detector."""
+    config = DetectorConfig(rff_components=8, rotations=2, trees=3, max_depth=3)
+    benign = flows.filter("label = 'BENIGN'")
+    laid = [benign.coalesce(1), benign.repartition(7, "metric_1"), benign.orderBy(F.desc("metric_0"))]
+    found = {detector.fit_detector(frame, config=config, seed=1).threshold for frame in laid}
+    assert len(found) == 1
+
+
+def test_bounded_fit_keeps_statistics_and_threshold_on_all_rows(flows):
+    benign = flows.filter("label = 'BENIGN'")
+    bounded = DetectorConfig(rff_components=8, rotations=2, trees=3, max_depth=3, max_fit_rows=300)
+    every = DetectorConfig(rff_components=8, rotations=2, trees=3, max_depth=3, max_fit_rows=None)
+    few, full = (detector.fit_detector(benign, config=c) for c in (bounded, every))
+    assert full.fit_rows == 1500 and 200 < few.fit_rows < 400 and few.info["n_fit_rows"] == few.fit_rows
+    assert few.transform.features == full.transform.features
+    scores = few.score(benign).toPandas().score
+    assert len(scores) == 1500 and few.threshold == pytest.approx(np.quantile(scores, 0.97), rel=1e-12)
+
+
+@pytest.mark.parametrize("name", ["key", "listed", "n0", "c0", "probability", "flow_vector", "class_probability"])
+def test_kept_columns_may_have_any_name(flows, name):
+    config = DetectorConfig(
+        rff_components=4, rotations=2, trees=1, max_depth=2, svd_components=3, inline_width=6
+    )
+    many = flows.withColumn("port", (F.xxhash64("metric_0") % 300).cast("string"))
+    fitted = detector.fit_detector(many.filter("label = 'BENIGN'"), config=config)
+    named = many.withColumn(name, F.col("source_file"))
+    got = fitted.predict(named, [name, "source_file"])
+    assert got.columns == [name, "source_file", "score", "prediction"]
+    assert got.filter(F.col(name) != F.col("source_file")).count() == 0 and got.count() == many.count()
+
+
+def test_a_value_that_only_the_scored_rows_have_may_flood(flows):
+    """Most rows to score share one value that training never saw."""
+    config = DetectorConfig(
+        rff_components=4, rotations=2, trees=1, max_depth=2, svd_components=3, inline_width=6
+    )
+    many = flows.withColumn("port", (F.xxhash64("metric_0") % 300).cast("string"))
+    fitted = detector.fit_detector(many.filter("label = 'BENIGN'"), config=config)
+    flooded = many.withColumn("port", F.when(F.rand(1) < 0.9, "new").otherwise(F.col("port")))
+    assert fitted.score(flooded).filter("score is not null").count() == many.count()

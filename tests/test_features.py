@@ -161,3 +161,14 @@ def test_wide_categories_give_the_same_features(spark, flows, fitted, table):
     )
     assert list(left.index) == list(right.index) and len(left) == len(table) + 1
     assert np.abs(np.stack(left) - np.stack(right)).max() < 1e-4
+
+
+def test_scale_does_not_depend_on_the_number_of_rows():
+    assert features.scale_for(1.7e9, 9e8) == 3e4
+    assert features.scale_for(1.7e9, 1e-6) == 1.0 and features.scale_for(0.0, 0.0) == 1.0
+
+
+def test_vectors_of_too_many_categories_are_refused(flows):
+    in_table = features.fit_features(flows, inline_width=8)
+    with pytest.raises(ValueError, match="host"):
+        features.assemble(flows, in_table)

@@ -5,7 +5,7 @@ import __spark_entry__ as entry
 
 FOLDER = "/root/testdata/sf0.001"
 ORACLES = entry.oracle_sql()
-ROWS_ONLY = sorted(set(entry.queries()) - set(ORACLES) - {"run_summary"})
+ROWS_ONLY = sorted(set(entry.queries()) - set(ORACLES))
 
 
 @pytest.fixture(scope="module")
