@@ -34,7 +34,7 @@ from flowbench.llm import words as W
 from flowbench.sources.tables import write_table
 
 LENGTH = 50
-ANCHOR = 20
+ANCHOR = 16
 #: Anchors in a string.
 PLACES = LENGTH - ANCHOR + 1
 #: Windows of a text are taken in segments of this many, and segments together up to this many bytes.
@@ -42,6 +42,8 @@ SEGMENT = 1 << 19
 GROUP_BYTES = 1 << 20
 #: Texts of an Arrow batch are taken together up to this many bytes.
 PIECE_BYTES = 1 << 23
+#: Bytes of a token's hash that go to its bucket: some two million tokens, of which a chance pair does no harm.
+TOKEN_BYTES = 5
 #: Text bytes per bucket of the first step; suffix buckets per such bucket.
 BUCKET_BYTES = 32 << 20
 SUFFIX_BUCKETS = 4
@@ -85,7 +87,7 @@ def runs(data: np.ndarray, limits: np.ndarray, wanted: np.ndarray | None = None)
         part = np.ascontiguousarray(data[base : end[upto - 1] + LENGTH - 1])
         eight = eight_bytes(part)
         n = len(part) - ANCHOR + 1
-        token = W.mix64(eight[:n] * np.uint64(0x9E3779B97F4A7C15) + W.mix64(eight[8 : 8 + n]) * np.uint64(3) + eight[12 : 12 + n] * np.uint64(0xC2B2AE3D27D4EB4F))
+        token = W.mix64(eight[:n] * np.uint64(0x9E3779B97F4A7C15) + W.mix64(eight[8 : 8 + n]))  # two halves of ANCHOR
         least = sliding_minimum(token, PLACES)
         inside = np.zeros(len(least) + 1, np.int8)
         inside[begin[at:upto] - base] += 1
@@ -148,7 +150,7 @@ def entry(bucket: int, known: bool, ids: np.ndarray, texts: np.ndarray, owner: n
     docs, counts = np.unique(owner, return_counts=True)
     return {
         "bucket": bucket, "known": known, "ids": ids[docs].tobytes(), "texts": texts[docs].tobytes(), "counts": counts.astype("<u4").tobytes(),
-        "tokens": b"" if known else np.ascontiguousarray(token.view(np.uint8).reshape(-1, 8)[:, 2:]).tobytes(), "places": planes(place),
+        "tokens": b"" if known else np.ascontiguousarray(token.view(np.uint8).reshape(-1, 8)[:, -TOKEN_BYTES:]).tobytes(), "places": planes(place),
     }
 
 
@@ -201,7 +203,7 @@ def repeated_runs(entries: DataFrame, buckets: int) -> DataFrame:
         owner = np.repeat(np.arange(len(ids), dtype=np.int32), np.frombuffer(row["counts"], "<u4"))
         tokens = np.zeros((len(owner) if row["tokens"] else 0, 8), np.uint8)
         if row["tokens"]:
-            tokens[:, :6] = np.frombuffer(row["tokens"], np.uint8).reshape(-1, 6)
+            tokens[:, :TOKEN_BYTES] = np.frombuffer(row["tokens"], np.uint8).reshape(-1, TOKEN_BYTES)
         return ids, marks, owner, from_planes(row["places"]).astype(np.int32), tokens.view("<u8")[:, 0]
 
     def settle(rows: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
@@ -262,7 +264,7 @@ def packed_texts(texts: DataFrame) -> DataFrame:
     """The texts compressed, for the joins that bring them together with what was found."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        zstd = pa.Codec("zstd")
+        zstd = pa.Codec("zstd", compression_level=3)
         for batch in (piece for whole in batches for piece in pieces(whole, np.diff(W.text_bytes(whole.column(3))[1]))):
             packed, sizes = [], []
             for text in batch.column(3):
