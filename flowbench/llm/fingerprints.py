@@ -169,7 +169,7 @@ def with_next(docs: DataFrame, id_column: str, columns: dict[str, str]) -> DataF
     )
 
 
-def fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", out: str = "fingerprint") -> DataFrame:
+def fingerprints(docs: DataFrame, text_column: str = "text", out: str = "fingerprint") -> DataFrame:
     """Add the fingerprint of each row's text as a string."""
     return docs.withColumn(out, fingerprint(sketch(docs[text_column])))
 

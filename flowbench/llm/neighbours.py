@@ -121,7 +121,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_column: str =
     squares = F.aggregate("vector", F.lit(0.0), lambda total, x: total + x * x)
     count, asked, norm = rows.agg(F.count(F.lit(1)), F.count_if(F.coalesce("asks", F.lit(False))), F.max(F.sqrt(squares))).first()
     blocks, groups = count // block_rows + 1, asked // group_queries + 1
-    spread = lambda n: F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: i)
+    spread = lambda n: F.sequence(F.lit(0), F.lit(n - 1))
     mine = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
     data = rows.select("id", "vector", mine(blocks).alias("block"), F.explode(spread(groups)).alias("part"))
     asks = rows.filter("asks").dropDuplicates(["id"]).select("id", "vector", mine(groups).alias("part"), F.explode(spread(blocks)).alias("block"))
