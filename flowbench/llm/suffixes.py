@@ -34,7 +34,7 @@ from flowbench.llm import words as W
 from flowbench.sources.tables import write_table
 
 LENGTH = 50
-ANCHOR = 16
+ANCHOR = 20
 #: Anchors in a string.
 PLACES = LENGTH - ANCHOR + 1
 #: Windows of a text are taken in segments of this many, and segments together up to this many bytes.
@@ -87,7 +87,8 @@ def runs(data: np.ndarray, limits: np.ndarray, wanted: np.ndarray | None = None)
         part = np.ascontiguousarray(data[base : end[upto - 1] + LENGTH - 1])
         eight = eight_bytes(part)
         n = len(part) - ANCHOR + 1
-        token = W.mix64(eight[:n] * np.uint64(0x9E3779B97F4A7C15) + W.mix64(eight[8 : 8 + n]))  # two halves of ANCHOR
+        token = eight[:n] * np.uint64(0x9E3779B97F4A7C15) + W.mix64(eight[8 : 8 + n]) + eight[12 : 12 + n] * np.uint64(0xC2B2AE3D27D4EB4F)
+        token = W.mix64(token)  # of all ANCHOR bytes
         least = sliding_minimum(token, PLACES)
         inside = np.zeros(len(least) + 1, np.int8)
         inside[begin[at:upto] - base] += 1
@@ -289,33 +290,65 @@ def unpacked(sizes: pa.Array, packed: pa.Array) -> tuple[np.ndarray, np.ndarray]
     return data, limits
 
 
+RUNS = "bucket int, hot boolean, runs int, texts int, size long, body binary"
+
+
+def pack_runs(bucket: int, hot: bool, ids: np.ndarray, marks: np.ndarray, owner: np.ndarray, place: np.ndarray, size: np.ndarray, content: bytes) -> dict:
+    """Runs of one bucket from one piece of texts, compressed together."""
+    texts, counts = np.unique(owner, return_counts=True)
+    body = b"".join((
+        np.diff(ids[texts], prepend=0).astype("<i8").tobytes(), marks[texts].astype("<i8").tobytes(), counts.astype("<u4").tobytes(),
+        size.astype("<u4").tobytes(), planes(place), content,
+    ))
+    packed = pa.Codec("zstd", compression_level=1).compress(body, asbytes=True)
+    return {"bucket": bucket, "hot": hot, "runs": len(owner), "texts": len(texts), "size": len(body), "body": packed}
+
+
+def unpack_runs(row: dict) -> tuple[np.ndarray, ...]:
+    """Per run: id and mark of its text, place, number of bytes; and all bytes on end."""
+    body = np.frombuffer(pa.Codec("zstd").decompress(row["body"], row["size"]), np.uint8)
+    runs, texts = row["runs"], row["texts"]
+    cuts = np.cumsum([8 * texts, 8 * texts, 4 * texts, 4 * runs, 4 * runs])
+    ids, marks, counts, size, place, content = np.split(body, cuts)
+    counts = counts.view("<u4")
+    return (
+        np.repeat(np.cumsum(ids.view("<i8")), counts), np.repeat(marks.view("<i8"), counts), from_planes(place.tobytes()), size.view("<u4").astype(np.int64), content,
+    )
+
+
 def suffix_runs(found: DataFrame, splitters: np.ndarray) -> DataFrame:
-    """The bytes of each run, with the bucket of its token; ``hot`` if the token spans several buckets."""
-    hot = np.unique(splitters[1:][splitters[1:] == splitters[:-1]])
+    """The bytes of the runs, by the bucket of their token; ``hot`` if a token spans several buckets."""
+    frequent = np.unique(splitters[1:][splitters[1:] == splitters[:-1]])
+    schema = pa.schema([("bucket", pa.int32()), ("hot", pa.bool_()), ("runs", pa.int32()), ("texts", pa.int32()), ("size", pa.int64()), ("body", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (piece for whole in batches for piece in pieces(whole, np.asarray(whole.column(2)))):
+            order = np.argsort(np.asarray(batch.column(0)), kind="stable")  # ids that ascend compress better
+            batch = batch.take(pa.array(order))
             ids, marks = np.asarray(batch.column(0)), np.asarray(batch.column(1))
             data, limits = unpacked(batch.column(2), batch.column(3))
             at = batch.column(4)
             wanted = np.sort(np.repeat(np.arange(len(ids)), np.diff(np.asarray(at.offsets))) << 32 | np.asarray(at.flatten()))
             owner, place, count, _, lead = all_runs(data, limits, wanted)
+            if not len(owner):
+                continue
             bucket = np.searchsorted(splitters, lead, "right")
-            is_hot = np.isin(lead, hot)
-            bucket = np.where(is_hot, ids[owner] % (len(splitters) + 1), bucket).astype(np.int32)
-            for k in range(0, len(owner), 1 << 15):
-                s = slice(k, k + (1 << 15))
-                size = count[s] + LENGTH - 1
+            bucket[np.isin(lead, frequent)] = -1
+            by_bucket = np.argsort(bucket, kind="stable")
+            heads = np.flatnonzero(np.concatenate([[True], np.diff(bucket[by_bucket]) != 0]))
+            rows = []
+            for low, high in zip(heads, [*heads[1:], len(owner)]):
+                some = by_bucket[low:high]
+                size = count[some] + LENGTH - 1
                 upto = np.cumsum(size)
-                bytes_ = data[np.repeat(limits[owner[s]] + place[s] - upto + size, size) + np.arange(upto[-1])]
-                offsets = np.concatenate([[0], upto]).astype(np.int32)
-                content = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(offsets), pa.py_buffer(bytes_)])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(bucket[s]), pa.array(is_hot[s]), content, pa.array(ids[owner[s]]), pa.array(marks[owner[s]]), pa.array(place[s].astype(np.int32))],
-                    names=["bucket", "hot", "content", "dk", "mark", "at"],
-                )
+                content = data[np.repeat(limits[owner[some]] + place[some] - upto + size, size) + np.arange(upto[-1])].tobytes()
+                number = int(bucket[some[0]])
+                to = number if number >= 0 else int(ids[0] % (len(splitters) + 1))
+                rows.append(pack_runs(to, number < 0, ids, marks, owner[some], place[some], size, content))
+            for k in range(0, len(rows), 64):
+                yield pa.RecordBatch.from_pylist(rows[k : k + 64], schema=schema)
 
-    return found.mapInArrow(run, "bucket int, hot boolean, content binary, dk long, mark long, at int")
+    return found.mapInArrow(run, RUNS)
 
 
 def repeats(data: np.ndarray, starts: np.ndarray, ids: np.ndarray) -> np.ndarray:
@@ -354,17 +387,22 @@ def sorted_buckets(suffixes: DataFrame, buckets: int) -> DataFrame:
     """Spans of repeated bytes found within buckets, and single strings of hot tokens."""
     schema = pa.schema([("dk", pa.int64()), ("mark", pa.int64()), ("begin", pa.int32()), ("end", pa.int32()), ("string", pa.binary())])
 
-    def strings_of(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
-        """Bytes, and per string its start there, the row and the place within the row."""
-        data, limits = W.text_bytes(batch.column("content").cast(pa.large_binary()))
-        count = np.diff(limits) - LENGTH + 1
+    def strings_of(size: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Per string: where it starts in the bytes, its run, and its place within the run."""
+        count = size - LENGTH + 1
         row = np.repeat(np.arange(len(count)), count)
         within = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
-        return data, limits[row] + within, row, within
+        return np.repeat(np.cumsum(size) - size, count) + within, row, within
 
-    def settle(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        data, starts, row, within = strings_of(batch)
-        ids, marks, at = (np.asarray(batch.column(c)) for c in ("dk", "mark", "at"))
+    def spans(ids: np.ndarray, marks: np.ndarray, begin: np.ndarray, end: np.ndarray, string: pa.Array) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
+            [pa.array(ids), pa.array(marks), pa.array(begin.astype(np.int32)), pa.array(end.astype(np.int32)), string], schema=schema
+        )
+
+    def settle(rows: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
+        ids, marks, at, size, data = (np.concatenate(c) for c in zip(*rows))
+        rows.clear()
+        starts, row, within = strings_of(size)
         found = np.flatnonzero(repeats(data, starts, ids[row]))
         if not len(found):
             return
@@ -373,44 +411,32 @@ def sorted_buckets(suffixes: DataFrame, buckets: int) -> DataFrame:
         new[1:] = (row[1:] != row[:-1]) | (place[1:] != place[:-1] + 1)
         heads = np.flatnonzero(new)
         tails = np.append(heads[1:], len(found)) - 1
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(ids[row[heads]]), pa.array(marks[row[heads]]), pa.array(place[heads].astype(np.int32)),
-             pa.array((place[tails] + LENGTH).astype(np.int32)), pa.nulls(len(heads), pa.binary())], schema=schema,
-        )
+        yield spans(ids[row[heads]], marks[row[heads]], place[heads], place[tails] + LENGTH, pa.nulls(len(heads), pa.binary()))
 
-    def single(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        data, starts, row, within = strings_of(batch)
-        ids, marks, at = (np.asarray(batch.column(c)) for c in ("dk", "mark", "at"))
+    def single(ids: np.ndarray, marks: np.ndarray, at: np.ndarray, size: np.ndarray, data: np.ndarray) -> Iterator[pa.RecordBatch]:
+        starts, row, within = strings_of(size)
         for k in range(0, len(starts), 1 << 15):
-            s = slice(k, k + (1 << 15))
-            n = len(starts[s])
-            bytes_ = data[starts[s][:, None] + np.arange(LENGTH)].reshape(-1)
-            offsets = (np.arange(n + 1) * LENGTH).astype(np.int32)
-            begin = (at[row[s]] + within[s]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids[row[s]]), pa.array(marks[row[s]]), pa.array(begin), pa.array(begin + np.int32(LENGTH)),
-                 pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(offsets), pa.py_buffer(bytes_)])], schema=schema,
-            )
+            some = slice(k, k + (1 << 15))
+            bytes_ = data[starts[some][:, None] + np.arange(LENGTH)].reshape(-1)
+            offsets = (np.arange(len(bytes_) // LENGTH + 1) * LENGTH).astype(np.int32)
+            string = pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(bytes_)])
+            begin = at[row[some]] + within[some]
+            yield spans(ids[row[some]], marks[row[some]], begin, begin + LENGTH, string)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bucket, rows = None, []
         for batch in batches:
-            hot = np.asarray(batch.column("hot"))
-            if hot.any():
-                yield from single(batch.filter(batch.column("hot")))
-                batch = batch.filter(pa.array(~hot))
-            numbers = np.asarray(batch.column("bucket"))
-            edges = np.flatnonzero(np.diff(numbers)) + 1
-            for low, high in zip([0, *edges], [*edges, len(numbers)]):
-                if low == high:
+            for k in range(batch.num_rows):
+                row = batch.slice(k, 1).to_pylist()[0]
+                if row["hot"]:
+                    yield from single(*unpack_runs(row))
                     continue
-                if numbers[low] != bucket and rows:
-                    yield from settle(pa.Table.from_batches(rows).combine_chunks().to_batches()[0])
-                    rows = []
-                bucket = numbers[low]
-                rows.append(batch.slice(low, high - low))
+                if row["bucket"] != bucket and rows:
+                    yield from settle(rows)
+                bucket = row["bucket"]
+                rows.append(unpack_runs(row))
         if rows:
-            yield from settle(pa.Table.from_batches(rows).combine_chunks().to_batches()[0])
+            yield from settle(rows)
 
     return suffixes.repartition(buckets, "bucket").sortWithinPartitions("hot", "bucket").mapInArrow(run, SPANS)
 
