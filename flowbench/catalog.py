@@ -1,7 +1,8 @@
 """Every operator as a query over the given tables, and the same result as SQL where SQL can say it.
 
 Queries take ``(spark, folder)``; the SQL runs on DuckDB over the same Parquet files. Forest queries
-use a smaller forest than the defaults (fewer, shallower trees), never fewer rows.
+use a smaller forest than the defaults (fewer, shallower trees), never fewer rows; ``rf_default_run``
+fits the default one.
 """
 
 from __future__ import annotations
@@ -797,6 +798,12 @@ def rf_anomaly_run(spark, folder):
     return _record_facts(report.run_variant(fixtures.flows(spark, folder), "baseline", config=SMALL_FOREST))
 
 
+@query(_records_sql("('parse_norm_clean')", "(42)"))
+def rf_default_run(spark, folder):
+    """One run with the default configuration: 200 trees of depth 20 on 192 features and 8 rotations."""
+    return _record_facts(report.run_variant(fixtures.flows(spark, folder), "parse_norm_clean"))
+
+
 @query(_records_sql("('baseline'), ('parse'), ('parse_norm'), ('parse_norm_clean')", "(42), (7)"))
 def run_summary(spark, folder):
     """The full sweep: every variant with two seeds, one record each."""
