@@ -46,7 +46,7 @@ PIECE_BYTES = 1 << 23
 TOKEN_BYTES = 5
 #: Text bytes per bucket of the first step; suffix buckets per such bucket.
 BUCKET_BYTES = 32 << 20
-SUFFIX_BUCKETS = 4
+SUFFIX_BUCKETS = 8
 MAX_BUCKETS = 1 << 16
 #: Texts that splitters are sampled from, about.
 SAMPLED_TEXTS = 4000
