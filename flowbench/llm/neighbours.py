@@ -6,10 +6,13 @@ opens a window around its own projection in every array; a vector collides where
 Windows grow by virtual rehashing (the radius times ``GROWTH``) until enough vectors collide in at least
 ``THRESHOLD`` of the arrays; those are verified by exact inner products in double precision.
 
-Rows are spread over blocks by a hash of their id, each with its own arrays, and queries over groups; a
-task has one block and one group, so its memory is bounded. Every row is indexed and every query meets
-every block: a stated query set against all rows. Blocks give their best ``k`` of each query, and the best
-of these are the result, nearest first, equal scores by smaller id.
+Rows are spread over blocks by their norm and a hash of their id, each with its own arrays, and queries
+over groups; a task has one block and one group, so its memory is bounded. Norms of a block differ by a
+factor of ``BAND`` at most and are made equal to its own largest, so that the further component stays
+small whatever norms the table holds. Bands with ``k`` rows or fewer share a block, which is verified
+whole. Every row is indexed and every query meets every block: a stated query set against all rows.
+Blocks give their best ``k`` of each query, and the best of these are the result, nearest first, equal
+scores by smaller id.
 
 Vectors that are null, zero, of another length than most, or hold null or non-finite components take no
 part, nor do rows without id. A query's own row is every row of its id. Repeated query ids count once. An
@@ -25,6 +28,8 @@ from pyspark.sql import functions as F
 
 PROJECTIONS = 96
 GROWTH = 1.1
+#: Largest ratio of two norms in a block.
+BAND = 1.1
 #: Radius of the first windows, as a share of the common norm.
 RADIUS = 0.85
 THRESHOLD = 0.6
@@ -50,11 +55,14 @@ def directions(length: int, count: int = PROJECTIONS, seed: int = SEED) -> np.nd
 class Index:
     """The sorted projections of one block."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, norm: float, projections: int = PROJECTIONS):
-        self.ids, self.vectors, self.norm = ids, vectors, norm
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, projections: int = PROJECTIONS):
+        self.ids, self.vectors = ids, vectors
         self.lines = directions(vectors.shape[1], projections)
-        rest = np.sqrt(np.maximum(0, norm * norm - (vectors**2).sum(axis=1)))
-        values = np.concatenate([vectors, rest[:, None]], axis=1) @ self.lines
+        scaled = vectors / np.abs(vectors).max()  # squares neither overflow nor vanish
+        squares = (scaled**2).sum(axis=1)
+        self.norm = float(np.sqrt(squares.max()))
+        rest = np.sqrt(squares.max() - squares)
+        values = np.concatenate([scaled, rest[:, None]], axis=1) @ self.lines
         order = np.argsort(values, axis=0, kind="stable")
         self.sorted = np.ascontiguousarray(np.take_along_axis(values, order, axis=0).T)
         kind = np.uint16 if len(ids) <= 1 << 16 else np.uint32
@@ -83,7 +91,8 @@ class Index:
     def search(self, query_ids: np.ndarray, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(query, id, score) of the best ``k`` verified vectors of each query, its own rows left out."""
         own = {int(q): int((self.ids == q).sum()) for q in query_ids}
-        centres = (queries * (self.norm / np.linalg.norm(queries, axis=1))[:, None]) @ self.lines[:-1]
+        asked = queries / np.abs(queries).max(axis=1)[:, None]
+        centres = (asked * (self.norm / np.linalg.norm(asked, axis=1))[:, None]) @ self.lines[:-1]
         need = int(np.ceil(THRESHOLD * centres.shape[1]))
         waiting, radius, out = np.arange(len(queries)), RADIUS * self.norm, []
         while len(waiting):
@@ -109,6 +118,28 @@ class Index:
         return self.ids[found][best], scores[best]
 
 
+def band_of(vector: Column) -> Column:
+    """Number of the range of norms a vector is in; a norm of one is in the middle of a range."""
+    largest = F.array_max(F.transform(vector, F.abs))
+    square = lambda m: F.aggregate(vector, F.lit(0.0), lambda total, x: total + (x / m) * (x / m))
+    log = F.get(F.transform(F.array(largest), lambda m: F.log(m) + F.log(square(m)) / 2), F.lit(0))
+    return F.floor(log / float(np.log(BAND)) + 0.5).cast("int")
+
+
+def band_blocks(rows_in: dict[int, int], block_rows: int, k: int) -> tuple[list[tuple[int, int, int]], int]:
+    """(band, its first block, its blocks), and the number of blocks; bands with ``k`` rows together share one."""
+    out, total, shared = [], 0, k
+    for band, rows in sorted(rows_in.items()):
+        if shared + rows <= k:
+            out.append((band, total - 1, 1))
+            shared += rows
+        else:
+            blocks = rows // block_rows + 1
+            out.append((band, total, blocks))
+            total, shared = total + blocks, rows
+    return out, total
+
+
 def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_column: str = "vec_id", vector_column: str = "embedding",
             block_rows: int = BLOCK_ROWS, group_queries: int = GROUP_QUERIES) -> DataFrame:
     """(query_id, rank, vec_id, score) of the ``k`` nearest found for the rows where ``is_query`` holds."""
@@ -118,18 +149,22 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_column: str =
     lengths = rows.filter("vector is not null").groupBy(F.size("vector").alias("n")).count()
     common = lengths.orderBy(F.desc("count"), F.desc("n")).first()
     rows = rows.filter(usable(F.col("vector"), common["n"] if common else 0))
-    squares = F.aggregate("vector", F.lit(0.0), lambda total, x: total + x * x)
-    count, asked, norm = rows.agg(F.count(F.lit(1)), F.count_if(F.coalesce("asks", F.lit(False))), F.max(F.sqrt(squares))).first()
-    blocks, groups = count // block_rows + 1, asked // group_queries + 1
-    spread = lambda n: F.sequence(F.lit(0), F.lit(n - 1))
-    mine = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
-    data = rows.select("id", "vector", mine(blocks).alias("block"), F.explode(spread(groups)).alias("part"))
-    asks = rows.filter("asks").dropDuplicates(["id"]).select("id", "vector", mine(groups).alias("part"), F.explode(spread(blocks)).alias("block"))
+    rows = rows.withColumn("band", band_of(F.col("vector")))
+    counts = rows.groupBy("band").agg(F.count(F.lit(1)), F.count_if(F.coalesce("asks", F.lit(False)))).collect()
+    bands, blocks = band_blocks({band: n for band, n, _ in counts}, block_rows, k)
+    groups = sum(n for _, _, n in counts) // group_queries + 1
+    spread = lambda n: F.sequence(F.lit(0), F.lit(max(n, 1) - 1))
+    mine = lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
+    places = vectors.sparkSession.createDataFrame(bands, "band int, first int, blocks int")  # as many as norms have ranges
+    block = (F.col("first") + mine(F.col("blocks"))).alias("block")
+    data = rows.join(F.broadcast(places), "band").select("id", "vector", block, F.explode(spread(groups)).alias("part"))
+    own = [F.col(c).alias(c) for c in ("id", "vector")]  # columns apart from those of the data
+    asks = rows.filter("asks").dropDuplicates(["id"]).select(*own, mine(F.lit(groups)).alias("part"), F.explode(spread(blocks)).alias("block"))
 
     def search(block: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         if block.empty or queries.empty:
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-        index = Index(block["id"].to_numpy(), np.stack(block["vector"].to_numpy()), norm)
+        index = Index(block["id"].to_numpy(), np.stack(block["vector"].to_numpy()))
         found = index.search(queries["id"].to_numpy(), np.stack(queries["vector"].to_numpy()), k)
         return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), found)))
 

@@ -40,3 +40,39 @@ def test_few_rows(spark):
     assert [tuple(r) for r in few.orderBy("query_id", "rank").collect()] == [
         (0, 1, 1, 0.5), (0, 2, 20, 0.0), (0, 3, 20, 0.0), (20, 1, 1, 1.0), (20, 2, 0, 0.0)]
     assert N.nearest(frame(spark, []), F.col("vec_id") % 20 == 0).count() == 0
+
+
+def recalls(spark, vectors, asked, k=20):
+    """Recall of each asked row; equal scores count for each other."""
+    rows = frame(spark, [(i, v.tolist()) for i, v in enumerate(vectors)])
+    out = N.nearest(rows, F.col("vec_id").isin([int(a) for a in asked]), k).toPandas()
+    exact = np.asarray(vectors, np.float32).astype(np.float64)
+    shares = []
+    for query in asked:
+        scores = exact @ exact[query]
+        scores[query] = -np.inf
+        shares.append((out[out.query_id == query].score >= np.sort(scores)[-k] - 1e-9).sum() / k)
+    return np.array(shares)
+
+
+def directions(rows, seed=1):
+    unit = np.random.default_rng(seed).normal(size=(rows, 64))
+    return unit / np.linalg.norm(unit, axis=1)[:, None]
+
+
+def test_recall_does_not_depend_on_the_norms(spark):
+    unit = directions(5900)
+    outlier, spread = unit.copy(), unit * np.random.default_rng(2).lognormal(0, 1, 5900)[:, None]
+    outlier[7] *= 3
+    for vectors in (outlier, spread):
+        shares = recalls(spark, vectors, range(0, 5900, 30))
+        assert shares.mean() > 0.91 and np.sort(shares)[: len(shares) // 10].mean() > 0.7
+
+
+def test_bands_of_norms(spark):
+    assert N.band_blocks({}, 10, 3) == ([], 0)
+    assert N.band_blocks({-4: 1, 0: 25, 1: 2, 2: 1, 5: 1}, 10, 3) == ([(-4, 0, 1), (0, 1, 3), (1, 4, 1), (2, 4, 1), (5, 5, 1)], 6)
+    huge = [(0, [1e200, 0.0]), (1, [1e-200, 0.0]), (2, [3e-200, 0.0]), (3, [1.0, 1.0])]
+    rows = spark.createDataFrame(huge, "vec_id long, embedding array<double>")
+    out = N.nearest(rows, F.col("vec_id") == 0, 3).orderBy("rank").collect()
+    assert [r.vec_id for r in out] == [3, 2, 1]
