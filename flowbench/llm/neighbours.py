@@ -4,7 +4,8 @@ Vectors get one more component that makes all norms equal, so that the largest i
 smallest distance. Each of ``PROJECTIONS`` random directions gives a sorted array of projections. A query
 opens a window around its own projection in every array; a vector collides where it lies in the window.
 Windows grow by virtual rehashing (the radius times ``GROWTH``) until enough vectors collide in at least
-``THRESHOLD`` of the arrays; those are verified by exact inner products in double precision.
+``THRESHOLD`` of the arrays; those are verified by exact inner products in double precision. Equal vectors
+of a block are indexed and counted once, so that a group of copies does not stand for enough of them.
 
 Rows are spread over blocks by their norm and a hash of their id, each with its own arrays, and queries
 over groups; a task has one block and one group, so its memory is bounded. Norms of a block differ by a
@@ -33,7 +34,7 @@ BAND = 1.1
 #: Radius of the first windows, as a share of the common norm.
 RADIUS = 0.85
 THRESHOLD = 0.6
-#: Share of a block that has to pass the threshold before windows stop growing.
+#: Share of a block's distinct vectors that has to pass the threshold before windows stop growing.
 ENOUGH = 0.18
 BLOCK_ROWS = 6000
 GROUP_QUERIES = 1024
@@ -53,10 +54,16 @@ def directions(length: int, count: int = PROJECTIONS, seed: int = SEED) -> np.nd
 
 
 class Index:
-    """The sorted projections of one block."""
+    """The sorted projections of one block's distinct vectors."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, projections: int = PROJECTIONS):
-        self.ids, self.vectors = ids, vectors
+        vectors = np.ascontiguousarray(vectors + 0.0)  # one zero only: copies are found by their bytes
+        raw = vectors.view(np.dtype((np.void, vectors.strides[0]))).ravel()
+        _, first, kind_of, self.copies = np.unique(raw, return_index=True, return_inverse=True, return_counts=True)
+        self.ids, self.kind_of = ids, kind_of
+        self.members = ids[np.argsort(kind_of, kind="stable")]  # ids of each distinct vector in turn
+        self.ends = np.cumsum(self.copies)
+        self.vectors = vectors = vectors[first]
         self.lines = directions(vectors.shape[1], projections)
         scaled = vectors / np.abs(vectors).max()  # squares neither overflow nor vanish
         squares = (scaled**2).sum(axis=1)
@@ -65,9 +72,9 @@ class Index:
         values = np.concatenate([scaled, rest[:, None]], axis=1) @ self.lines
         order = np.argsort(values, axis=0, kind="stable")
         self.sorted = np.ascontiguousarray(np.take_along_axis(values, order, axis=0).T)
-        kind = np.uint16 if len(ids) <= 1 << 16 else np.uint32
+        kind = np.uint16 if len(vectors) <= 1 << 16 else np.uint32
         self.place = np.empty(values.shape[::-1], kind)  # of each vector in each sorted array
-        np.put_along_axis(self.place, order.T, np.arange(len(ids), dtype=kind)[None, :], axis=1)
+        np.put_along_axis(self.place, order.T, np.arange(len(vectors), dtype=kind)[None, :], axis=1)
         self.work = np.empty_like(self.place)
 
     def windows(self, centres: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray]:
@@ -90,7 +97,7 @@ class Index:
 
     def search(self, query_ids: np.ndarray, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(query, id, score) of the best ``k`` verified vectors of each query, its own rows left out."""
-        own = {int(q): int((self.ids == q).sum()) for q in query_ids}
+        own = {int(q): len(np.unique(self.kind_of[self.ids == q])) for q in query_ids}
         asked = queries / np.abs(queries).max(axis=1)[:, None]
         centres = (asked * (self.norm / np.linalg.norm(asked, axis=1))[:, None]) @ self.lines[:-1]
         need = int(np.ceil(THRESHOLD * centres.shape[1]))
@@ -100,22 +107,27 @@ class Index:
             for at, low, width in zip(waiting, *self.windows(centres[waiting], radius)):
                 query_id = int(query_ids[at])
                 found = np.flatnonzero(self.collisions(low, width) >= need)
-                if len(found) < min(len(self.ids), k + own[query_id] + int(ENOUGH * len(self.ids))):
+                if len(found) < min(len(self.vectors), k + own[query_id] + int(ENOUGH * len(self.vectors))):
                     left.append(at)
                 else:
-                    ids, scores = self.verify(found, query_id, queries[at], k)
+                    ids, scores = self.verify(found, query_id, queries[at], k, own[query_id])
                     out.append((np.full(len(ids), query_id), ids, scores))
             waiting, radius = np.array(left, np.int64), radius * GROWTH
         return tuple(np.concatenate(column) for column in zip(*out))
 
-    def verify(self, found: np.ndarray, query_id: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        found = found[self.ids[found] != query_id]
-        scores = (self.vectors[found] * query).sum(axis=1)  # row by row, so equal vectors score equally
-        if len(found) > k:
-            near = scores >= -np.partition(-scores, k - 1)[k - 1]
+    def verify(self, found: np.ndarray, query_id: int, query: np.ndarray, k: int, own: int) -> tuple[np.ndarray, np.ndarray]:
+        """Best ``k`` rows of the distinct vectors found, of which ``own`` may hold rows of the query's id alone."""
+        scores = (self.vectors[found] * query).sum(axis=1)  # row by row, so equal vectors of all blocks score equally
+        if len(found) > k + own:
+            near = scores >= -np.partition(-scores, k + own - 1)[k + own - 1]
             found, scores = found[near], scores[near]
-        best = np.lexsort((self.ids[found], -scores))[:k]
-        return self.ids[found][best], scores[best]
+        copies = self.copies[found]
+        upto = np.cumsum(copies)
+        ids = self.members[np.repeat(self.ends[found] - upto, copies) + np.arange(copies.sum())]
+        others = ids != query_id
+        ids, scores = ids[others], np.repeat(scores, copies)[others]
+        best = np.lexsort((ids, -scores))[:k]
+        return ids[best], scores[best]
 
 
 def band_of(vector: Column) -> Column:

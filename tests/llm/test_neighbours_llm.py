@@ -69,6 +69,13 @@ def test_recall_does_not_depend_on_the_norms(spark):
         assert shares.mean() > 0.91 and np.sort(shares)[: len(shares) // 10].mean() > 0.7
 
 
+def test_recall_next_to_many_copies(spark):
+    vectors = directions(5900).astype(np.float32)
+    vectors[:1960] = vectors[0]
+    near = 1960 + np.argsort(-(vectors[1960:] @ vectors[0]))[100:200]
+    assert recalls(spark, vectors, near).mean() > 0.88
+
+
 def test_bands_of_norms(spark):
     assert N.band_blocks({}, 10, 3) == ([], 0)
     assert N.band_blocks({-4: 1, 0: 25, 1: 2, 2: 1, 5: 1}, 10, 3) == ([(-4, 0, 1), (0, 1, 3), (1, 4, 1), (2, 4, 1), (5, 5, 1)], 6)
