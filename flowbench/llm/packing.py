@@ -59,7 +59,9 @@ class PieceEncoder(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
-        self.tokenizer.encode_special_tokens = True
+        added = [token.content for token in self.tokenizer.get_added_tokens_decoder().values()]
+        #: Texts with an added token (the end of text) have its one id there; the library finds its places.
+        self.added = re.compile("|".join(map(re.escape, added))) if added else None
         self.merge = self.tokenizer.model.tokenize
         self.letters = byte_letters()
         self.forget()
@@ -85,7 +87,7 @@ class PieceEncoder(dict):
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
 
     def encode(self, text: str) -> np.ndarray:
-        if UNUSUAL.search(text):
+        if UNUSUAL.search(text) or (self.added and self.added.search(text)):
             return self.whole(text)
         pieces = PIECES.findall(text)
         if len(self) + len(pieces) > KNOWN_PIECES:

@@ -54,6 +54,14 @@ def test_cached_pieces_equal_whole_texts():
         assert np.array_equal(encoder.encode(text), encoder.whole(text))
 
 
+def test_added_tokens_are_those_of_the_file():
+    encoder, tokenizer = packing.PieceEncoder(VOCABULARY), Tokenizer.from_file(VOCABULARY)
+    for text in ["<|endoftext|>", "a b<|endoftext|> c", "é <|endoftext|><|endoftext|>\n日本", "<|endoftext| >", "<|endoftext", "plain"]:
+        expected = tokenizer.encode(text, add_special_tokens=False).ids
+        assert encoder.encode(text).tolist() == expected
+        assert expected.count(tokenizer.token_to_id("<|endoftext|>")) == text.count("<|endoftext|>")
+
+
 def test_empty_table_and_bad_length(spark):
     assert packing.pack(awkward_docs(spark, []), VOCABULARY).count() == 0
     with pytest.raises(ValueError):
