@@ -46,7 +46,10 @@ BASE64_CLASS = EntropyClass(
     20,
     3.8,
 )
-CLASSES = (HEX_CLASS, BASE64_CLASS)
+#: Smaller alphabets reach the bits of base64 rarely, so keys of these have classes of their own.
+UPPER_HEX_CLASS = EntropyClass("entropy_upper_hex", "0123456789ABCDEF", r"[0-9A-F]{20,}", 20, 3.0)
+BASE32_CLASS = EntropyClass("entropy_base32", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", r"[A-Z2-7]{20,}", 20, 3.3)
+CLASSES = (HEX_CLASS, BASE64_CLASS, UPPER_HEX_CLASS, BASE32_CLASS)
 
 #: Spans whose text one of these finds are no secrets: words without digits, placeholders, counting.
 ALLOWED = (

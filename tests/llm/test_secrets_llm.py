@@ -1,4 +1,5 @@
 import math
+import random
 import re
 from collections import Counter
 
@@ -60,3 +61,15 @@ def test_redaction_and_plan(spark):
     assert texts[4] == "é [SECRET]' z" and texts[12].startswith("😀[SECRET] 😀 api-key=1 [SECRET]")
     assert "Python" not in frame._jdf.queryExecution().executedPlan().toString()
     assert S.redact(awkward_docs(spark, [])).count() == 0
+
+
+def test_random_keys_of_small_alphabets_are_found(spark):
+    rng = random.Random(1)
+    shares = {("0123456789ABCDEF", 32): 0.97, ("0123456789ABCDEF", 40): 0.97, ("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 20): 0.93, ("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 32): 0.97}
+    for (letters, size), least in shares.items():
+        keys = ["".join(rng.choices(letters, k=size)) for _ in range(200)]
+        rows = awkward_docs(spark, [(k, f"the key {key} ends") for k, key in enumerate(keys)])
+        found = S.redact(rows).collect()
+        assert len(found) == 200 and sum("[SECRET]" in r.text for r in found) >= least * 200, (letters, size)
+    words = awkward_docs(spark, [(1, "THISISAVERYLONGWORDWITHOUTDIGITSATALL " + "A" * 40 + " " + "AB" * 20)])
+    assert S.find_secrets(words).first().secrets == []
