@@ -5,8 +5,8 @@ any of them can be left out or run alone. Null, empty or very long texts, repeat
 columns pass through every stage:
 
 * quality: a row goes if its score is below ``KEEP_SCORE``; null and empty texts are scored like others.
-* near duplicates: of each component the row with the smallest id stays, once if it is repeated. Rows
-  without id cannot be compared and stay.
+* near duplicates: of each component the row with the smallest id stays, once if it is repeated; all
+  texts of that id stay, once each. Rows without id are not compared and stay.
 * secrets: texts keep all but the secrets, whose places are marked; ``n_chars`` follows the text.
 * mixing: a row occurs as often as the mix takes its document, from not at all to three times.
 * packing: the pieces of all rows; the last stage returns these instead of documents.
@@ -41,7 +41,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     kept = minhash.near_duplicates(docs).filter("kept").select(F.col("doc_id").alias(reserved("id"))).distinct()
     known = docs.filter(docs["doc_id"].isNotNull())
-    one_each = known.join(kept, known["doc_id"] == kept[reserved("id")], "left_semi").dropDuplicates(["doc_id"])
+    one_each = known.join(kept, known["doc_id"] == kept[reserved("id")], "left_semi").dropDuplicates(["doc_id", "text"])
     return one_each.unionByName(docs.filter(docs["doc_id"].isNull()))
 
 

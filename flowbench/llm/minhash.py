@@ -295,6 +295,19 @@ def across_components(large: DataFrame, joined: DataFrame) -> DataFrame:
     return write_table(placed.join(apart.select("key"), "key", "left_semi").distinct(), "minhash-open")
 
 
+def with_ids_of_several(full: DataFrame, classes: DataFrame, joined: DataFrame) -> DataFrame:
+    """Components that ids of several texts also join: all classes in which one id occurs are linked."""
+    several = full.groupBy("id").agg(
+        F.min(F.struct("n_shingles", "set_a", "set_b")).alias("low"), F.max(F.struct("n_shingles", "set_a", "set_b")).alias("high")
+    ).filter("low <> high").select("id")
+    of = full.join(several, "id", "left_semi").select("id", "n_shingles", "set_a", "set_b").distinct()
+    of = of.join(classes, ["n_shingles", "set_a", "set_b"]).select(F.col("id").alias("a"), F.col("rep").alias("b"))
+    edges = write_table(of.filter("a <> b"), "minhash-ids")
+    if edges.isEmpty():
+        return joined
+    return components(edges.unionByName(joined.select(F.col("node").alias("a"), F.col("component").alias("b"))))
+
+
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Per row: doc_id, n_shingles, component_id (smallest linked id), kept (the component's own row)."""
     signed = write_table(signatures(docs, id_column, text_column), "minhash-signatures")
@@ -302,7 +315,7 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     classes = full.groupBy("n_shingles", "set_a", "set_b").agg(F.min("id").alias("rep"))
     classes = write_table(classes, "minhash-classes")
     reps = full.join(classes.select(F.col("rep").alias("id")), "id", "left_semi").dropDuplicates(["id", "set_a", "set_b"])
-    joined = link_classes(docs, id_column, text_column, reps)
+    joined = with_ids_of_several(full, classes, link_classes(docs, id_column, text_column, reps))
     placed = classes.join(joined, classes["rep"] == joined["node"], "left").select(
         "n_shingles", "set_a", "set_b", F.coalesce("component", "rep").alias("component_id")
     )

@@ -57,6 +57,13 @@ def test_a_large_group_with_a_halo_of_edited_copies(spark):
     assert found(awkward_docs(spark, rows)) == expected(rows)
 
 
+def test_an_id_of_several_texts_links_them(spark):
+    rows = [(1, "a a a a a"), (2, "b b b b b"), (5, "a a a a a"), (5, "b b b b b"), (7, "c c"), (8, "d d"), (7, "e"), (9, "e"), (9, None), (11, "f f")]
+    got = {(r.doc_id, r.component_id, r.kept) for r in M.near_duplicates(awkward_docs(spark, rows)).collect()}
+    assert {x for x in got if x[0] != 9} == {(1, 1, True), (2, 1, False), (5, 1, False), (7, 7, True), (8, 8, True), (11, 11, True)}
+    assert (9, 7, False) in got
+
+
 def test_sets_and_words_do_not_depend_on_place():
     texts = [t for _, t in awkward_texts()]
     column = pa.array(["prefix", *texts, "suffix"]).slice(1, len(texts))

@@ -46,5 +46,11 @@ def test_awkward_rows_pass(spark):
     assert [r.doc_id for r in same] == [6]
 
 
+def test_all_texts_of_a_kept_id_stay_once(spark):
+    rows = [(1, "a a a a a"), (2, "b b b b b"), (5, "a a a a a"), (5, "b b b b b"), (7, "c c"), (7, "d d"), (7, "c c")]
+    kept = P.drop_near_duplicates(spark, awkward_docs(spark, rows), FOLDER).collect()
+    assert sorted((r.doc_id, r.text) for r in kept) == [(1, "a a a a a"), (7, "c c"), (7, "d d")]
+
+
 def test_the_query_is_the_stages(spark):
     assert P.run(spark, FOLDER).count() > 0 and P.ORACLE_SQL is None
