@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowbench.llm import fingerprints, minhash, mixing, neighbours, packing, quality, secret_scan, suffixes, toxicity, warc
-from flowbench.llm.common import table
+from flowbench.llm import fingerprints, infill, minhash, mixing, neighbours, packing, periods, quality, secret_scan, suffixes, toxicity, warc
+from flowbench.llm.common import WORD, reserved, table
 from flowbench.sources.tables import new_path, write_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -148,3 +148,79 @@ def op2_neighbours(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op4_suffixes(spark: SparkSession, folder: str) -> DataFrame:
     return suffixes.remove_repeats(table(spark, folder, "documents"), keep_bytes=False)
+
+
+def hashed(text: F.Column) -> F.Column:
+    return F.sha2(F.encode(text, "UTF-8"), 256)
+
+
+@query
+def op13_infill(spark: SparkSession, folder: str) -> DataFrame:
+    done = infill.infill(table(spark, folder, "documents"))
+    return done.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars", hashed(F.col("output")).alias("output_sha256"),
+        hashed(infill.restore(F.col("output"), F.col("form"))).alias("restored_sha256"),
+    )
+
+
+ORACLES["op13_infill"] = r"""
+    WITH drawn AS (
+        SELECT doc_id, coalesce(text, '') AS text, sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS hex,
+            regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS unit
+        FROM documents
+    ), number AS (
+        SELECT doc_id, text, unit, len(unit) AS n, list_transform([0, 1, 2, 3], lambda k:
+            CAST('0x' || substr(hex, CAST(1 + 8 * k AS INT), 8) AS BIGINT)) AS h FROM drawn
+    ), cut AS (
+        SELECT doc_id, text, unit, n, least(h[1] % (n + 1), h[2] % (n + 1)) AS low, greatest(h[1] % (n + 1), h[2] % (n + 1)) AS high,
+            CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h[3] % 100 >= 50
+                THEN 'plain' WHEN h[4] % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM number
+    ), part AS (
+        SELECT doc_id, text, n, form, array_to_string(unit[1:low], '') AS p, array_to_string(unit[low + 1:high], '') AS m,
+            array_to_string(unit[high + 1:], '') AS s FROM cut
+    )
+    SELECT doc_id, CAST(n AS BIGINT) AS n, form,
+        CASE WHEN form <> 'plain' THEN CAST(length(p) AS BIGINT) END AS prefix_chars,
+        CASE WHEN form <> 'plain' THEN CAST(length(m) AS BIGINT) END AS middle_chars,
+        sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m
+            ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+        sha256(text) AS restored_sha256
+    FROM part
+"""
+
+
+def with_repetitions(docs: DataFrame) -> DataFrame:
+    """(doc_id, text): in one document of ten, told by the CRC-32 of its id, the words from some place on repeat.
+
+    Rows with a null id keep their text. Only the chosen rows are taken apart into words.
+    """
+    h = F.crc32(docs["doc_id"].cast("string"))
+    chosen = F.coalesce(h % 10 == 0, F.lit(False))
+    g, words, n, a, p = (F.col(reserved(name)) for name in ("g", "words", "n", "a", "p"))
+    split = docs.select(
+        "doc_id", "text", F.floor(h / 10).alias(reserved("g")),
+        F.when(chosen, F.regexp_extract_all("text", F.lit(WORD), F.lit(0))).alias(reserved("words")),
+    )
+    split = split.withColumn(reserved("n"), F.size(words)).withColumn(reserved("a"), F.when(n > 0, g % n))
+    split = split.withColumn(reserved("p"), (1 + F.floor((n - a) / (3 + g % 8))).cast("int"))
+    a, p = a.cast("int"), p.cast("int")
+    head, unit = F.slice(words, F.lit(1), a), F.slice(words, a + 1, p)
+    times = F.ceil((n - a) / p).cast("int")
+    repeated = F.concat(head, F.slice(F.flatten(F.array_repeat(unit, times)), F.lit(1), n - a))
+    return split.select("doc_id", F.when(n > 0, F.array_join(repeated, " ")).otherwise(F.col("text")).alias("text"))
+
+
+@query
+def op11_periods(spark: SparkSession, folder: str) -> DataFrame:
+    found = periods.periodic_runs(with_repetitions(table(spark, folder, "documents")))
+    best = F.reduce(
+        F.slice("runs", 2, F.greatest(F.size("runs"), F.lit(1))), F.get("runs", F.lit(0)),
+        lambda b, r: F.when(r["length"] * b["period"] > b["length"] * r["period"], r).otherwise(b),
+    )
+    listed = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    best_run = found.withColumn("best", best)
+    return best_run.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), *(F.col(f"best.{c}").alias(c) for c in ("start", "length", "period")),
+        F.floor(F.lit(1000) * F.col("best.length") / F.col("best.period")).cast("long").alias("exponent_milli"),
+        hashed(listed).alias("runs_sha256"), hashed(F.col("collapsed")).alias("collapsed_sha256"),
+    )
