@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowbench.llm import fingerprints, infill, minhash, mixing, neighbours, packing, periods, quality, secret_scan, suffixes, toxicity, warc
+from flowbench.llm import fingerprints, infill, minhash, mixing, neighbours, packing, periods, quality, secret_scan, sharding, suffixes, toxicity, warc
 from flowbench.llm.common import WORD, reserved, table
 from flowbench.sources.tables import new_path, write_table
 
@@ -224,3 +224,20 @@ def op11_periods(spark: SparkSession, folder: str) -> DataFrame:
         F.floor(F.lit(1000) * F.col("best.length") / F.col("best.period")).cast("long").alias("exponent_milli"),
         hashed(listed).alias("runs_sha256"), hashed(F.col("collapsed")).alias("collapsed_sha256"),
     )
+
+
+#: The shards that the documents come from, dealt by source, and those they go to.
+OLD_SHARDS, NEW_SHARDS = 6, 8
+
+
+@query
+def op12_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    by_source = F.crc32(F.coalesce("source", F.lit(""))) % OLD_SHARDS
+    old = sharding.write_shards(docs, new_path(spark, "shards"), by_source)
+    return sharding.reshard(old, NEW_SHARDS).rows().select(
+        "doc_id", F.col(sharding.SIZE).alias("size"),
+        F.crc32(F.encode(F.coalesce("text", F.lit("")), "UTF-8")).alias("text_crc32"),
+        F.lit("bytes").alias("law"), F.col(sharding.SHARD).alias("shard"), F.col(reserved("slot")).alias("slot"),
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
