@@ -6,7 +6,7 @@ in one place. Steps are written to the shared folder, so a lost executor costs o
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from flowbench.sources.tables import write_table
@@ -26,20 +26,30 @@ def large_star(edges: DataFrame) -> DataFrame:
 
 
 def small_star(edges: DataFrame) -> DataFrame:
-    """Every smaller neighbour of a node, and the node, are tied to the smallest of them."""
+    """Every smaller neighbour of a node, and the node, are tied to the smallest of them.
+
+    A node's own edge comes once, the others as often as before: repeated edges go without a shuffle of
+    their own, as each step leaves fewer of the others.
+    """
     least = edges.groupBy("a").agg(F.min("b").alias("least"))
     tied = edges.join(least, "a").filter("b <> least").select(F.col("b").alias("a"), F.col("least").alias("b"))
-    return tied.unionByName(least.select("a", F.col("least").alias("b"))).filter("a <> b").distinct()
+    return tied.unionByName(least.select("a", F.col("least").alias("b"))).filter("a <> b")
+
+
+def stored(edges: DataFrame) -> tuple[DataFrame, tuple]:
+    """The edges as a table, and what tells one set of edges from another, counted while it is written."""
+    seen = Observation()
+    total = F.sum(F.xxhash64("a", "b").cast("decimal(20)"))
+    table = write_table(edges.observe(seen, F.count(F.lit(1)).alias("n"), total.alias("total")), "components")
+    return table, (seen.get["n"], seen.get["total"])
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, component): the smallest node that each node of the edges (a, b) reaches, itself included."""
     larger = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    stars = write_table(larger.filter("a <> b").distinct(), "components")
-    before = None
+    stars, before = stored(larger.filter("a <> b"))
     for _ in range(MAX_STEPS):
-        stars = write_table(small_star(large_star(stars).distinct()), "components")
-        seen = stars.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20)"))).first()
+        stars, seen = stored(small_star(large_star(stars)))
         if seen == before:
             break
         before = seen

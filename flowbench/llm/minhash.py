@@ -6,10 +6,10 @@ variance. Values of ``ROWS`` different permutations make a band; texts that shar
 At a similarity of 0.75 a pair shares none of the bands with a chance of about 1e-6.
 
 Equal sets form a class, and classes take part once, by their smallest id. Small buckets give all their
-pairs. A larger bucket ties every member to its smallest one; the links that full sets confirm make
-components. While a bucket lies in several components, another of its members, drawn by a hash, is
-compared to those outside its own; in the end all pairs across components that are still untried are
-compared, so no candidate is left out, and a large group of copies costs a few comparisons per member.
+pairs. A larger bucket ties every member to its smallest one, and if it is very large also to a few members
+drawn by a hash; the links that full sets confirm make components. Then all pairs across the components of a
+bucket that are still untried are compared, so no candidate is left out, and a large group of copies
+costs a few comparisons per member.
 Around a large group lie copies with more edits, which are candidates of all and linked with few. There
 a pivot bounds what two sets can share: the smaller of what they share with the pivot, and what bitmaps
 say of the rest. A pair whose bound is below ``LINK`` is no link for certain and is never formed.
@@ -43,10 +43,11 @@ BANDS = 50
 LINK = 75
 #: Buckets of at most this many classes give all pairs at once.
 SMALL_BUCKET = 6
-#: Rounds of drawn members before all pairs across components are compared.
-ROUNDS = 2
-#: Larger buckets are measured against a pivot before pairs across their components are formed.
+#: Members of larger buckets are compared with so many drawn ones too, and measured against a pivot before
+#: pairs across their components are formed, in so many cells a side.
 PIVOT_BUCKET = 64
+DRAWS = 2
+CELLS = 4
 #: Words of the bitmap of a set's elements outside the pivot.
 EXTRA_WORDS = 16
 #: One bit of each signature value, packed in words of 64; a pair at ``LINK`` differs in an eighth of them.
@@ -54,7 +55,7 @@ BIT_WORDS = 4
 BITS_APART = 64
 #: Set elements hashed at a time.
 BLOCK = 1 << 15
-GROUP_BYTES = 1 << 22
+GROUP_BYTES = 1 << 19
 
 SIGNATURE = "id long, n_shingles long, set_a long, set_b long, bands array<long>, bits array<long>"
 BITS = [f"bits{w}" for w in range(BIT_WORDS)]
@@ -202,36 +203,46 @@ def link_classes(docs: DataFrame, id_column: str, text_column: str, reps: DataFr
     all_pairs = small.select(F.explode(F.flatten(F.transform("group", pair))).alias("p")).select("p.a", "p.b").filter(close("a", "b"))
     first = large.filter(F.col("own.id") == F.col("key")).select("key", F.col("own").alias("a"))
     stars = large.filter(F.col("own.id") != F.col("key")).select("key", F.col("own").alias("b")).join(first, "key").filter(close("a", "b"))
-    tried = write_table(pairs_of(all_pairs).unionByName(pairs_of(stars)).distinct(), "minhash-pairs")
-    joined = components(write_table(linked(tried, sets), "minhash-links"))
-    for turn in range(ROUNDS + 1):
-        placed = across_components(large, joined)
-        total, across = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(
-            F.sum("n").alias("all"), ((F.pow(F.sum("n"), F.lit(2)) - F.sum(F.col("n") * F.col("n"))) / 2).alias("across")
-        ).agg(F.sum("all"), F.sum("across")).first()
-        if not total:
-            return joined
-        last = turn == ROUNDS or across <= 2 * total
-        one = placed.select("key", F.col("own").alias("a"), F.col("component").alias("a_in"))
-        two = placed.select("key", F.col("own").alias("b"), F.col("component").alias("b_in"))
-        if last:
-            few = F.expr("a.id < b.id and a_in <> b_in") & close("a", "b")
-            sizes = placed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > PIVOT_BUCKET).select("key")
-            found = one.join(sizes, "key", "left_anti").join(two, "key").filter(few).select("a", "b")
-            bounded = write_table(with_bounds(placed.join(sizes, "key", "left_semi"), sets), "minhash-bounds")
-            one = bounded.select("key", F.col("own").alias("a"), F.col("component").alias("a_in"), F.col("bound").alias("a_bound"))
-            two = bounded.select("key", F.col("own").alias("b"), F.col("component").alias("b_in"), F.col("bound").alias("b_bound"))
-            found = found.unionByName(one.join(two, "key").filter(few & may_link("a_bound", "b_bound")).select("a", "b"))
-        else:
-            drawn = one.groupBy("key").agg(F.min(F.struct(F.xxhash64("a.id", F.lit(turn)).alias("order"), "a", "a_in")).alias("drawn"))
-            found = two.join(drawn.select("key", "drawn.a", "drawn.a_in"), "key").filter(F.expr("a_in <> b_in") & close("a", "b"))
-        more = write_table(pairs_of(found).distinct().join(tried, ["a", "b"], "left_anti"), "minhash-pairs")
-        new = write_table(linked(more, sets), "minhash-links")
-        if not new.isEmpty():  # what is joined already stays so: stars and new links settle quickly
-            joined = components(new.unionByName(joined.select(F.col("node").alias("a"), F.col("component").alias("b"))))
-        if last:
-            return joined
-        tried = tried.unionByName(more)
+    tried = pairs_of(all_pairs).unionByName(pairs_of(stars)).unionByName(pairs_of(drawn_pairs(large)))
+    tried = write_table(tried.distinct(), "minhash-pairs")
+    joined = components(linked(tried, sets))
+    placed = across_components(large, joined)
+    found = pairs_across(placed, sets)
+    more = write_table(pairs_of(found).distinct().join(tried, ["a", "b"], "left_anti"), "minhash-pairs")
+    new = write_table(linked(more, sets), "minhash-links")
+    if new.isEmpty():
+        return joined
+    return components(new.unionByName(joined.select(F.col("node").alias("a"), F.col("component").alias("b"))))
+
+
+def drawn_pairs(large: DataFrame) -> DataFrame:
+    """Each member of a bucket above ``PIVOT_BUCKET`` with a few others, drawn by a hash of their ids."""
+    members = large.join(buckets_above(large, PIVOT_BUCKET), "key", "left_semi")
+    order = [F.struct(F.xxhash64("own.id", F.lit(turn)).alias("order"), "own") for turn in range(DRAWS)]
+    drawn = members.groupBy("key").agg(*(F.min(o).alias(f"o{turn}") for turn, o in enumerate(order)))
+    drawn = drawn.select("key", F.explode(F.array(*(F.col(f"o{turn}.own") for turn in range(DRAWS)))).alias("a"))
+    return members.select("key", F.col("own").alias("b")).join(drawn, "key").filter(F.expr("a.id <> b.id") & close("a", "b"))
+
+
+def buckets_above(members: DataFrame, size: int) -> DataFrame:
+    return members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > size).select("key")
+
+
+def pairs_across(placed: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs of a bucket's members in different components that may be links."""
+    few = F.expr("a.id < b.id and a_in <> b_in") & close("a", "b")
+    hot = buckets_above(placed, PIVOT_BUCKET)
+    rest = placed.join(hot, "key", "left_anti")
+    one = rest.select("key", F.col("own").alias("a"), F.col("component").alias("a_in"))
+    two = rest.select("key", F.col("own").alias("b"), F.col("component").alias("b_in"))
+    found = one.join(two, "key").filter(few).select("a", "b")
+    bounded = write_table(with_bounds(placed.join(hot, "key", "left_semi"), sets), "minhash-bounds")
+    # a bucket's pairs are made in cells of its members' halves, quarters ... so that no task has them all
+    cell = F.pmod(F.xxhash64("own.id"), F.lit(CELLS))
+    cells = F.explode(F.sequence(F.lit(0), F.lit(CELLS - 1)))
+    one = bounded.select("key", cell.alias("row"), cells.alias("column"), F.col("own").alias("a"), F.col("component").alias("a_in"), F.col("bound").alias("a_bound"))
+    two = bounded.select("key", cells.alias("row"), cell.alias("column"), F.col("own").alias("b"), F.col("component").alias("b_in"), F.col("bound").alias("b_bound"))
+    return found.unionByName(one.join(two, ["key", "row", "column"]).filter(few & may_link("a_bound", "b_bound")).select("a", "b"))
 
 
 def with_bounds(members: DataFrame, sets: DataFrame) -> DataFrame:
