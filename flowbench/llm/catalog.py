@@ -94,7 +94,7 @@ def quality_statistics(docs: DataFrame) -> DataFrame:
 def quality_model(rows: DataFrame, labels: DataFrame) -> quality.RuleModel:
     """Fitted on labelled rows that are not held out."""
     marked = labels.groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    return quality.fit(rows.filter("not held_out").dropDuplicates(["doc_id"]).join(marked, "doc_id"), "quality")
+    return quality.fit(rows.filter("not held_out").join(marked, "doc_id"), "quality")
 
 
 @query

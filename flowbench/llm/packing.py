@@ -31,7 +31,8 @@ END_ID = 1
 BLOCK_TOKENS = 1 << 20
 #: Attention of one id to another, relative to the linear work per id.
 QUADRATIC = 1 / 4096
-KNOWN_PIECES = 1_200_000
+#: Pieces remembered at a time, some 200 bytes each; Python workers keep them from task to task.
+KNOWN_PIECES = 200_000
 #: Sequence numbers of one task follow each other from ``partition << TASK_BITS``.
 TASK_BITS = 40
 

@@ -8,9 +8,12 @@ projection over the statistics.
 Statistics are ratios of what is counted in one pass over a text's bytes. A text that is null, empty or
 has no word has all ratios 0 and is scored by the rules like others. Equal texts have equal statistics
 and scores. Rules are fitted on at most ``max_rows`` labelled rows, those with the smallest hash of
-their id; everything else sees every row. Labelled rows with a null id or label are not used; without
-rows of both classes fitting is an error. An empty table has no scores. Extra columns are ignored unless
-kept.
+their id; everything else sees every row. Labelled rows with a null id or label are not used, and of an id of
+several texts one is. Rows of one class only are an error; without any (as for an empty table, which has no
+scores) there are no rules and every score is one half. Extra columns are ignored unless kept.
+
+A text is measured whole, in groups of texts of about ``GROUP_BYTES``; a longer text is a group of its own,
+with arrays of a few dozen bytes per byte.
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from flowbench.llm import words as W
-from flowbench.llm.common import reserved
+from flowbench.llm.common import drawn, reserved
 
 MAX_ROWS = 20_000
 TREES = 30
@@ -35,7 +38,10 @@ THRESHOLDS = 48
 TRIED = 6
 LASSO = 1e-3
 #: Texts are taken in groups of about this many bytes.
-GROUP_BYTES = 1 << 22
+GROUP_BYTES = 1 << 19
+
+#: Of running counts over bytes; an Arrow string is shorter than 2 ** 31 bytes.
+COUNTS = np.int32
 
 #: Statistics, all between 0 and 1 but the last three, which are logarithms of counts or means.
 STATISTICS = (
@@ -47,7 +53,7 @@ SYMBOLS = b"#$%&*+/<=>@[\\]^_`{|}~"
 
 
 def table_of(codes: bytes) -> np.ndarray:
-    out = np.zeros(256, np.int64)
+    out = np.zeros(256, np.uint8)
     out[list(codes)] = 1
     return out
 
@@ -67,8 +73,8 @@ def statistics(data: np.ndarray, limits: np.ndarray) -> np.ndarray:
     hashes = W.word_hashes(W.LOWER[data], word)
 
     def share(flags: np.ndarray, edges: np.ndarray) -> np.ndarray:
-        total = np.zeros(len(flags) + 1, np.int64)
-        np.cumsum(flags, out=total[1:])
+        total = np.zeros(len(flags) + 1, COUNTS)
+        np.cumsum(flags, out=total[1:], dtype=COUNTS)
         return (total[edges[1:]] - total[edges[:-1]]).astype(np.float64)
 
     by_word = np.append(word.first, len(word.begin))
@@ -82,8 +88,8 @@ def statistics(data: np.ndarray, limits: np.ndarray) -> np.ndarray:
     order = np.lexsort((hashes, word.text))
     new = np.ones(len(hashes), bool)
     new[1:] = (hashes[order][1:] != hashes[order][:-1]) | (word.text[order][1:] != word.text[order][:-1])
-    uppers = np.zeros(len(data) + 1, np.int64)
-    np.cumsum(UPPER[data], out=uppers[1:])
+    uppers = np.zeros(len(data) + 1, COUNTS)
+    np.cumsum(UPPER[data], out=uppers[1:], dtype=COUNTS)
     shouted = (uppers[word.end] - uppers[word.begin]) * 2 > length
     last = data[word.end - 1] if len(word.end) else np.empty(0, np.uint8)
     doubled = (length > 1) & (last == data[word.end - 2]) if len(word.end) else np.empty(0, bool)
@@ -254,7 +260,7 @@ def labelled_texts(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id"
     """Rows of ``docs`` with the label of at most ``max_rows`` labelled ids, as (doc_id, label, text)."""
     key, label = reserved("id"), reserved("label")
     marked = labels.filter(labels[label_column].isin(0, 1)).groupBy(labels[id_column].alias(key)).agg(F.max(labels[label_column]).alias(label))
-    chosen = marked.filter(F.col(key).isNotNull()).orderBy(F.xxhash64(key), key).limit(max_rows)
+    chosen = drawn(marked.filter(F.col(key).isNotNull()), key, max_rows)
     found = docs.select(docs[id_column].alias(key), docs["text"].alias(reserved("text"))).join(F.broadcast(chosen), key)  # at most max_rows ids
     return found.select(F.col(key).alias("doc_id"), F.col(label).alias("quality"), F.col(reserved("text")).alias("text"))
 
@@ -265,14 +271,14 @@ def fit(rows: DataFrame, label_column: str = "quality", max_rows: int = MAX_ROWS
 
     Both classes weigh the same. ``max_rows`` bounds the sample.
     """
-    order = F.xxhash64("doc_id")
-    sample = (
-        rows.filter(F.col("doc_id").isNotNull() & F.col(label_column).isin(0, 1))
-        .select(order.alias(reserved("order")), "doc_id", F.col(label_column).cast("double"), *(reserved(s) for s in STATISTICS))
-        .orderBy(reserved("order"), "doc_id").limit(max_rows).collect()
-    )
-    values = np.array([r[3:] for r in sample], np.float64).reshape(-1, len(STATISTICS))
-    labels = np.array([r[2] for r in sample])
+    usable = rows.filter(F.col("doc_id").isNotNull() & F.col(label_column).isin(0, 1))
+    facts = F.struct(F.col(label_column).cast("double").alias("label"), *(reserved(s) for s in STATISTICS))
+    one_each = usable.groupBy("doc_id").agg(F.min(facts).alias("facts"))  # an id of several texts: the same one in each run
+    sample = drawn(one_each, "doc_id", max_rows).select("facts.*").collect()
+    values = np.array([r[1:] for r in sample], np.float64).reshape(-1, len(STATISTICS))
+    labels = np.array([r[0] for r in sample])
+    if not len(labels):
+        return RuleModel(0.0, ())
     if len(set(labels.tolist())) < 2:
         raise ValueError("labelled rows of both classes are needed")
     weights = np.where(labels == 1, 0.5 / labels.mean(), 0.5 / (1 - labels.mean()))

@@ -7,14 +7,16 @@ text is as toxic as its most toxic window: an insult counts the same in a short
 Training knows labels of texts only, so each pass takes the currently most toxic windows of each text
 as its example, starting from whole texts.
 
-The model is fitted on at most ``max_rows`` labelled texts of each class, of at most ``max_chars``
-characters each, those with the smallest hash of their id: a bounded sample by parameter, and the only
-thing that reaches the driver. The fitted model has ``buckets`` numbers, whatever the corpus. Every text
+The model is fitted on at most ``max_rows`` labelled texts of each class, those with the smallest hash of
+their id, and of these on the shortest as far as ``max_bytes`` a class go: a bounded sample by two parameters, and
+the only thing that reaches the driver. The fitted model has ``buckets`` numbers, whatever the corpus. Every text
 is scored whole, in the task that reads it.
 
 Texts that are null, empty or without words have no window; their score is that of the bias alone, made
 to be below one half. Repeated rows get equal scores. Rows with a null id are scored and are never used
-in training. Without labelled rows of both classes fitting is an error. Other columns are ignored.
+in training. Labelled texts of one class only are an error; without any (as for an empty table, which has
+no scores) every score is just below one half. An id of several texts teaches the smallest of them. Very long
+texts are scored whole. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,18 +26,19 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from flowbench.llm.common import reserved
+from flowbench.llm.common import drawn, reserved
+from flowbench.sources.tables import write_table
 
 BUCKETS = 1 << 18
 DIMENSIONS = 8
 SIZES = (3, 4, 5, 6)
 WINDOW = 8
 MAX_ROWS = 2000
-MAX_CHARS = 200_000
+MAX_BYTES = 1 << 25
 PASSES = 12
 #: Subwords in fewer training texts than this keep weight zero: they would only memorise single texts,
 #: among them wrongly labelled ones.
@@ -171,20 +174,22 @@ class ToxicityModel:
 
 
 def training_rows(labelled: DataFrame, docs: DataFrame, id_column: str, text_column: str, label_column: str,
-                  max_rows: int = MAX_ROWS, max_chars: int = MAX_CHARS) -> list[tuple[int, str]]:
+                  max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES) -> list[tuple[int, str]]:
     """The bounded sample: of each class, the labelled texts with the smallest hash of their id."""
     key, label = reserved("id"), reserved("label")
     wanted = (
         labelled.filter(labelled[id_column].isNotNull() & labelled[label_column].isin(0, 1))
         .groupBy(labelled[id_column].alias(key)).agg(F.max(labelled[label_column]).cast("int").alias(label))
     )
-    order = F.xxhash64(key)
-    ids = wanted.filter(F.col(label) == 0).orderBy(order, key).limit(max_rows).unionByName(
-        wanted.filter(F.col(label) == 1).orderBy(order, key).limit(max_rows)
-    )
-    texts = docs.select(docs[id_column].alias(key), docs[text_column].alias(reserved("text")))
-    found = texts.filter(F.length(reserved("text")) <= max_chars).join(F.broadcast(ids), key)  # at most 2 * max_rows ids
-    rows = found.select(key, label, reserved("text")).dropDuplicates([key]).collect()
+    ids = drawn(wanted.filter(F.col(label) == 0), key, max_rows).unionByName(drawn(wanted.filter(F.col(label) == 1), key, max_rows))
+    text = reserved("text")
+    texts = docs.select(docs[id_column].alias(key), docs[text_column].cast("string").alias(text)).filter(F.col(text).isNotNull())
+    found = texts.join(F.broadcast(ids), key).groupBy(key, label).agg(F.min(text).alias(text))  # at most 2 * max_rows ids
+    found = write_table(found, "toxicity-texts")
+    sizes = Window.partitionBy(label).orderBy(F.octet_length(text), key)  # over at most max_rows rows a class
+    upto = found.select(key, label, F.sum(F.octet_length(text).cast("long")).over(sizes).alias(reserved("upto")))
+    fitting = F.broadcast(upto.filter(F.col(reserved("upto")) <= max_bytes).select(key))
+    rows = found.join(fitting, key).select(key, label, text).collect()
     return [(r[1], r[2]) for r in sorted(rows, key=lambda r: r[0])]
 
 
@@ -193,6 +198,8 @@ def fit(rows: list[tuple[int, str]], buckets: int = BUCKETS, dimensions: int = D
     """Embeddings and softmax by gradient steps on the texts' most toxic windows (numpy, one process)."""
     rng = np.random.default_rng(seed)
     labels = np.array([y for y, _ in rows], np.float64)
+    if not len(labels):
+        return ToxicityModel(np.zeros(buckets), 0.0, window, shift=-1e-6)
     if len(set(labels.tolist())) < 2:
         raise ValueError("labelled texts of both classes are needed")
     numbers: dict[str, int] = {}

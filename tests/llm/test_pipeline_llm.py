@@ -37,8 +37,9 @@ def test_stages_in_turn(spark, docs):
 def test_awkward_rows_pass(spark):
     rows = awkward_docs(spark).select("doc_id", "text", "lang", "source", "n_chars", "kept", "bucket")
     empty = rows.limit(0)
-    for name, stage in P.STAGES[1:]:
-        assert stage(spark, rows, FOLDER).count() > 0, name
+    for name, stage in P.STAGES:
+        # the fixture's ids have labels of the small table, its texts are others: quality may keep any of them
+        assert name == "quality" or stage(spark, rows, FOLDER).count() > 0, name
         assert stage(spark, empty, FOLDER).count() == 0, name
     unique = P.drop_near_duplicates(spark, rows, FOLDER).collect()
     assert sum(r.doc_id is None for r in unique) == sum(i is None for i, _ in awkward_texts())
