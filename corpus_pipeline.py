@@ -11,7 +11,7 @@ columns pass through every stage:
 * mixing: a row occurs as often as the mix takes its document, from not at all to three times.
 * packing: the pieces of all rows; the last stage returns these instead of documents.
 
-An empty table of documents gives an empty table of pieces, if labels of both classes are there to learn.
+An empty table of documents gives an empty table of pieces.
 """
 
 from __future__ import annotations
