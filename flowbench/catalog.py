@@ -413,6 +413,50 @@ def column_transformer(spark, folder):
     return df.select("flow_id", *_vector_columns(df, fitted))
 
 
+WIDE_SQL = """w as (select l_orderkey, l_linenumber, l_orderkey || '-' || l_linenumber as line, l_returnflag as mode,
+    'p' || l_partkey as part, l_quantity as quantity from lineitem),
+    d as (select 'line' as feature, line as value from w where l_linenumber <> 3 group by all
+          union all select 'part', part from w where l_linenumber <> 3 group by all
+          union all select 'mode', mode from w where l_linenumber <> 3 group by all),
+    c as (select *, row_number() over (partition by feature order by value) - 1 as code,
+          count(*) over (partition by feature) as n from d)"""
+
+
+@query(f"""with {WIDE_SQL}, s as (select max(n) filter (where feature = 'line') as lines,
+    max(n) filter (where feature = 'mode') as modes, max(n) filter (where feature = 'part') as parts from c)
+    select l_orderkey, l_linenumber, cast(1 + lines + modes + parts as int) as width,
+    1 + (x.code is not null)::bigint + (y.code is not null)::bigint + (z.code is not null)::bigint as cells,
+    1 + x.code as line_place, 1 + lines + y.code as mode_place, 1 + lines + modes + z.code as part_place,
+    round(quantity, 4) as first_value
+    from w cross join s left join c x on x.feature = 'line' and x.value = w.line
+    left join c y on y.feature = 'mode' and y.value = w.mode left join c z on z.feature = 'part' and z.value = w.part""")
+def one_hot_wide(spark, folder):
+    """One-hot vectors over as many categories as there are lines; lines numbered 3 are not fitted on."""
+    rows = table(spark, folder, "lineitem").select(
+        "l_orderkey", "l_linenumber", F.concat_ws("-", "l_orderkey", "l_linenumber").alias("line"),
+        F.col("l_returnflag").alias("mode"), F.concat(F.lit("p"), F.col("l_partkey")).alias("part"),
+        F.col("l_quantity").alias("quantity"),
+    )
+    train = rows.filter("l_linenumber <> 3").select("quantity", "line", "mode", "part")
+    fitted = features.fit_features(train, scale_numeric=False, inline_width=100)
+    vectors = features.assemble(rows, fitted, ["l_orderkey", "l_linenumber"])
+    lines, modes, parts = (f.count or len(f.categories) for f in fitted.categorical)
+    # a sparse vector as text: (size,[places],[values])
+    sparse = F.split(F.translate(F.col("features").cast("string"), "()[]", ""), ",")
+    cells = ((F.size(sparse) - 1) / 2).cast("int")
+    places = F.transform(F.slice(sparse, F.lit(2), cells), lambda x: x.cast("long"))
+
+    def within(low: int, high: int) -> Column:
+        return F.get(F.filter(places, lambda x: (x >= low) & (x < high)), F.lit(0))
+
+    return vectors.select(
+        "l_orderkey", "l_linenumber", F.get(sparse, F.lit(0)).cast("int").alias("width"), cells.cast("long").alias("cells"),
+        within(1, 1 + lines).alias("line_place"), within(1 + lines, 1 + lines + modes).alias("mode_place"),
+        within(1 + lines + modes, 1 + lines + modes + parts).alias("part_place"),
+        F.round(F.get(sparse, cells + 1).cast("double"), 4).alias("first_value"),
+    )
+
+
 # Scores, thresholds, metrics ------------------------------------------------------------------
 
 SCORES_SQL = """select event_id, case when event_type = 'error' then 1 else 0 end as target,
@@ -679,7 +723,9 @@ def _fourier_sql(j: int) -> str:
     angle = " + ".join(
         f"({n} - a_{n}) / d_{n} * cast({GIVEN_WEIGHTS[i][j]} as double)" for i, n in enumerate(NUMERIC)
     )
-    return f"round(sqrt(2 / cast(3 as double)) * cos({angle} + {GIVEN_OFFSETS[j]}), 4) + 0.0 as f{j}"
+    # features are 32-bit floats: round those, as a value beside a rounding edge may fall on it
+    value = f"cast(sqrt(2 / cast(3 as double)) * cos({angle} + {GIVEN_OFFSETS[j]}) as real)"
+    return f"round(cast({value} as double), 4) + 0.0 as f{j}"
 
 
 @query(f"{SCALED_SQL} select flow_id, {', '.join(map(_fourier_sql, range(3)))} from i, p")

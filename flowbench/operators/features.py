@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..config import ENGINE_COLUMNS, IDENTIFIER_COLUMNS, NON_FEATURE_COLUMNS
 from ..functions.names import canonical_name, canonical_names, col
 from .clean import finite
+from .encoding import code, sparse_vectors, with_codes, write_dictionary
 from .quantile import Profile, profile
 from .schema import numeric_and_categorical
 
@@ -38,13 +39,15 @@ class NumericFeature:
 class CategoricalFeature:
     """``categories`` is None when there are too many to hold on the driver.
 
-    ``hot`` then lists the values that hold more than one in HOT_SHARE rows, at most HOT_SHARE of them.
+    ``hot`` then lists the values that hold more than one in HOT_SHARE rows, at most HOT_SHARE of them, and
+    ``count`` says how many values there are.
     """
 
     name: str
     mode: str
     categories: tuple[str, ...] | None
     hot: tuple[str, ...] = ()
+    count: int = 0
 
     @property
     def listed(self) -> tuple[str, ...]:
@@ -57,6 +60,8 @@ class FittedFeatures:
     numeric: tuple[NumericFeature, ...]
     categorical: tuple[CategoricalFeature, ...]
     dropped: tuple[str, ...]
+    #: Path of the table with the codes of all categories that are not listed here.
+    dictionary: str | None = None
 
     @property
     def names(self) -> list[str]:
@@ -189,7 +194,7 @@ def fit_features(
             scale = scale_for(mean, variance)
         fitted.append(NumericFeature(name, facts[name].quantile, mean, scale))
 
-    encoded = []
+    encoded, dictionary = [], None
     if categorical:
         counts = value_counts(df, categorical).persist(StorageLevel.MEMORY_AND_DISK)
         found = {row["feature"]: row for row in modes_of(counts).collect()}
@@ -202,17 +207,20 @@ def fit_features(
             .join(F.broadcast(counts.groupBy("feature").agg(F.sum("count").alias("rows"))), "feature")
             .filter(F.col("count") * HOT_SHARE > F.col("rows"))
         ) if len(inline) < len(found) else {}
+        if len(inline) < len(found):
+            dictionary = write_dictionary(counts.filter(~F.col("feature").isin(inline)))
         counts.unpersist()
         encoded = [
             CategoricalFeature(
                 name, found[name]["mode"],
                 tuple(sorted(lists[name])) if name in inline else None,
                 tuple(sorted({*hot.get(name, ()), found[name]["mode"]} if name not in inline else ())),
+                0 if name in inline else found[name]["distinct"],
             )
             for name in categorical
             if name in found
         ]
-    return FittedFeatures(tuple(fitted), tuple(encoded), tuple(dropped))
+    return FittedFeatures(tuple(fitted), tuple(encoded), tuple(dropped), dictionary)
 
 
 def scaled(df: DataFrame, feature: NumericFeature) -> Column:
@@ -250,15 +258,12 @@ def assemble(
 ) -> DataFrame:
     """``keep`` plus one sparse or dense vector: numeric block, then one-hot blocks.
 
-    A category not seen in fitting gives an all-zero block.
+    A category not seen in fitting gives an all-zero block. Blocks are in the order of their features, and
+    categories in a block are sorted, whether the driver lists them or a dictionary codes them.
     """
-    if not fitted.inline:
-        names = [fitted.categorical[i].name for i in fitted.wide]
-        raise ValueError(
-            f"Too many categories for a vector: {', '.join(names)}; raise inline_width, or use "
-            "svd_features or fourier_features, which keep such categories in a table"
-        )
     keep = list(keep)
+    if not fitted.inline:
+        return _assemble_wide(df, fitted, keep, output)
     numbers = [number(i) for i in range(len(fitted.numeric))]
     texts = [text(i) for i in range(len(fitted.categorical))]
     frame = prepared(df, fitted, keep)
@@ -276,3 +281,25 @@ def assemble(
         inputCols=numbers + [f"{t}_hot" for t in texts], outputCol=output, handleInvalid="error"
     )
     return assembler.transform(frame).select(*[col(name) for name in keep], output)
+
+
+def _assemble_wide(df: DataFrame, fitted: FittedFeatures, keep: list[str], output: str) -> DataFrame:
+    """The same vector, always sparse, when a dictionary holds the codes of some features."""
+    if fitted.dictionary is None:
+        names = [fitted.categorical[i].name for i in fitted.wide]
+        raise ValueError(f"No dictionary of the categories of {', '.join(names)}: fit the features first")
+    sizes = [len(f.categories) if f.categories is not None else f.count for f in fitted.categorical]
+    starts = [len(fitted.numeric) + sum(sizes[:i]) for i in range(len(sizes))]
+    if (width := len(fitted.numeric) + sum(sizes)) >= 1 << 31:
+        raise ValueError(f"A vector cannot have {width} places")
+    wide = {i: fitted.categorical[i].name for i in fitted.wide}
+    frame = with_codes(prepared(df, fitted, keep), wide, {i: text(i) for i in wide}, fitted.dictionary)
+    codes = []
+    for i, feature in enumerate(fitted.categorical):
+        if feature.categories is None:
+            codes.append(col(code(i)))
+        else:  # a list that the inline width bounds
+            place = F.array_position(F.lit(list(feature.categories)), col(text(i))) - 1
+            codes.append(F.when(place >= 0, place).alias(code(i)))
+    frame = frame.select(*[col(name) for name in keep], *[number(i) for i in range(len(fitted.numeric))], *codes)
+    return sparse_vectors(frame, len(keep), len(fitted.numeric), starts, width, output)

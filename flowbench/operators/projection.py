@@ -17,7 +17,8 @@ from pyspark.sql.types import ArrayType, FloatType, IntegerType, StructField, St
 
 from ..functions.arrays import lists_of, matrix_of, matrix_of_lists
 from . import wide
-from .features import FittedFeatures, prepared
+from .encoding import heavy_values
+from .features import FittedFeatures, prepared, text
 from .wide import component_count, fix_signs
 
 
@@ -88,8 +89,9 @@ def _linear_features(
     """``finish`` of (prepared row x singular vectors x weights), one matrix product per batch."""
     keep = list(keep)
     frame = prepared(df, fitted, keep)
+    heavy = heavy_values(frame, [text(i) for i in fitted.wide])
     for position in fitted.wide:
-        frame = wide.attach_vectors(frame, fitted, position, singular_vectors.table)
+        frame = wide.attach_vectors(frame, fitted, position, singular_vectors.table, heavy[text(position)])
     numbers, texts = len(fitted.numeric), len(fitted.categorical)
     blocks = []
     for rows, values in singular_vectors.blocks(fitted):

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from ..functions.arrays import lists_of, matrix_of_lists
 from ..sources.tables import new_path, read_back, write_table
+from .encoding import look_up
 from .features import FittedFeatures, assemble, number, prepared, text
 from .quantile import MERGE_GROUPS
 
@@ -32,8 +33,6 @@ OVERSAMPLING = 10
 TOLERANCE = 1e-10
 MAX_ITERATIONS = 200
 KEY = ("feature", "value")
-# Reserved names, so that no kept column is overwritten.
-KEY_COLUMN, LISTED_COLUMN = "__flow_key", "__flow_listed"
 
 
 def component_count(width: int, wanted: int) -> int:
@@ -267,28 +266,18 @@ def _listed_vectors(vectors: DataFrame, fitted: FittedFeatures) -> list[np.ndarr
 
 
 def attach_vectors(
-    frame: DataFrame, fitted: FittedFeatures, position: int, table: str
+    frame: DataFrame, fitted: FittedFeatures, position: int, table: str, heavy: list[str] = ()
 ) -> DataFrame:
     """Add ``__flow_v<position>``: the vector of the row's category, NULL if it is listed or unknown.
 
-    Listed (hot) values need no join. Their rows get the number of their input partition as key, which
-    matches nothing, so the shuffle has no hot key: what is left are values below one in HOT_SHARE
-    rows. A retried task gives every row the same key again, whatever order its rows come in.
+    Listed values need no lookup. Those that are ``heavy`` in this frame are looked up in a broadcast part
+    of the table, so what the join shuffles are values below one in HOT_SHARE rows, here as in fitting.
     """
+    result = f"__flow_v{position}"
     vectors = (
         frame.sparkSession.read.schema("feature int, value string, vector array<double>")
         .parquet(table)
         .filter(F.col("feature") == position)
-        .select(
-            F.col("value").alias(KEY_COLUMN), F.lit(False).alias(LISTED_COLUMN),
-            F.col("vector").alias(f"__flow_v{position}"),
-        )
-    )
-    value = F.col(text(position))
-    listed = value.isin(list(fitted.categorical[position].listed))
-    partition = F.spark_partition_id().cast("string")
-    both = [KEY_COLUMN, LISTED_COLUMN]
-    keyed = frame.withColumns(
-        {KEY_COLUMN: F.when(listed, partition).otherwise(value), LISTED_COLUMN: listed}
+        .select("value", F.col("vector").alias(result))
     )
-    return keyed.join(vectors, both, "left").drop(*both)
+    return look_up(frame, text(position), vectors, result, list(heavy), list(fitted.categorical[position].listed))

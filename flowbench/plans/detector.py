@@ -25,7 +25,7 @@ from ..operators.features import (
     fit_features,
 )
 from ..operators.scoring import anomaly_score, choose_threshold, derived_threshold, flag_anomalies
-from ..sources.tables import laid_out, write_table
+from ..sources.tables import committed, laid_out, literal_path, write_table
 
 # A feature row becomes one forest row per rotation, with a bootstrap count per tree: about twenty times
 # its size. Tasks of the fit therefore take this many rows.
@@ -232,8 +232,13 @@ def run_detector(
 
 
 def save_detector(detector: Detector, path: str) -> str:
-    """Write the forest and, as small tables, all fitted values under ``path``."""
+    """Write the forest and, as small tables, all fitted values as a new version under ``path``.
+
+    The settings are written last and make the version whole: a save that breaks off leaves the
+    version before it as the one that is loaded.
+    """
     spark = SparkSession.active()
+    folder, path = path, f"{path}/version={max(_versions(spark, path), default=-1) + 1:06d}"
     detector.forest.write().overwrite().save(f"{path}/forest")
     fitted = detector.transform.features
     settings = {
@@ -243,7 +248,6 @@ def save_detector(detector: Detector, path: str) -> str:
         "validation_seconds": detector.validation_seconds,
         "fit_rows": detector.fit_rows,
     }
-    _save(spark, [(json.dumps(settings),)], "settings string", f"{path}/settings")
     rows = [(f.name, f.median, f.mean, f.scale, None, False) for f in fitted.numeric]
     rows += [
         (f.name, None, None, None, f.mode, f.categories is None) for f in fitted.categorical
@@ -271,7 +275,14 @@ def save_detector(detector: Detector, path: str) -> str:
         for i, line in enumerate(matrix)
     ]
     _save(spark, lines, "name string, position int, line array<double>", f"{path}/matrices")
-    return path
+    _save(spark, [(json.dumps(settings),)], "settings string", f"{path}/settings")
+    return folder
+
+
+def _versions(spark: SparkSession, folder: str) -> list[int]:
+    """The whole versions of a saved model."""
+    found = committed(spark, f"{literal_path(folder)}/version=*/settings")
+    return [int(path.rpartition("/version=")[2].partition("/")[0]) for path in found]
 
 
 def _save(spark: SparkSession, rows: list, schema: str, path: str) -> None:
@@ -286,6 +297,11 @@ def _save(spark: SparkSession, rows: list, schema: str, path: str) -> None:
 
 
 def load_detector(spark: SparkSession, path: str) -> Detector:
+    """The newest whole version of the model saved under ``path``."""
+    versions = _versions(spark, path)
+    if not versions:
+        raise FileNotFoundError(f"{path} holds no whole model")
+    path = f"{path}/version={max(versions):06d}"
     settings = json.loads(spark.read.parquet(f"{path}/settings").first()["settings"])
     config = settings.pop("config")
     config["exclude_columns"] = tuple(config["exclude_columns"])

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 from collections.abc import Iterable
+from dataclasses import asdict
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -10,7 +13,7 @@ from pyspark.sql import functions as F
 from ..config import DEFAULT_SEED, DetectorConfig
 from ..operators.metrics import metrics_record
 from ..operators.split import benign_part, check_weekdays, part, store_split
-from ..sources.tables import shared_folder
+from ..sources.tables import committed, literal_path, shared_folder
 from .detector import Statistics, fit_statistics, run_detector, save_detector
 from .variants import VARIANTS, prepare_variant, variant_shapes
 
@@ -67,6 +70,12 @@ def run_variant(
     )
 
 
+def run_key(variant: str, seed: int, config: DetectorConfig, order: str) -> str:
+    """Names a run by all that it depends on but the rows."""
+    settings = json.dumps([asdict(config), order], sort_keys=True)
+    return f"{variant}-{seed}-{hashlib.sha256(settings.encode()).hexdigest()[:16]}"
+
+
 def run_sweep(
     flows: DataFrame,
     variants: Iterable[str] = tuple(VARIANTS),
@@ -75,8 +84,13 @@ def run_sweep(
     order: str = "target_first",
     output: str | None = None,
     model_folder: str | None = None,
+    resume: bool = False,
 ) -> DataFrame:
-    """Every variant with every seed. Records are appended to ``output`` as each run ends.
+    """Every variant with every seed; each record goes to ``output`` as its run ends.
+
+    A record lies in its run's own folder, ``run=<variant>-<seed>-<hash of the settings>``, which a rerun
+    replaces: a sweep that was broken off and is run again leaves one record per run. With ``resume`` the
+    runs whose record is there are not run again; that is meant for the same flows only.
 
     ``flows`` is read twice: once to check the days and once to store it by part of the split.
     """
@@ -88,15 +102,23 @@ def run_sweep(
     shapes = spark.createDataFrame(shapes)  # three rows per variant
     records = []
     seeds = list(seeds)
+    done = {path.rpartition("/run=")[2] for path in committed(spark, f"{literal_path(output)}/run=*")} if resume else ()
     for variant in variants:
-        train = benign_part(prepare_variant(flows, variant, order, check=False), "train")
-        statistics = fit_statistics(train, config)
+        statistics = None
         for seed in seeds:
+            key = run_key(variant, seed, config, order)
+            path = f"{output}/run={key}"
+            if key in done:
+                records.append(spark.read.parquet(path))
+                continue
+            if statistics is None:
+                train = benign_part(prepare_variant(flows, variant, order, check=False), "train")
+                statistics = fit_statistics(train, config)
             record = run_variant(
                 flows, variant, seed, config, order, model_folder, shapes, statistics
             )
             record = spark.createDataFrame(record.collect(), record.schema)  # one row
-            record.coalesce(1).write.mode("append").parquet(output)
+            record.coalesce(1).write.mode("overwrite").parquet(path)
             records.append(record)
     result = records[0]
     for record in records[1:]:

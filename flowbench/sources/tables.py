@@ -46,6 +46,13 @@ def read_back(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def committed(spark: SparkSession, pattern: str) -> list[str]:
+    """The folders that match ``pattern`` and were written to the end."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{pattern}/_SUCCESS")
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path)
+    return sorted(status.getPath().getParent().toString() for status in found or [])
+
+
 def literal_path(path: str) -> str:
     """A path as Spark reads it literally: glob characters escaped."""
     return "".join(f"\\{c}" if c in "\\{}[]*?" else c for c in path)

@@ -1,3 +1,5 @@
+from dataclasses import replace
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -131,6 +133,57 @@ def test_sweep(spark, flows, tmp_path):
         assert detector.load_detector(spark, row.model_path).threshold == row.threshold
 
 
+def test_a_sweep_run_again_replaces_its_records(spark, flows, tmp_path, monkeypatch):
+    output, models = str(tmp_path / "runs"), str(tmp_path / "models")
+    config = DetectorConfig(rff_components=4, rotations=2, trees=1, max_depth=2)
+    ran = []
+    whole = report.run_variant
+
+    def ends_after_two(*args, **kwargs):
+        if len(ran) == 2:
+            raise KeyboardInterrupt
+        ran.append(args[1:3])
+        return whole(*args, **kwargs)
+
+    def sweep(**options):
+        return report.run_sweep(flows, ["baseline", "parse"], [1, 2], config, output=output, model_folder=models, **options)
+
+    monkeypatch.setattr(report, "run_variant", ends_after_two)
+    with pytest.raises(KeyboardInterrupt):
+        sweep()
+    assert spark.read.parquet(output).count() == 2
+    monkeypatch.setattr(report, "run_variant", lambda *a, **k: ran.append(a[1:3]) or whole(*a, **k))
+    assert sweep(resume=True).count() == 4 and len(ran) == 4
+    assert spark.read.parquet(output).count() == 4
+    first = spark.read.parquet(output).select("variant", "seed").orderBy("variant", "seed").collect()
+    assert [tuple(r) for r in first] == [("baseline", 1), ("baseline", 2), ("parse", 1), ("parse", 2)]
+    report.run_sweep(flows, ["baseline"], [1], config, output=output, model_folder=models)
+    assert len(ran) == 5 and spark.read.parquet(output).count() == 4
+
+
+def test_a_save_that_breaks_off_leaves_the_model_before(spark, flows, tmp_path, monkeypatch):
+    config = DetectorConfig(rff_components=4, rotations=2, trees=1, max_depth=2)
+    fitted = detector.fit_detector(flows.filter("label = 'BENIGN'"), config=config)
+    path = detector.save_detector(fitted, str(tmp_path / "m"))
+    other = replace(fitted, threshold=-1.0)
+    write = detector._save
+
+    def breaks_off(spark, rows, schema, folder):
+        if folder.endswith("matrices"):
+            raise OSError("broken off")
+        write(spark, rows, schema, folder)
+
+    monkeypatch.setattr(detector, "_save", breaks_off)
+    with pytest.raises(OSError):
+        detector.save_detector(other, path)
+    assert detector.load_detector(spark, path).threshold == fitted.threshold
+    monkeypatch.undo()
+    detector.save_detector(other, path)
+    assert detector.load_detector(spark, path).threshold == -1.0
+    with pytest.raises(FileNotFoundError):
+        detector.load_detector(spark, str(tmp_path / "none"))
+
+
 class Session:
     """Stands in for a session whose settings cannot change while it runs."""
 

@@ -1,10 +1,13 @@
 import math
+from dataclasses import replace
 
 import numpy as np
 import pandas as pd
 import pytest
 
-from flowbench.operators import features, projection, wide
+from pyspark.sql import functions as F
+
+from flowbench.operators import encoding, features, projection, wide
 
 
 @pytest.fixture(scope="module")
@@ -168,7 +171,52 @@ def test_scale_does_not_depend_on_the_number_of_rows():
     assert features.scale_for(1.7e9, 1e-6) == 1.0 and features.scale_for(0.0, 0.0) == 1.0
 
 
-def test_vectors_of_too_many_categories_are_refused(flows):
+def test_vectors_do_not_depend_on_where_categories_are(flows, fitted):
+    """Coded by a dictionary or listed: the same vectors, also for values that fitting has not seen."""
     in_table = features.fit_features(flows, inline_width=8)
+    assert in_table.wide == [2] and in_table.categorical[2].count == len(fitted.categorical[2].categories)
+    rows = flows.withColumn("host", F.when(F.col("Flow ID") == "f7", "?").otherwise(F.col("host")))
+    left, right = (
+        features.assemble(rows, f, ["Flow ID"]).toPandas().set_index("Flow ID").features.sort_index()
+        for f in (fitted, in_table)
+    )
+    assert len(left) == 3000 and left["f7"].numNonzeros() < left["f8"].numNonzeros()
+    for a, b in zip(left, right):
+        assert a.size == b.size and np.array_equal(a.toArray(), b.toArray())
+    without = replace(in_table, dictionary=None)
     with pytest.raises(ValueError, match="host"):
-        features.assemble(flows, in_table)
+        features.assemble(flows, without)
+
+
+def test_dictionary_codes_are_places_in_sorted_order(spark):
+    values = [("a", f"v{i * 7919 % 5000}é") for i in range(5000)] + [("b", "x"), ("b", ""), ("c", "\U0001f600"), ("c", "\uffee")]
+    frame = spark.createDataFrame(values, "feature string, value string").repartition(13)
+    codes = spark.read.parquet(encoding.write_dictionary(frame)).collect()
+    by_feature = {}
+    for feature, value in values:
+        by_feature.setdefault(feature, []).append(value)
+    wanted = {(f, v, k) for f, vs in by_feature.items() for k, v in enumerate(sorted(vs, key=str.encode))}
+    assert {(r.feature, r.value, r.code) for r in codes} == wanted and len(codes) == len(values)
+    empty = spark.read.schema(encoding.DICTIONARY).parquet(encoding.write_dictionary(frame.limit(0)))
+    assert empty.count() == 0
+
+
+def test_lookups_spread_what_is_hot_in_the_frame(spark):
+    """One value fills most of the frame, another a fiftieth; the table knows one of them and some rare ones."""
+    value = F.when(F.col("id") % 10 < 7, "flood").when(F.col("id") % 50 == 8, "known").otherwise(F.concat(F.lit("v"), F.col("id")))
+    frame = spark.range(20_000, numPartitions=8).select("id", value.alias("c"))
+    hot = encoding.heavy_values(frame, ["c"])["c"]
+    assert hot == ["flood", "known"]
+    codes = [("known", 1)] + [(f"v{i}", i) for i in range(0, 20_000, 3)]
+    table = spark.createDataFrame(codes, "value string, code long")
+    found = encoding.look_up(frame, "c", table, "code", hot)
+    assert found.columns == ["id", "c", "code"]
+    known = dict(codes)
+    assert all(r.code == known.get(r.c) for r in found.collect())
+    keys = frame.select(*encoding.spread_key("c", hot))
+    counts = [r["count"] for r in keys.groupBy("__flow_key", "__flow_spread").count().collect()]
+    assert max(counts) <= 20_000 / 8  # a partition's own rows at most, where one key had 14,000
+    tasks = keys.repartition(8, "__flow_key").groupBy(F.spark_partition_id()).count().toPandas()["count"]
+    skipped = encoding.look_up(frame, "c", table, "code", hot, ["known"])
+    assert skipped.filter("c = 'known' and code is not null").count() == 0
+    assert len(tasks) > 1
