@@ -22,7 +22,7 @@ HEADLINE = (
     "cleaned_split_summary", "parse_stage", "clean_stage", "split_counts", "variant_shapes",
     "variant_pipeline_parse_norm_clean", "impute_median", "lineitem_medians", "standard_scale",
     "column_transformer", "quantile_threshold", "flag_anomalies", "metrics_record",
-    "ranking_metrics_lineitem", "csv_scan", "csv_encoding", "csv_types", "svd_features",
+    "ranking_metrics_lineitem", "csv_scan", "csv_encoding", "csv_types", "csv_quoted", "one_hot_wide", "svd_features",
     "svd_features_wide", "rff_features", "rotation_expand", "rf_anomaly_scores", "rf_anomaly_run",
     "model_roundtrip", "run_summary",
 )

@@ -663,6 +663,24 @@ def csv_types(spark, folder):
 ENERGY_SQL = " + ".join(f"power(({n} - a_{n}) / d_{n}, 2)" for n in NUMERIC)
 
 
+@query("""select page_id, url, length(html) as characters, md5(html) as digest, coalesce(page_id % 3 = 0, false) as third
+    from (select page_id, nullif(url, '') as url, nullif(html, '') as html from pages)""")
+def csv_quoted(spark, folder):
+    """Whole web pages as cells: quotes, commas and line breaks inside quotes, read in parallel ranges."""
+    path = new_path(spark, "csv")
+    pages = table(spark, folder, "pages").select(
+        F.col("page_id").alias("Page ID"), F.col("url").alias(" URL"), F.col("html").alias("HTML"),
+        (F.col("page_id") % 3 == 0).cast("string").alias("Third"),
+    )
+    pages.write.options(
+        header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
+    ).csv(path)
+    read = csv.load_raw_data(spark, path)
+    return read.select(
+        "page_id", "url", F.length("html").cast("long").alias("characters"), F.md5(F.encode("html", "UTF-8")).alias("digest"), "third",
+    )
+
+
 @query(f"""{SCALED_SQL} select count(*) as rows, true as orthogonal, true as falling,
     true as captured, round(sum({ENERGY_SQL} + 1), 3) as energy from i, p where split = 'train' and target = 0""")
 def svd_features(spark, folder):

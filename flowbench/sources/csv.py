@@ -19,6 +19,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from ..config import LABEL, RAW_LABEL, SOURCE_FILE
 from ..functions.names import canonical_name, canonical_names, col, resolve_collisions
+from . import quoted
 from .tables import literal_path
 
 # Cell texts that mean "missing" in a flow CSV, as the usual CSV readers take them.
@@ -113,17 +114,23 @@ def scan_csv(
 ) -> DataFrame:
     """Raw text cells of files that share one header, with ``source_file``.
 
-    ``multi_line`` allows line breaks inside quotes; it keeps Spark from splitting large files.
+    ``multi_line`` allows line breaks inside quotes (``quoted.py``); large files are split in either case.
     """
     # Names are given afterwards: the reader takes names that differ only by case as equal.
     places = [f"_{i}" for i in range(len(names))]
     schema = StructType([StructField(p, StringType()) for p in [*places, UNEXPECTED]])
+    if multi_line:
+        found = quoted.records(spark, paths)
+        options = {"escape": '"', "multiLine": "true"}
+        cells = F.from_csv(F.decode("text", encoding), schema.toDDL(), options).alias("cells")
+        frame = found.select(cells, source_file_expr(F.col("path")).alias(SOURCE_FILE))
+        frame = frame.select(*[f"cells.{p}" for p in places], SOURCE_FILE, f"cells.{UNEXPECTED}")
+        return frame.toDF(*names, SOURCE_FILE, UNEXPECTED)
     frame = (
         spark.read.schema(schema)
         .option("header", True)
         .option("encoding", encoding)
         .option("escape", '"')
-        .option("multiLine", multi_line)
         .csv(paths)
         .select(
             *places,
@@ -216,8 +223,8 @@ def load_text(
     """All files of a directory as one frame of text cells with canonical names.
 
     Files that share header and encoding are one scan; the scans are united by column name. Files with
-    an unclosed quote on some line are read with line breaks inside quotes, which keeps Spark from
-    splitting them; the others are split. ``multi_line`` decides for all files instead.
+    an unclosed quote on some line are read with line breaks inside quotes; both kinds are read in parallel
+    ranges. ``multi_line`` decides for all files instead.
     """
     files = csv_inventory(spark, directory, pattern).filter("header is not null")
     files = files.persist(StorageLevel.MEMORY_AND_DISK)
