@@ -15,7 +15,7 @@ as its period, as all others are multiples (at three periods' length any two hav
 is one).
 
 Texts are worked on where they are read, several short ones as one sequence with a separator of its own
-after each; nothing is shuffled. A task holds one batch of texts, and about a hundred bytes per word of one
+after each; nothing is shuffled. A task holds one batch of texts, and about 150 bytes per word of one
 group of them; a very long text is a group of its own. Candidates go through in chunks of fixed size.
 
 Null, empty and wordless texts have no runs and collapse to the empty text. Equal texts have equal runs.
