@@ -5,13 +5,17 @@ k-mers. Equal k-mers of a text are numbered by occurrence, so each (k-mer, occur
 A hash deals the elements to ``CELLS`` cells; in each cell the two with the smallest hashes are taken,
 kept in the order in which they stand in the text, and hashed together. Two texts agree in a cell only
 if the same k-mers are minimal there and stand in the same order, which makes agreement follow edit
-distance rather than overlap. Cells that are empty in both texts say nothing.
+distance rather than overlap. A cell with one element takes the smallest of the next cell that has any
+(after the last, the first) as its second, so short texts keep their order too; only a text of a single
+element pairs it with itself. Cells that are empty in both texts say nothing.
 
 Only column expressions; arrays hold one number per token of the text at hand. Fingerprints are computed
 where the row is read. Likeness is the share of agreeing cells, raised to 1/2, as two k-mers must agree:
 1 for equal fingerprints, so for equal texts, and for two texts without tokens; 0 if only one has any.
 
-Null texts are empty. Repeated rows have equal fingerprints. An empty table gives no rows.
+Null texts are empty. Repeated rows have equal fingerprints. An empty table gives no rows. In a text of
+2^25 or more k-mers positions are counted in steps of a power of two: of two k-mers in one step, the one
+with the smaller hash comes first; order over longer distances is kept at any length.
 """
 
 from __future__ import annotations
@@ -56,12 +60,16 @@ def packed_kmers(tokens: Column) -> Column:
         n = F.size(h) - (K - 1)
         # one array of structs, so that no element access repeats the whole array
         parts = F.arrays_zip(*(F.slice(h, j + 1, n).alias(f"t{j}") for j in range(K)))
-        kmer = F.transform(
-            parts,
-            lambda p, i: F.shiftleft(F.xxhash64(*(p[f"t{j}"] for j in range(K))).bitwiseAND(F.lit((1 << KMER_BITS) - 1)), POSITION_BITS)
-            .bitwiseOR(F.least(i, F.lit(POSITIONS)).cast("long")),
-        )
-        return F.sort_array(kmer)
+        step = F.greatest(F.lit(0), F.length(F.bin(n)) - POSITION_BITS)
+
+        def numbers(s):
+            return F.transform(
+                parts,
+                lambda p, i: F.shiftleft(F.xxhash64(*(p[f"t{j}"] for j in range(K))).bitwiseAND(F.lit((1 << KMER_BITS) - 1)), POSITION_BITS)
+                .bitwiseOR(F.call_function("shiftright", i, s).cast("long")),
+            )
+
+        return F.sort_array(let(step, numbers))
 
     return let(filled, runs)
 
@@ -99,20 +107,22 @@ def dealt(kmers: Column) -> Column:
 
 
 def cells_of(numbers: Column) -> Column:
-    """Per non-empty cell: the cell, and the hash of its two minimal elements in text order."""
+    """Per non-empty cell: the cell, and the hash of its two minimal elements in text order.
+
+    What follows a cell's only element in the sorted numbers is the minimum of the next cell that has any.
+    """
     high = HASH_BITS + POSITION_BITS
-    nothing = F.array(F.lit(-1).cast("long"))
     triples = F.arrays_zip(
-        before(numbers).alias("last"), numbers.alias("now"), F.concat(F.slice(numbers, 2, F.size(numbers)), nothing).alias("next")
+        before(numbers).alias("last"), numbers.alias("now"), F.concat(F.slice(numbers, 2, F.size(numbers)), F.slice(numbers, 1, 1)).alias("next")
     )
     firsts = F.filter(triples, lambda t: F.shiftright(t["last"], high) != F.shiftright(t["now"], high))
     place = lambda x: x.bitwiseAND(F.lit(POSITIONS).cast("long"))
     value = lambda x: F.shiftright(x, POSITION_BITS).bitwiseAND(F.lit(HASHES).cast("long"))
 
     def entry(t):
-        two = F.shiftright(t["next"], high) == F.shiftright(t["now"], high)
-        ordered = F.when(~two, F.xxhash64(value(t["now"]))).when(
-            place(t["now"]) <= place(t["next"]), F.xxhash64(value(t["now"]), value(t["next"]))
+        ordered = F.when(
+            (place(t["now"]) < place(t["next"])) | ((place(t["now"]) == place(t["next"])) & (value(t["now"]) <= value(t["next"]))),
+            F.xxhash64(value(t["now"]), value(t["next"])),
         ).otherwise(F.xxhash64(value(t["next"]), value(t["now"])))
         return F.shiftleft(F.shiftright(t["now"], high), HASH_BITS).bitwiseOR(ordered.bitwiseAND(F.lit(HASHES).cast("long")))
 
