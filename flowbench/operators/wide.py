@@ -1,11 +1,11 @@
 """Singular vectors when some feature has too many categories for one machine.
 
 A one-hot block of a column with millions of values cannot be a vector on the driver, nor can its
-singular vectors be broadcast. But its part of the Gramian is small in another sense: per category a
-row count and the sums of the numeric features, and per pair of categories of two columns a count.
-One pass over the rows makes these tables; subspace iteration then multiplies the Gramian with a
-basis of which the numeric rows are a small matrix and the category rows a table. The rows of the
-data are not read again.
+singular vectors be broadcast. The basis is therefore kept in two parts: a matrix with the rows of the
+numeric features and listed categories, whose number the fit bounds, and a table with the rows of all
+other categories. A pass of the randomised range finder multiplies every row of the data with the basis
+and adds the product to each of the row's categories, so it handles one cell per row and wide feature;
+pairs of categories are never formed. Products of a batch are added up per category before the shuffle.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.mllib.linalg.distributed import RowMatrix
@@ -22,7 +23,7 @@ from pyspark.mllib.util import MLUtils
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.arrays import lists_of, matrix_of_lists
+from ..functions.arrays import lists_of, matrix_of, matrix_of_lists
 from ..sources.tables import new_path, read_back, write_table
 from .encoding import look_up
 from .features import FittedFeatures, assemble, number, prepared, text
@@ -33,6 +34,8 @@ OVERSAMPLING = 10
 TOLERANCE = 1e-10
 MAX_ITERATIONS = 200
 KEY = ("feature", "value")
+#: Stands for a feature where a sum belongs to the matrix of numeric features and listed categories.
+DENSE = -1
 
 
 def component_count(width: int, wanted: int) -> int:
@@ -45,82 +48,47 @@ def fix_signs(vectors: np.ndarray) -> np.ndarray:
     return vectors * np.where(vectors[largest, np.arange(vectors.shape[1])] < 0, -1.0, 1.0)
 
 
-def category_sums(df: DataFrame, fitted: FittedFeatures) -> DataFrame:
-    """Per category of every categorical feature: rows, and sums of the scaled numeric features."""
-    numbers = [number(i) for i in range(len(fitted.numeric))]
-    cells = F.array(
-        *[
-            F.struct(F.lit(i).alias("feature"), F.col(text(i)).alias("value"))
-            for i in range(len(fitted.categorical))
-        ]
-    )
-    return (
-        prepared(df, fitted)
-        .select(*numbers, F.explode(cells).alias("cell"))
-        .groupBy("cell.feature", "cell.value")
-        .agg(F.count("*").alias("count"), *[F.sum(n).alias(n) for n in numbers])
-        .select(*KEY, "count", F.array(*[F.col(n).cast("double") for n in numbers]).alias("sums"))
-    )
+def _rows_and_cells(df: DataFrame, fitted: FittedFeatures) -> tuple[DataFrame, DataFrame]:
+    """Stored rows with an id, and their cells (id, feature, value) of categories that are not listed."""
+    frame = prepared(df, fitted).select(F.monotonically_increasing_id().alias("id"), "*")
+    rows = write_table(frame, "wide-rows")
+    cells = F.array(*[F.struct(F.lit(i).alias("feature"), F.col(text(i)).alias("value")) for i in fitted.wide])
+    cells = rows.select("id", F.inline(cells)).filter(~_is_listed(fitted, F.col("feature"), F.col("value")))
+    return rows, cells
 
 
-def category_pairs(df: DataFrame, fitted: FittedFeatures) -> DataFrame | None:
-    """How often two categories of different features meet in a row, in both directions."""
-    places = range(len(fitted.categorical))
-    pairs = [
-        F.struct(
-            F.lit(i).alias("feature"), F.col(text(i)).alias("value"),
-            F.lit(j).alias("feature2"), F.col(text(j)).alias("value2"),
-        )
-        for i in places for j in places if i != j
-    ]
-    if not pairs:
-        return None
-    return (
-        prepared(df, fitted)
-        .select(F.inline(F.array(*pairs)))
-        .groupBy(*KEY, "feature2", "value2")
-        .agg(F.count("*").alias("together"))
-        .withColumn("hot2", is_listed(fitted, F.col("feature2"), F.col("value2")))
-    )
+def _is_listed(fitted: FittedFeatures, feature: Column, value: Column) -> Column:
+    """Whether the driver knows this category of a wide feature, as it is hot."""
+    known = [(feature == i) & value.isin(list(fitted.categorical[i].listed)) for i in fitted.wide]
+    return F.coalesce(reduce(Column.__or__, known), F.lit(False))
 
 
-def is_listed(fitted: FittedFeatures, feature: Column, value: Column) -> Column:
-    """Whether the driver knows this category: it is hot, or its feature has few categories."""
-    known = [
-        (feature == i) & value.isin(list(f.listed)) for i, f in enumerate(fitted.categorical)
-    ]
-    return reduce(Column.__or__, known)
-
-
-def _start(sums: DataFrame, size: int) -> DataFrame:
+def _start(cells: DataFrame, size: int) -> DataFrame:
     """A basis of +1 / -1 entries that depend on the category only, so that a retry repeats them."""
     signs = [
         F.when(F.xxhash64(*KEY, F.lit(j)) % 2 == 0, 1.0).otherwise(-1.0) for j in range(size)
     ]
-    return sums.withColumn("y", F.array(*signs))
+    return cells.select(*KEY).distinct().withColumn("y", F.array(*signs))
 
 
-def _moments(table: DataFrame, numbers: int, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """sums' y (numbers x size) and y' y (size x size) over all categories."""
+def _gram(table: DataFrame, size: int) -> np.ndarray:
+    """y' y (size x size) over all categories of the table."""
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((numbers + size, size))
+        total = np.zeros((size, size))
         for batch in batches:
-            y = matrix_of_lists(batch.column(1))
-            left = np.hstack([matrix_of_lists(batch.column(0)).reshape(len(y), numbers), y])
-            total += left.T @ y
+            y = matrix_of_lists(batch.column(0)).reshape(-1, size)
+            total += y.T @ y
         yield pa.RecordBatch.from_arrays([lists_of(total.reshape(1, -1))], ["part"])
 
-    parts = table.select("sums", "y").mapInArrow(partial, "part array<double>")
-    total = (
+    parts = table.select("y").mapInArrow(partial, "part array<double>")
+    merged = (  # at most MERGE_GROUPS rows; none if the table is empty
         parts.groupBy((F.spark_partition_id() % MERGE_GROUPS).alias("merge_group"))
         .agg(Summarizer.sum(array_to_vector("part")).alias("part"))
-        .agg(Summarizer.sum(F.col("part")).alias("part"))
         .select(vector_to_array("part").alias("part"))
-        .first()["part"]
+        .collect()
     )
-    both = np.array(total).reshape(numbers + size, size)
-    return both[:numbers], both[numbers:]
+    return sum((np.array(row["part"]) for row in merged), np.zeros(size * size)).reshape(size, size)
 
 
 def _orthonormal(gram: np.ndarray) -> np.ndarray:
@@ -130,83 +98,107 @@ def _orthonormal(gram: np.ndarray) -> np.ndarray:
     return (vectors[:, useful] / np.sqrt(values[useful]))[:, ::-1]
 
 
+def _sums_by(codes: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct codes, and the sums of the rows of ``values`` that have each of them."""
+    order = np.argsort(codes, kind="stable")
+    known, first = np.unique(codes[order], return_index=True)
+    return known, np.add.reduceat(values[order], first, axis=0) if len(known) else values[:0]
+
+
 def _multiply(
-    table: DataFrame,
-    pairs: DataFrame | None,
-    fitted: FittedFeatures,
-    turn: np.ndarray,
-    numeric_basis: np.ndarray,
-) -> DataFrame:
-    """Category rows of the Gramian times the basis ``y @ turn`` (numeric rows: ``numeric_basis``).
+    rows: DataFrame, cells: DataFrame, table: DataFrame, fitted: FittedFeatures,
+    turn: np.ndarray, dense: np.ndarray,
+) -> tuple[DataFrame, np.ndarray]:
+    """X'X times the basis ``y @ turn``: its table, and its rows of numeric features and listed categories.
 
-    A hot category meets very many others. The listed ones, whose number the fit bounds, are therefore
-    broadcast to their pairs; only pairs with the rest are shuffled to them.
+    A category that is not listed holds less than a fixed share of the rows, so the joins have no hot key.
     """
-    size = turn.shape[0]
-    inputs = ["count", "sums", "y"]
-    if pairs is not None:
-        other = table.select(F.col("feature").alias("feature2"), F.col("value").alias("value2"), "y")
-        hot = is_listed(fitted, F.col("feature2"), F.col("value2"))
-        both = ["feature2", "value2"]
-        met = (
-            pairs.filter("hot2").join(F.broadcast(other.filter(hot)), both)
-            .unionByName(pairs.filter("not hot2").join(other.filter(~hot), both))
-            .groupBy(*KEY)
-            .agg(*[F.sum(F.col("together") * F.col("y")[j]).alias(f"p{j}") for j in range(size)])
-            .select(*KEY, F.array(*[f"p{j}" for j in range(size)]).alias("met"))
-        )
-        table = table.join(met, list(KEY))
-        inputs.append("met")
+    size, kept = turn.shape
+    met = (
+        cells.join(table, list(KEY))
+        .groupBy("id")
+        .agg(*[F.sum(F.col("y")[j]).alias(f"p{j}") for j in range(size)])
+        .select("id", F.array(*[f"p{j}" for j in range(size)]).alias("met"))
+    )
+    numbers, wide = len(fitted.numeric), set(fitted.wide)
+    ends = np.cumsum([numbers, *(len(f.listed) for f in fitted.categorical)])
+    # Bounded by the inline width: (numeric and listed categories) x basis.
+    shared = rows.sparkSession.sparkContext.broadcast(
+        (dense @ turn, [pa.array(f.listed, pa.string()) for f in fitted.categorical])
+    )
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        basis, known = shared.value
+        sums = np.zeros((len(basis), kept))
         for batch in batches:
-            count, sums, y, *met = (batch.column(name) for name in inputs)
-            same = matrix_of_lists(y) * count.to_numpy()[:, None]
-            for partner in met:
-                same += matrix_of_lists(partner)
-            sums_matrix = matrix_of_lists(sums).reshape(len(same), len(numeric_basis))
-            product = same @ turn + sums_matrix @ numeric_basis
-            columns = [batch.column(name) for name in (*KEY, "count", "sums")]
-            yield pa.RecordBatch.from_arrays(
-                [*columns, lists_of(product)], [*KEY, "count", "sums", "y"]
-            )
+            n = batch.num_rows
+            values = matrix_of(batch, 1, 1 + numbers)
+            product = values @ basis[:numbers]
+            codes = []
+            for i, listed in enumerate(known):
+                found = pc.index_in(batch.column(1 + numbers + i), value_set=listed)
+                codes.append(pc.fill_null(found, -1).to_numpy(zero_copy_only=False))
+                present = codes[i] >= 0
+                product[present] += basis[ends[i] + codes[i][present]]
+            partners = batch.column(1 + numbers + len(known))
+            present = partners.is_valid().to_numpy(zero_copy_only=False)
+            if present.any():
+                product[present] += matrix_of_lists(partners.drop_null()) @ turn
+            sums[:numbers] += values.T @ product
+            for i, code in enumerate(codes):
+                present = code >= 0
+                places, added = _sums_by(code[present], product[present])
+                sums[ends[i] + places] += added
+                if i in wide and not present.all():
+                    rest = pc.filter(batch.column(1 + numbers + i), pa.array(~present)).dictionary_encode()
+                    places, added = _sums_by(rest.indices.to_numpy(), product[~present])
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(len(places), i, np.int32)), rest.dictionary.take(pa.array(places)), lists_of(added)],
+                        [*KEY, "y"],
+                    )
+        places = np.arange(len(sums))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.full(len(sums), DENSE, np.int32)), pa.array(places.astype(str).tolist(), pa.string()), lists_of(sums)],
+            [*KEY, "y"],
+        )
 
-    schema = "feature int, value string, count bigint, sums array<double>, y array<double>"
-    return write_table(table.select(*KEY, *inputs).mapInArrow(step, schema), "basis")
+    numbered = [number(i) for i in range(numbers)] + [text(i) for i in range(len(fitted.categorical))]
+    joined = rows.join(met, "id", "left").select("id", *numbered, "met")
+    parts = joined.mapInArrow(step, "feature int, value string, y array<double>")
+    total = parts.groupBy(*KEY).agg(*[F.sum(F.col("y")[j]).alias(f"y{j}") for j in range(kept)])
+    stored = write_table(total.select(*KEY, F.array(*[f"y{j}" for j in range(kept)]).alias("y")), "basis")
+    found = stored.filter(F.col("feature") == DENSE).collect()  # numeric features and listed categories
+    out = np.zeros((len(dense), kept))
+    for row in found:
+        out[int(row["value"])] = row["y"]
+    return stored.filter(F.col("feature") != DENSE), out
 
 
 def singular_vectors(
     df: DataFrame, fitted: FittedFeatures, wanted: int
 ) -> tuple[np.ndarray, str]:
-    """Vectors of the numeric features and listed categories; path of the table with all categories."""
-    numbers = len(fitted.numeric)
-    sums = write_table(category_sums(df, fitted), "category-sums")
-    pairs = category_pairs(df, fitted)
-    if pairs is not None:
-        pairs = write_table(pairs, "category-pairs")
-    wanted = component_count(numbers + sums.count(), wanted)  # as for vectors on the driver
-    size = wanted + OVERSAMPLING
-    numeric_gram = _numeric_gramian(df, fitted)
-    table = _start(sums, size)
-    numeric = np.where(np.random.default_rng(0).random((numbers, size)) < 0.5, -1.0, 1.0)
+    """Vectors of the numeric features and listed categories; path of the table with the other categories."""
+    rows, cells = _rows_and_cells(df, fitted)
+    known = len(fitted.numeric) + sum(len(f.listed) for f in fitted.categorical)
+    others = cells.select(*KEY).distinct().count()
+    wanted = component_count(known + others, wanted)  # as for vectors on the driver
+    size = min(wanted + OVERSAMPLING, known + others)
+    table = _start(cells, size)
+    dense = np.where(np.random.default_rng(0).random((known, size)) < 0.5, -1.0, 1.0)
     energy = 0.0
     for _ in range(MAX_ITERATIONS):
-        sums_y, y_y = _moments(table, numbers, size)
-        gram = numeric.T @ numeric + y_y
+        gram = dense.T @ dense + _gram(table, size)
         # of the Gramian times an orthonormal basis: the singular values of the strongest directions
         before, energy = energy, float(np.sqrt(np.sort(np.linalg.eigvalsh(gram))[::-1][:wanted].clip(0)).sum())
         turn = _orthonormal(gram)
-        numeric_basis = numeric @ turn
-        table = _multiply(table, pairs, fitted, turn, numeric_basis)
-        numeric = numeric_gram @ numeric_basis + sums_y @ turn
+        table, dense = _multiply(rows, cells, table, fitted, turn, dense)
         size = turn.shape[1]
         if abs(energy - before) <= TOLERANCE * energy:
             break
     else:
         raise RuntimeError("The singular vectors did not settle")
-    _, y_y = _moments(table, numbers, size)
-    turn = _orthonormal(numeric.T @ numeric + y_y)[:, :wanted]
-    numeric = numeric @ turn
+    turn = _orthonormal(dense.T @ dense + _gram(table, size))[:, :wanted]
+    dense = dense @ turn
 
     path = new_path(df.sparkSession, "category-vectors")
     vectors = table.select(*KEY, "y").mapInArrow(
@@ -218,18 +210,15 @@ def singular_vectors(
         *[F.max(F.col("vector")[j]).alias(f"high{j}") for j in range(turn.shape[1])],
         *[F.min(F.col("vector")[j]).alias(f"low{j}") for j in range(turn.shape[1])],
     ).first()
-    signs = np.array(
-        [
-            -1.0 if -min([ends[f"low{j}"], *numeric[:, j]]) > max([ends[f"high{j}"], *numeric[:, j]])
-            else 1.0
-            for j in range(turn.shape[1])
-        ]
-    )
+    signs = np.ones(turn.shape[1])
+    for j in range(turn.shape[1]):
+        entries = [x for x in (ends[f"low{j}"], ends[f"high{j}"], *dense[:, j]) if x is not None]
+        if -min(entries) > max(entries):
+            signs[j] = -1.0
     signed = new_path(df.sparkSession, "category-vectors")
     flipped = F.transform("vector", lambda x, j: x * F.element_at(F.lit(signs.tolist()), j + 1))
     vectors.withColumn("vector", flipped).write.parquet(signed)
-    vectors = read_back(df.sparkSession, signed, vectors.schema)
-    return np.vstack([numeric * signs, *_listed_vectors(vectors, fitted)]), signed
+    return dense * signs, signed
 
 
 def gramian(df: DataFrame, fitted: FittedFeatures) -> np.ndarray:
@@ -238,12 +227,6 @@ def gramian(df: DataFrame, fitted: FittedFeatures) -> np.ndarray:
     return RowMatrix(vectors, 0, fitted.width).computeGramianMatrix().toArray()
 
 
-def _numeric_gramian(df: DataFrame, fitted: FittedFeatures) -> np.ndarray:
-    if not fitted.numeric:
-        return np.zeros((0, 0))
-    return gramian(df, FittedFeatures(fitted.numeric, (), ()))
-
-
 def _turned(turn: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -255,16 +238,6 @@ def _turned(turn: np.ndarray):
     return run
 
 
-def _listed_vectors(vectors: DataFrame, fitted: FittedFeatures) -> list[np.ndarray]:
-    """Vectors of the categories each feature lists; their number is bounded by the fit."""
-    blocks = []
-    for i, feature in enumerate(fitted.categorical):
-        rows = vectors.filter((F.col("feature") == i) & F.col("value").isin(list(feature.listed)))
-        found = {row["value"]: row["vector"] for row in rows.collect()}
-        blocks.append(np.array([found[value] for value in feature.listed]))
-    return blocks
-
-
 def attach_vectors(
     frame: DataFrame, fitted: FittedFeatures, position: int, table: str, heavy: list[str] = ()
 ) -> DataFrame:

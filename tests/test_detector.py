@@ -221,6 +221,25 @@ def test_bounded_fit_keeps_statistics_and_threshold_on_all_rows(flows):
     assert len(scores) == 1500 and few.threshold == pytest.approx(np.quantile(scores, 0.97), rel=1e-12)
 
 
+def test_equal_rows_are_drawn_and_laid_out_one_by_one(spark, monkeypatch):
+    """Half of the rows are one row: it is half of the sample, spread over tasks; files do not matter."""
+    monkeypatch.setattr(detector, "COPIES", 64)
+    vector = F.when(F.col("id") % 2 == 0, F.array(F.lit(1.0), F.lit(2.0))).otherwise(F.array(F.col("id") / 7, F.lit(0.0)))
+    rows = spark.range(20_000).select(vector.cast("array<float>").alias("features"))
+    every = detector.fit_sample(rows, None)
+    assert every.count() == 20_000 and every.distinct().count() == 20_000
+    assert every.select("features").exceptAll(rows).isEmpty()
+    few = [detector.fit_sample(frame, 4000) for frame in (rows, rows.repartition(7).orderBy(F.desc("features")))]
+    assert few[0].exceptAll(few[1]).isEmpty() and few[1].exceptAll(few[0]).isEmpty()
+    hot = few[0].filter(F.col("features")[1] == 2).count()
+    assert 3700 < few[0].count() < 4300 and 1800 < hot < 2200
+    monkeypatch.setattr(detector, "BROADCAST_ROWS", 0)
+    assert detector.fit_sample(rows, 4000).exceptAll(few[0]).isEmpty()
+    sizes = [r["count"] for r in tables.laid_out(few[0], 400).groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) > 5 and max(sizes) < 2 * min(sizes)
+    assert detector.fit_sample(rows.limit(0), 4000).count() == 0
+
+
 @pytest.mark.parametrize("name", ["key", "listed", "n0", "c0", "probability", "flow_vector", "class_probability"])
 def test_kept_columns_may_have_any_name(flows, name):
     config = DetectorConfig(

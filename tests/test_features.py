@@ -220,3 +220,34 @@ def test_lookups_spread_what_is_hot_in_the_frame(spark):
     skipped = encoding.look_up(frame, "c", table, "code", hot, ["known"])
     assert skipped.filter("c = 'known' and code is not null").count() == 0
     assert len(tasks) > 1
+
+
+def test_vectors_of_several_wide_features(spark, flows):
+    """Two wide features, most of whose values are rare: the matrix form and the table form agree."""
+    rows = flows.withColumn("path", F.concat(F.lit("p"), (F.xxhash64("Flow ID") % 150).cast("string")))
+    inline, broad = features.fit_features(rows), features.fit_features(rows, inline_width=8)
+    assert inline.inline and len(broad.wide) == 2
+    left, right = projection.truncated_svd(rows, inline, 3), projection.truncated_svd(rows, broad, 3)
+    assert np.abs(left.numeric(inline) - right.numeric(broad)).max() < 1e-6
+    wanted = {
+        (i, value): vector
+        for i, (block, values) in enumerate(left.blocks(inline)) for value, vector in zip(values, block)
+    }
+    found = {
+        (i, value): vector
+        for i, (block, values) in enumerate(right.blocks(broad)) for value, vector in zip(values, block)
+    }
+    assert found
+    found |= {(r.feature, r.value): np.array(r.vector) for r in spark.read.parquet(right.table).collect()}
+    assert found.keys() == wanted.keys()
+    assert max(np.abs(found[key] - wanted[key]).max() for key in wanted) < 1e-6
+
+
+def test_no_wide_value_need_be_rare(spark):
+    """Every value of the wide feature is listed: the table of other categories is empty."""
+    df = spark.createDataFrame([(float(k % 7), f"v{k % 5}") for k in range(200)], "x double, c string")
+    inline, broad = features.fit_features(df), features.fit_features(df, inline_width=3)
+    assert broad.wide == [0] and len(broad.categorical[0].listed) == 5
+    left, right = projection.truncated_svd(df, inline, 2), projection.truncated_svd(df, broad, 2)
+    assert spark.read.parquet(right.table).count() == 0
+    assert np.abs(left.numeric(inline) - right.numeric(broad)).max() < 1e-6
