@@ -83,3 +83,55 @@ def test_bands_of_norms(spark):
     rows = spark.createDataFrame(huge, "vec_id long, embedding array<double>")
     out = N.nearest(rows, F.col("vec_id") == 0, 3).orderBy("rank").collect()
     assert [r.vec_id for r in out] == [3, 2, 1]
+
+
+def test_bit_planes_count_as_plain_sums():
+    rng = np.random.default_rng(4)
+    for arrays in (1, 2, 3, 7, 40):
+        bits = rng.random((arrays, 3, 128)) < 0.6
+        for least in (1, 2, arrays // 2 + 1, arrays, arrays + 1, 100):
+            planes = N.Planes((3, 2))
+            for one in bits:
+                planes.add(np.packbits(one, axis=1, bitorder="little").view(np.uint64))
+            met = np.unpackbits(planes.at_least(least).view(np.uint8), axis=1, bitorder="little")
+            assert (met.astype(bool) == (bits.sum(axis=0) >= least)).all()
+
+
+def test_collisions_cover_the_plain_windows():
+    vectors = directions(700)
+    index = N.Index(np.arange(700), vectors, cells=16)
+    scale = np.abs(index.vectors).max()
+    centres = np.ascontiguousarray((vectors[:5] / scale @ index.lines[:-1]).T)
+    radius = np.full(5, 0.9 * index.norm)
+    met = np.unpackbits(index.colliding(centres, radius, 100).view(np.uint8), axis=1, bitorder="little")[:, :700]
+    values = index.vectors / scale @ index.lines[:-1]  # equal norms: the further component is nothing
+    for at in range(5):
+        inside = np.abs(values - centres[:, at]) <= radius[at] * (1 - 1e-6)
+        assert met[at][inside.sum(axis=1) >= 100].all()
+        assert met[at].sum() < 700
+
+
+def test_few_vectors_are_verified(monkeypatch):
+    seen, verify = [], N.Index.verify
+
+    def counted(self, found, *rest):
+        seen.append(len(found) / len(self.vectors))
+        return verify(self, found, *rest)
+
+    monkeypatch.setattr(N.Index, "verify", counted)
+    unit = directions(12000)
+    asked = np.arange(0, 12000, 60)
+    queries, _, scores = N.Index(np.arange(12000), unit).search(asked, unit[asked], 20)
+    shares = []
+    for query in asked:
+        products = unit @ unit[query]
+        products[query] = -np.inf
+        shares.append((scores[queries == query] >= np.sort(products)[-20] - 1e-9).mean())
+    assert np.mean(shares) > 0.95 and np.mean(seen) < 0.05
+
+
+def test_a_query_id_of_several_vectors_asks_with_the_smallest(spark):
+    rows = [(0, [1.0, 0.0]), (0, [-1.0, 0.0]), (1, [2.0, 0.0]), (2, [-3.0, 0.0])]
+    for some in (rows, rows[::-1]):
+        out = N.nearest(frame(spark, some), F.col("vec_id") == 0, 1).collect()
+        assert [(r.query_id, r.vec_id, r.score) for r in out] == [(0, 2, 3.0)]
