@@ -7,6 +7,7 @@ fits the default one.
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 from functools import reduce
 
@@ -19,7 +20,7 @@ from . import fixtures
 from .config import BENIGN_TARGET, LABEL, DetectorConfig
 from .fixtures import flows_sql, table
 from .functions.names import col
-from .operators import clean, features, labels, metrics, normalize, parse, projection, scoring, split
+from .operators import clean, features, labels, metrics, mode, normalize, parse, projection, scoring, split
 from .operators.schema import numeric_and_categorical
 from .plans import report
 from .plans.detector import (
@@ -382,6 +383,24 @@ def impute_mode(spark, folder):
     return features.impute_category(df, modes).select("flow_id", "traffic_class")
 
 
+MODE_COLUMNS = ("l_returnflag", "l_partkey", "l_orderkey", "l_linenumber")
+MODE_COUNTS = " union all ".join(
+    f"select '{c}' as feature, cast({c} as varchar) as mode, count(*) as rows from lineitem where {c} is not null group by 2"
+    for c in MODE_COLUMNS
+)
+
+
+@query(f"""select feature, mode, rows from ({MODE_COUNTS})
+    qualify row_number() over (partition by feature order by rows desc, mode) = 1""")
+def lineitem_modes(spark, folder):
+    """Modes of a column with few values, of keys that stand out a little, and of keys that hardly repeat."""
+    lines = table(spark, folder, "lineitem")
+    found = mode.fit_modes(lines, list(MODE_COLUMNS))
+    rows = [F.struct(F.lit(c).alias("feature"), F.lit(v).alias("mode"), F.lit(n).cast("bigint").alias("rows"))
+            for c, (v, n) in found.items()]
+    return spark.range(1).select(F.inline(F.array(*rows)))
+
+
 ONE_HOT_SQL = """cast(case when protocol = 'click' then 1 else 0 end as double) as protocol_click,
     cast(case when protocol = 'purchase' then 1 else 0 end as double) as protocol_purchase,
     cast(case when protocol = 'view' then 1 else 0 end as double) as protocol_view"""
@@ -775,6 +794,23 @@ def rotation_expand(spark, folder):
     return rotated.groupBy("rotation").agg(F.count("*").alias("rows"))
 
 
+@query(f"""{TRAIN_SQL} select cast(r as integer) as rotation, count(*) as rows, count(*) as same_length,
+    count(*) filter (where r > 0) as turned from t, range(4) r(r) group by r""")
+def rotation_values(spark, folder):
+    """A rotation keeps every row's length; the first changes nothing, the others every row."""
+    train = training_flows(spark, folder)
+    plain = write_table(_chain(train).apply(train, ["flow_id"]), "plain").withColumnRenamed("features", "before")
+    rotations = projection.rotation_matrices(48, 4, 42)
+    after = projection.rotate(plain.withColumn("features", F.col("before")), rotations, ["flow_id", "before"])
+    squares = lambda c: F.aggregate(c, F.lit(0.0), lambda total, x: total + x * x)
+    moved = F.exists(F.zip_with("before", "features", lambda a, b: F.abs(a - b) > 1e-6), lambda far: far)
+    return after.groupBy("rotation").agg(
+        F.count("*").alias("rows"),
+        F.count_if(F.abs(squares("before") - squares("features")) < 1e-4).alias("same_length"),
+        F.count_if(moved).alias("turned"),
+    )
+
+
 def _prepared(spark: SparkSession, folder: str) -> DataFrame:
     flows = split.store_split(fixtures.flows(spark, folder))
     return prepare_variant(flows, "parse_norm_clean")
@@ -873,10 +909,23 @@ def run_summary(spark, folder):
     """The full sweep: every variant with two seeds, one record each."""
     return _record_facts(report.run_sweep(
         fixtures.flows(spark, folder), tuple(VARIANTS), (42, 7), SMALL_FOREST,
-        output=new_path(spark, "runs"), model_folder=new_path(spark, "models"),
+        output=new_path(spark, "runs"), model_folder=new_path(spark, "models"), concurrent=4,
     ))
 
 
+@query("""select 'baseline' as variant, 42 as seed, true as trained, true as validated, true as tested,
+    true as within""")
+def run_timings(spark, folder):
+    """The three times of a run's record are there and add up to no more than the run took."""
+    start = time.perf_counter()
+    record = report.run_variant(fixtures.flows(spark, folder), "baseline", config=SMALL_FOREST)
+    took = time.perf_counter() - start
+    times = ("training_time", "validation_scoring_time", "test_scoring_time")
+    positive = [(F.col(name) > 0).alias(fact) for name, fact in zip(times, ("trained", "validated", "tested"))]
+    total = reduce(lambda a, b: a + b, map(F.col, times))
+    return record.select("variant", F.col("seed").cast("int").alias("seed"), *positive, (total <= took).alias("within"))
+
+
 # Flagship -------------------------------------------------------------------------------------
 
 

@@ -148,10 +148,10 @@ def value_counts(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def modes_of(counts: DataFrame) -> DataFrame:
-    """Most frequent value per feature, ties to the smallest, and the number of distinct values."""
+    """Most frequent value per feature, ties to the smallest, the number of distinct values, and the mode's count."""
     first = F.min(F.struct((-F.col("count")).alias("order"), "value"))
     return counts.groupBy("feature").agg(
-        first["value"].alias("mode"), F.count("*").alias("distinct")
+        first["value"].alias("mode"), F.count("*").alias("distinct"), F.max("count").alias("most")
     )
 
 

@@ -29,8 +29,5 @@ def numeric_and_categorical(
     df: DataFrame, columns: Iterable[str]
 ) -> tuple[list[str], list[str]]:
     """Split ``columns`` by type; booleans, strings and everything else are categorical."""
-    types = {field.name: field.dataType for field in df.schema}
-    numeric, categorical = [], []
-    for name in columns:
-        (numeric if is_numeric(types[name]) else categorical).append(name)
-    return numeric, categorical
+    columns, known = list(columns), set(numeric_columns(df))
+    return [name for name in columns if name in known], [name for name in columns if name not in known]

@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import hashlib
 import json
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import asdict
+from functools import reduce
+from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark import inheritable_thread_target
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT_SEED, DetectorConfig
@@ -85,6 +89,7 @@ def run_sweep(
     output: str | None = None,
     model_folder: str | None = None,
     resume: bool = False,
+    concurrent: int = 1,
 ) -> DataFrame:
     """Every variant with every seed; each record goes to ``output`` as its run ends.
 
@@ -92,35 +97,46 @@ def run_sweep(
     replaces: a sweep that was broken off and is run again leaves one record per run. With ``resume`` the
     runs whose record is there are not run again; that is meant for the same flows only.
 
+    ``concurrent`` runs go side by side: they do not depend on each other, and the jobs of one fill cores
+    that another leaves idle. Their recorded times then include waiting for each other; leave it at 1 where
+    times are to be compared. Each has a scheduler pool of its own, for clusters that share in FAIR mode.
+
     ``flows`` is read twice: once to check the days and once to store it by part of the split.
     """
-    variants, spark = list(variants), flows.sparkSession
+    variants, seeds, spark = list(variants), list(seeds), flows.sparkSession
     output = output or f"{shared_folder(spark)}/flowbench/runs"
     check_weekdays(flows)
     flows = store_split(flows)
     shapes = variant_shapes(flows, variants, order, check=False).collect()
     shapes = spark.createDataFrame(shapes)  # three rows per variant
-    records = []
-    seeds = list(seeds)
     done = {path.rpartition("/run=")[2] for path in committed(spark, f"{literal_path(output)}/run=*")} if resume else ()
-    for variant in variants:
-        statistics = None
-        for seed in seeds:
-            key = run_key(variant, seed, config, order)
-            path = f"{output}/run={key}"
-            if key in done:
-                records.append(spark.read.parquet(path))
-                continue
-            if statistics is None:
-                train = benign_part(prepare_variant(flows, variant, order, check=False), "train")
-                statistics = fit_statistics(train, config)
-            record = run_variant(
-                flows, variant, seed, config, order, model_folder, shapes, statistics
-            )
-            record = spark.createDataFrame(record.collect(), record.schema)  # one row
-            record.coalesce(1).write.mode("overwrite").parquet(path)
-            records.append(record)
-    result = records[0]
-    for record in records[1:]:
-        result = result.unionByName(record)
-    return result
+    runs = {(v, s): run_key(v, s, config, order) for v in variants for s in seeds}
+    open_runs = [run for run, key in runs.items() if key not in done]
+
+    def learn(variant: str) -> Statistics:
+        train = benign_part(prepare_variant(flows, variant, order, check=False), "train")
+        return fit_statistics(train, config)
+
+    def measure(run: tuple[str, int]) -> None:
+        record = run_variant(flows, *run, config, order, model_folder, shapes, statistics[run[0]])
+        record = spark.createDataFrame(record.collect(), record.schema)  # one row
+        record.coalesce(1).write.mode("overwrite").parquet(f"{output}/run={runs[run]}")
+
+    learned = list(dict.fromkeys(variant for variant, _ in open_runs))
+    statistics = dict(zip(learned, side_by_side(spark, learn, learned, concurrent)))
+    side_by_side(spark, measure, open_runs, concurrent)
+    records = [spark.read.parquet(f"{output}/run={key}") for key in runs.values()]
+    return reduce(DataFrame.unionByName, records)
+
+
+def side_by_side(spark: SparkSession, task: Callable[[Any], Any], items: list, most: int) -> list:
+    """``task`` of every item, at most ``most`` at a time, results in the items' order; an error ends it."""
+
+    def in_pool(numbered: tuple[int, Any]) -> Any:
+        spark.sparkContext.setLocalProperty("spark.scheduler.pool", f"flowbench-{numbered[0] % most}")
+        return task(numbered[1])
+
+    if most == 1:
+        return [task(item) for item in items]
+    with ThreadPoolExecutor(most) as pool:
+        return list(pool.map(inheritable_thread_target(spark)(in_pool), enumerate(items)))

@@ -161,6 +161,22 @@ def test_a_sweep_run_again_replaces_its_records(spark, flows, tmp_path, monkeypa
     assert len(ran) == 5 and spark.read.parquet(output).count() == 4
 
 
+def test_runs_side_by_side_give_the_same_records(spark, flows, tmp_path):
+    config = DetectorConfig(rff_components=4, rotations=2, trees=2, max_depth=3)
+    facts = []
+    for concurrent in (1, 3):
+        folder = str(tmp_path / str(concurrent))
+        found = report.run_sweep(
+            flows, ["baseline", "parse"], [1, 2], config, output=folder, model_folder=f"{folder}-models", concurrent=concurrent
+        )
+        assert found.filter("training_time > 0 and validation_scoring_time > 0 and test_scoring_time > 0").count() == 4
+        timed = ("training_time", "validation_scoring_time", "test_scoring_time", "model_path")
+        facts.append(sorted(found.drop(*timed).collect()))
+    assert facts[0] == facts[1]
+    with pytest.raises(ZeroDivisionError):
+        report.side_by_side(spark, lambda n: 1 // n, [1, 0, 2], 2)
+
+
 def test_a_save_that_breaks_off_leaves_the_model_before(spark, flows, tmp_path, monkeypatch):
     config = DetectorConfig(rff_components=4, rotations=2, trees=1, max_depth=2)
     fitted = detector.fit_detector(flows.filter("label = 'BENIGN'"), config=config)
