@@ -164,12 +164,12 @@ def test_a_sweep_run_again_replaces_its_records(spark, flows, tmp_path, monkeypa
 def test_runs_side_by_side_give_the_same_records(spark, flows, tmp_path):
     config = DetectorConfig(rff_components=4, rotations=2, trees=2, max_depth=3)
     facts = []
-    for concurrent in (1, 3):
+    for concurrent in (1, 2):
         folder = str(tmp_path / str(concurrent))
         found = report.run_sweep(
-            flows, ["baseline", "parse"], [1, 2], config, output=folder, model_folder=f"{folder}-models", concurrent=concurrent
+            flows, ["baseline"], [1, 2], config, output=folder, model_folder=f"{folder}-models", concurrent=concurrent
         )
-        assert found.filter("training_time > 0 and validation_scoring_time > 0 and test_scoring_time > 0").count() == 4
+        assert found.filter("training_time > 0 and validation_scoring_time > 0 and test_scoring_time > 0").count() == 2
         timed = ("training_time", "validation_scoring_time", "test_scoring_time", "model_path")
         facts.append(sorted(found.drop(*timed).collect()))
     assert facts[0] == facts[1]
