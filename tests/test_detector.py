@@ -256,6 +256,19 @@ def test_equal_rows_are_drawn_and_laid_out_one_by_one(spark, monkeypatch):
     assert detector.fit_sample(rows.limit(0), 4000).count() == 0
 
 
+def test_no_table_of_rows_is_broadcast(spark, monkeypatch):
+    """The driver holds no more than a bounded number of hashes, whether all rows grow the forest or some."""
+    rows = spark.range(120_000).select(F.array(F.col("id").cast("float")).alias("features"))
+    sent, broadcast = [], F.broadcast
+    monkeypatch.setattr(F, "broadcast", lambda frame: sent.append(frame.count()) or broadcast(frame))
+    assert detector.fit_sample(rows, None).count() == detector.fit_sample(rows, 120_000).count() == 120_000
+    many = detector.fit_sample(rows, 90_000)
+    assert not sent and 88_000 < many.count() < 92_000 and many.select("features").exceptAll(rows).isEmpty()
+    few = detector.fit_sample(rows, 500)
+    assert sent == [few.count()] and 400 < sent[0] < 600
+    assert few.exceptAll(many).isEmpty()  # the smaller draw is part of the larger one
+
+
 @pytest.mark.parametrize("name", ["key", "listed", "n0", "c0", "probability", "flow_vector", "class_probability"])
 def test_kept_columns_may_have_any_name(flows, name):
     config = DetectorConfig(
