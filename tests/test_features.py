@@ -7,6 +7,7 @@ import pytest
 
 from pyspark.sql import functions as F
 
+from flowbench import catalog
 from flowbench.operators import encoding, features, projection, wide
 
 
@@ -251,3 +252,15 @@ def test_no_wide_value_need_be_rare(spark):
     left, right = projection.truncated_svd(df, inline, 2), projection.truncated_svd(df, broad, 2)
     assert spark.read.parquet(right.table).count() == 0
     assert np.abs(left.numeric(inline) - right.numeric(broad)).max() < 1e-6
+
+
+def test_one_hot_vectors_of_few_lines(spark, tmp_path):
+    """The query reads a vector's own fields, so it may also be a dense one, as with few categories."""
+    lines = "l_orderkey long, l_linenumber int, l_partkey long, l_returnflag string, l_quantity double"
+    rows = [(7, 1, 5, "N", 2.5), (7, 2, 5, "N", 4.0), (7, 3, 5, "N", 8.0)]
+    spark.createDataFrame(rows, lines).write.parquet(str(tmp_path / "lineitem.parquet"))
+    found = catalog.one_hot_wide(spark, str(tmp_path)).orderBy("l_linenumber").collect()
+    # quantity, lines 7-1 and 7-2, flag N, part p5; line 7-3 is not fitted on
+    assert [tuple(r)[1:] for r in found] == [
+        (1, 5, 4, 1, 3, 4, 2.5), (2, 5, 4, 2, 3, 4, 4.0), (3, 5, 3, None, 3, 4, 8.0),
+    ]
