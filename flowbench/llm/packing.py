@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -65,23 +66,25 @@ class PieceEncoder(dict):
         self.added = re.compile("|".join(map(re.escape, added))) if added else None
         self.merge = self.tokenizer.model.tokenize
         self.letters = byte_letters()
+        self.space = self.letters[0x20]
         self.forget()
 
     def forget(self) -> None:
         self.clear()
-        self.flat = np.empty(1 << 20, np.uint32)
-        self.ends = np.zeros(KNOWN_PIECES + 2, np.int64)
+        # Not NumPy arrays: they grow by single pieces, and are viewed as such for whole texts.
+        self.flat = array("I")
+        self.ends = array("q", [0])
+
+    def written(self, piece: str) -> str:
+        """The piece as the vocabulary writes its bytes."""
+        if piece.isascii() and piece.isprintable():
+            return piece.replace(" ", self.space)
+        return piece.encode().decode("latin-1").translate(self.letters)
 
     def __missing__(self, piece: str) -> int:
-        ids = [token.id for token in self.merge(piece.encode().decode("latin-1").translate(self.letters))]
-        known = len(self)
-        start = self.ends[known]
-        end = start + len(ids)
-        if end > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.empty(len(self.flat) + len(ids), np.uint32)])
-        self.flat[start:end] = ids
-        self.ends[known + 1] = end
-        self[piece] = known
+        self.flat.extend([token.id for token in self.merge(self.written(piece))])
+        self.ends.append(len(self.flat))
+        known = self[piece] = len(self)
         return known
 
     def whole(self, text: str) -> np.ndarray:
@@ -96,11 +99,12 @@ class PieceEncoder(dict):
             if len(pieces) > KNOWN_PIECES:
                 return self.whole(text)
         which = np.fromiter(map(self.__getitem__, pieces), np.int64, len(pieces))
-        starts = self.ends[which]
-        sizes = self.ends[which + 1] - starts
+        ends = np.frombuffer(self.ends, np.int64)
+        starts = ends[which]
+        sizes = ends[which + 1] - starts
         upto = np.cumsum(sizes)
         total = int(upto[-1]) if len(upto) else 0
-        return self.flat[np.repeat(starts - upto + sizes, sizes) + np.arange(total)]
+        return np.frombuffer(self.flat, np.uint32)[np.repeat(starts - upto + sizes, sizes) + np.arange(total)]
 
 
 @lru_cache(maxsize=1)

@@ -54,6 +54,18 @@ def test_cached_pieces_equal_whole_texts():
         assert np.array_equal(encoder.encode(text), encoder.whole(text))
 
 
+def test_pieces_are_written_as_the_vocabulary_does_and_kept_without_slack(monkeypatch):
+    encoder = packing.PieceEncoder(VOCABULARY)
+    pieces = [chr(c) for c in range(0x250)] + [" a", " é", "  ", " \n", "'s", " 12", "\x7f~", "word" * 50]
+    for piece in pieces:
+        assert encoder.written(piece) == piece.encode().decode("latin-1").translate(packing.byte_letters())
+    monkeypatch.setattr(packing, "KNOWN_PIECES", 40)
+    texts = [" ".join(f"w{i}x{k}" for k in range(6)) + " the end\n" for i in range(30)] + ["a b " * 30, ""]
+    for text in texts:
+        assert np.array_equal(encoder.encode(text), encoder.whole(text)) and len(encoder) <= 40
+        assert len(encoder.ends) == len(encoder) + 1 and len(encoder.flat) == encoder.ends[-1]
+
+
 def test_added_tokens_are_those_of_the_file():
     encoder, tokenizer = packing.PieceEncoder(VOCABULARY), Tokenizer.from_file(VOCABULARY)
     for text in ["<|endoftext|>", "a b<|endoftext|> c", "é <|endoftext|><|endoftext|>\n日本", "<|endoftext| >", "<|endoftext", "plain"]:
