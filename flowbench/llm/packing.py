@@ -33,13 +33,15 @@ BLOCK_TOKENS = 1 << 20
 #: Attention of one id to another, relative to the linear work per id.
 QUADRATIC = 1 / 4096
 #: Pieces remembered at a time, some 200 bytes each; Python workers keep them from task to task.
-KNOWN_PIECES = 200_000
+KNOWN_PIECES = 400_000
 #: Sequence numbers of one task follow each other from ``partition << TASK_BITS``.
 TASK_BITS = 40
 
 #: The split of the byte-level vocabulary before its merges (fixed value of the public tokenizer:
 #: contractions, letters, numbers, the rest, spaces), for the characters that ``UNUSUAL`` leaves.
-PIECES = re.compile(r"'(?:s|t|re|ve|m|ll|d)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
+#: Letters are written as ranges, which are found faster than what is left of all characters.
+LETTERS = "[A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f]"
+PIECES = re.compile(rf"'(?:s|t|re|ve|m|ll|d)| ?{LETTERS}+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
 #: Outside these characters libraries may disagree about letters, numbers and spaces.
 UNUSUAL = re.compile("[^\t\n\v\f\r\x20-\x7e\xa0-\xb1\xb4-\xb8\xba\xbb\xbf-\u024f]")
 
@@ -54,7 +56,8 @@ def byte_letters() -> dict[int, str]:
 class PieceEncoder(dict):
     """Ids of a text; pieces met before are looked up instead of being merged again.
 
-    Numbers pieces as they come; ``ends`` says where the ids of each lie in ``flat``.
+    Numbers pieces as they come; ``ends`` says where the ids of each lie in ``flat``, and ``used`` which
+    text had it last. When there is no room for a text, pieces of the earliest texts are forgotten.
     """
 
     def __init__(self, vocabulary: str):
@@ -74,6 +77,28 @@ class PieceEncoder(dict):
         # Not NumPy arrays: they grow by single pieces, and are viewed as such for whole texts.
         self.flat = array("I")
         self.ends = array("q", [0])
+        self.used = np.zeros(KNOWN_PIECES, np.int64)
+        self.texts = 0
+
+    def forget_earliest(self, most: int) -> None:
+        """Keep fewer than ``most`` of more pieces, those of the last texts, in their order."""
+        used = self.used[: len(self)]
+        kept = np.flatnonzero(used > np.partition(used, -most)[-most])
+        pieces, ids, ends, used = list(self), *self.ids_of(kept), used[kept]
+        self.clear()
+        self.update((pieces[number], k) for k, number in enumerate(kept.tolist()))
+        self.flat, self.ends = array("I", ids.tobytes()), array("q", [0])
+        self.ends.frombytes(ends.tobytes())
+        self.used[: len(kept)] = used
+
+    def ids_of(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of these pieces one after the other, and where those of each end."""
+        ends = np.frombuffer(self.ends, np.int64)
+        starts = ends[which]
+        sizes = ends[which + 1] - starts
+        upto = np.cumsum(sizes)
+        total = int(upto[-1]) if len(upto) else 0
+        return np.frombuffer(self.flat, np.uint32)[np.repeat(starts - upto + sizes, sizes) + np.arange(total)], upto
 
     def written(self, piece: str) -> str:
         """The piece as the vocabulary writes its bytes."""
@@ -95,16 +120,13 @@ class PieceEncoder(dict):
             return self.whole(text)
         pieces = PIECES.findall(text)
         if len(self) + len(pieces) > KNOWN_PIECES:
-            self.forget()
             if len(pieces) > KNOWN_PIECES:
                 return self.whole(text)
+            self.forget_earliest(max(1, min(KNOWN_PIECES // 2, KNOWN_PIECES - len(pieces))))
         which = np.fromiter(map(self.__getitem__, pieces), np.int64, len(pieces))
-        ends = np.frombuffer(self.ends, np.int64)
-        starts = ends[which]
-        sizes = ends[which + 1] - starts
-        upto = np.cumsum(sizes)
-        total = int(upto[-1]) if len(upto) else 0
-        return np.frombuffer(self.flat, np.uint32)[np.repeat(starts - upto + sizes, sizes) + np.arange(total)]
+        self.texts += 1
+        self.used[which] = self.texts
+        return self.ids_of(which)[0]
 
 
 @lru_cache(maxsize=1)

@@ -66,6 +66,27 @@ def test_pieces_are_written_as_the_vocabulary_does_and_kept_without_slack(monkey
         assert len(encoder.ends) == len(encoder) + 1 and len(encoder.flat) == encoder.ends[-1]
 
 
+def test_pieces_of_the_last_texts_are_not_merged_again(monkeypatch):
+    monkeypatch.setattr(packing, "KNOWN_PIECES", 40)
+    encoder = packing.PieceEncoder(VOCABULARY)
+    assert not len(encoder.encode("")) and not len(encoder)
+    merge, merged = encoder.merge, []
+    monkeypatch.setattr(encoder, "merge", lambda piece: merged.append(piece) or merge(piece))
+    for i in range(60):
+        text = f"the end{chr(97 + i % 26) * (1 + i // 26)} of the word {i}"
+        assert np.array_equal(encoder.encode(text), encoder.whole(text)) and len(encoder) <= 40
+    assert len(merged) > 120 and merged.count(encoder.written(" word")) == 1
+    full = " ".join("a" * k for k in range(1, 41))  # as many pieces as there is room for
+    assert np.array_equal(encoder.encode(full), encoder.whole(full)) and len(encoder) == 40
+    assert len(encoder.ends) == len(encoder) + 1 and len(encoder.flat) == encoder.ends[-1]
+
+
+def test_letters_are_those_of_unicode():
+    for char in map(chr, range(0x250)):
+        if not packing.UNUSUAL.search(char):
+            assert bool(packing.re.fullmatch(packing.LETTERS, char)) == bool(packing.re.fullmatch(r"[^\W\d_]", char))
+
+
 def test_added_tokens_are_those_of_the_file():
     encoder, tokenizer = packing.PieceEncoder(VOCABULARY), Tokenizer.from_file(VOCABULARY)
     for text in ["<|endoftext|>", "a b<|endoftext|> c", "é <|endoftext|><|endoftext|>\n日本", "<|endoftext| >", "<|endoftext", "plain"]:
