@@ -3,9 +3,11 @@ from dataclasses import replace
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from flowbench.config import DetectorConfig
+from flowbench.operators import projection
 from flowbench.operators.metrics import metrics_record
 from flowbench.plans import detector, report
 from flowbench.sources import tables
@@ -291,3 +293,17 @@ def test_a_value_that_only_the_scored_rows_have_may_flood(flows):
     fitted = detector.fit_detector(many.filter("label = 'BENIGN'"), config=config)
     flooded = many.withColumn("port", F.when(F.rand(1) < 0.9, "new").otherwise(F.col("port")))
     assert fitted.score(flooded).filter("score is not null").count() == many.count()
+
+
+def test_rotated_rows_come_as_vectors(spark, monkeypatch):
+    """The forest reads the rotated values as vectors of the same numbers, without converting row by row."""
+    matrices = projection.rotation_matrices(3, 2, 5)
+    rows = spark.range(60).select(F.array(*[(F.col("id") * k % 7 / 3).cast("float") for k in (1, 2, 4)]).alias("features"), F.lit(0).alias("copy"))
+    rows = tables.write_table(rows, "rows")
+    plain = projection.rotate(rows, matrices).select("rotation", F.col("features").cast("array<double>"))
+    vectors = projection.rotate(rows, matrices, vectors=True).select("rotation", vector_to_array("features").alias("features"))
+    assert vectors.exceptAll(plain).isEmpty() and plain.exceptAll(vectors).isEmpty() and plain.count() == 120
+    assert projection.rotate(rows.limit(0), matrices, vectors=True).count() == 0
+    monkeypatch.setattr(detector, "array_to_vector", None)
+    config = DetectorConfig(rff_components=3, rotations=2, trees=2, max_depth=3)
+    assert detector.fit_forest(rows, matrices, config, 5).numFeatures == 3
